@@ -45,10 +45,9 @@ def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 def _expand(col: Column) -> Column:
     """Replace the code points that fold to several ASCII characters."""
     _, _, pairs = _folding()
-    table = F.map_from_arrays(
-        F.array(*[F.lit(char) for char, _ in pairs]),
-        F.array(*[F.lit(folded) for _, folded in pairs]),
-    )
+    # one constant, folded into a map when the plan is optimised
+    listing = "\x01".join(f"{char}\x02{folded}" for char, folded in pairs)
+    table = F.str_to_map(F.lit(listing), F.lit("\x01"), F.lit("\x02"))
     return F.array_join(
         F.transform(
             F.split(col, ""),

@@ -92,6 +92,7 @@ def queue_position(jobs: DataFrame, block: int = SEQ_BLOCK) -> DataFrame:
     The rank is global; it is counted per range of job ids, then over the ranges.
     """
     waiting = (F.col("status") == "queued").cast("int")
+    jobs = stage(jobs, "jobs")
     ranked = prefix_scan(jobs, [], ["job_id"], _seq_block("job_id", block), sums={"rank": waiting})
     return ranked.withColumn("position", F.when(waiting == 1, F.col("rank")).otherwise(0)).drop(
         "rank"
@@ -99,7 +100,8 @@ def queue_position(jobs: DataFrame, block: int = SEQ_BLOCK) -> DataFrame:
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1_000_000.0)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return (micros(end) - micros(start)) / F.lit(1_000_000.0)
 
 
 def queue_stats(jobs: DataFrame, now: Column) -> DataFrame:

@@ -320,7 +320,8 @@ def document_content(
         F.transform(F.array_sort(F.collect_list(item)), lambda i: i["text"]), "\n"
     )
     part = page_block("new_page", size).cast("int").alias("part")
+    coded = F.translate(F.base64(F.encode(body, "UTF-8")), "\r\n", "")
     return (
         rows.groupBy("bundle_id", "document_index", part)
-        .agg(F.count(F.lit(1)).alias("pages"), F.base64(F.encode(body, "UTF-8")).alias("content"))
+        .agg(F.count(F.lit(1)).alias("pages"), coded.alias("content"))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,10 @@ def balanced(df: DataFrame) -> DataFrame:
 
 
 def trial_dictionary(spark: SparkSession) -> DataFrame:
-    rows = [("trial", *p) for p in TRIAL_PATTERNS]
-    return spark.createDataFrame(rows, PATTERN_SCHEMA)
+    names = [field.split()[0] for field in PATTERN_SCHEMA.split(", ")]
+    rows = [dict(zip(names, ("trial", *p))) for p in TRIAL_PATTERNS]
+    # through Arrow: a local relation, read without starting a job
+    return spark.createDataFrame(pa.Table.from_pylist(rows), PATTERN_SCHEMA)
 
 
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
