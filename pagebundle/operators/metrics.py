@@ -59,17 +59,25 @@ def _totals(columns: dict[str, Column]) -> list[Column]:
     ]
 
 
-def metrics_snapshot(metrics: DataFrame) -> DataFrame:
-    summed = metrics.agg(
+def _sums() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("jobs"),
-        *[
-            F.coalesce(F.sum(c), F.lit(0)).alias(c)
-            for c in (*COUNTERS, "duration_seconds")
-        ],
-    )
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*COUNTERS, "duration_seconds")],
+    ]
+
+
+def metrics_snapshot(metrics: DataFrame) -> DataFrame:
+    summed = metrics.agg(*_sums())
     return summed.select(*_totals({c: F.col(c) for c in summed.columns}))
 
 
+def metrics_by_window(metrics: DataFrame, window: str) -> DataFrame:
+    """Totals per tumbling window of ``ts`` (batch or watermarked stream)."""
+    summed = metrics.groupBy(F.window("ts", window)).agg(*_sums())
+    columns = {c: F.col(c) for c in summed.columns if c != "window"}
+    return summed.select("window.start", "window.end", *_totals(columns))
+
+
 def metrics_running(metrics: DataFrame, order: str, block: int) -> DataFrame:
     """The snapshot after each job; ``order`` is the unique integer finishing order."""
     names = (*COUNTERS, "duration_seconds")
