@@ -40,6 +40,8 @@ class SplitConfig:
     block_pages: int = 4096
     # dictionaries above either bound are joined by chunks instead of embedded
     max_embedded_patterns: int = 20_000
+    # up to this many headers, phrases and exclusions become column expressions
+    max_compiled_terms: int = 400
     max_embedded_chars: int = 8_000_000
 
     @property

@@ -10,9 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagebundle import fixed
+from pagebundle.functions.bind import bind
 
 # Characters a Unicode-aware "\s" accepts (the ASCII ones include 1C-1F).
-ASCII_SPACES = r"[\t-\r\x1c-\x1f ]+"
+# Runs of them that are not already one plain space; single members are listed one by
+# one because the regex engine then tests a character with one table lookup.
+_BREAKS = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f"
+ASCII_SPACES = rf"[{_BREAKS} ]++(?<=[{_BREAKS}]|[{_BREAKS} ]{{2}})"
 UNICODE_SPACES = (
     r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 )
@@ -67,8 +71,8 @@ def fold_to_ascii(col: Column) -> Column:
         expanded = F.when(expands, _expand(simple)).otherwise(simple)
         return F.regexp_replace(expanded, r"[^\x00-\x7F]+", "")
 
-    bound = F.transform(F.array(F.translate(col, source, target)), folded)[0]
-    return F.when(col.rlike(r"[^\x00-\x7F]"), bound).otherwise(col)
+    bound = bind(F.translate(col, source, target), folded)
+    return F.when(F.octet_length(col) == F.length(col), col).otherwise(bound)
 
 
 def normalize_text(col: Column) -> Column:
@@ -89,6 +93,13 @@ def alnum_count(col: Column) -> Column:
     return F.length(F.regexp_replace(col, r"[^\p{L}\p{N}]+", ""))
 
 
+def has_alnum(col: Column, at_least: int) -> Column:
+    """alnum_count(col) >= at_least, without reading further than needed."""
+    if at_least <= 0:
+        return col.isNotNull()
+    return col.rlike(rf"(?:[\p{{L}}\p{{N}}][^\p{{L}}\p{{N}}]*+){{{at_least}}}")
+
+
 def page_preview(col: Column, limit: int) -> Column:
     flat = F.trim(F.regexp_replace(col, UNICODE_SPACES, " "))
     return F.when(F.length(flat) <= limit, flat).otherwise(
@@ -149,7 +160,7 @@ def two_decimals(col: Column) -> Column:
             F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0"),
         )
 
-    return F.transform(F.array(col), render)[0]
+    return bind(col, render)
 
 
 def json_string_array(col: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagebundle import fixed
+from pagebundle.functions.bind import bind
 from pagebundle.functions.text import strip
 from pagebundle.operators.scan import join_ranges, page_block, prefix_scan
 from pagebundle.staging import stage
@@ -36,14 +37,17 @@ def _token(token: Column) -> Column:
     dash = F.instr(token, "-")
     left = F.when(ranged, F.substring(token, F.lit(1), dash - 1)).otherwise(token)
     right = F.when(ranged, F.substring(token, dash + 1, F.length(token))).otherwise(token)
-    lo, hi = _integer(left), _integer(right)
-    bad = lo.isNull() | hi.isNull()
-    error = (
-        F.when(ranged & bad, F.format_string(fixed.RANGE_BAD_FRAGMENT, token))
-        .when(bad, F.format_string(fixed.RANGE_BAD_NUMBER, token))
-        .when(lo > hi, F.format_string(fixed.RANGE_REVERSED, token))
-    )
-    return F.struct(lo.alias("lo"), hi.alias("hi"), error.alias("error"))
+
+    def judged(t: Column) -> Column:
+        bad = t["lo"].isNull() | t["hi"].isNull()
+        error = (
+            F.when(bad & ranged, F.format_string(fixed.RANGE_BAD_FRAGMENT, token))
+            .when(bad, F.format_string(fixed.RANGE_BAD_NUMBER, token))
+            .when(t["lo"] > t["hi"], F.format_string(fixed.RANGE_REVERSED, token))
+        )
+        return F.struct(t["lo"].alias("lo"), t["hi"].alias("hi"), error.alias("error"))
+
+    return bind(F.struct(_integer(left).alias("lo"), _integer(right).alias("hi")), judged)
 
 
 def _merged(intervals: Column) -> Column:
@@ -63,33 +67,40 @@ def _merged(intervals: Column) -> Column:
 
 def parse_page_ranges(requests: DataFrame) -> DataFrame:
     """requests (spec, page_count) + intervals and error (exactly one is null)."""
-    tokens = F.filter(F.transform(F.split("spec", ","), strip), lambda t: t != "")
-    parsed = requests.withColumn("_tokens", F.transform(F.coalesce(tokens, F.array()), _token))
-    errors = F.filter("_tokens", lambda t: t["error"].isNotNull())
-    bounds = F.transform("_tokens", lambda t: F.struct(t["lo"].alias("lo"), t["hi"].alias("hi")))
+    count = F.col("page_count").cast("long")
 
     def outside(i: Column) -> Column:
         return (
-            F.when(i["lo"] < 1, i["lo"])
-            .when(i["lo"] > F.col("page_count"), i["lo"])
-            .when(i["hi"] > F.col("page_count"), F.col("page_count").cast("long") + 1)
+            F.when((i["lo"] < 1) | (i["lo"] > count), i["lo"]).when(i["hi"] > count, count + 1)
         )
 
-    # the smallest selected page out of bounds is reported
-    first_outside = F.array_min(F.array_compact(F.transform(bounds, outside)))
-    error = (
-        F.when(F.size("_tokens") == 0, fixed.RANGE_EMPTY)
-        .when(F.size(errors) > 0, F.try_element_at(errors, F.lit(1))["error"])
-        .when(
-            first_outside.isNotNull(),
-            F.format_string(
-                fixed.RANGE_OUTSIDE, first_outside.cast("string"), F.col("page_count")
+    def judged(t: Column) -> Column:
+        faulty = F.filter(t, lambda i: i["error"].isNotNull())
+        # the smallest selected page out of bounds is reported
+        first_outside = F.array_min(F.array_compact(F.transform(t, outside)))
+        return (
+            F.when(F.size(t) == 0, fixed.RANGE_EMPTY)
+            .when(F.size(faulty) > 0, F.try_element_at(faulty, F.lit(1))["error"])
+            .when(
+                first_outside.isNotNull(),
+                F.format_string(fixed.RANGE_OUTSIDE, first_outside.cast("string"), count),
+            )
+        )
+
+    def parsed(t: Column) -> Column:
+        bounds = F.transform(t, lambda i: F.struct(i["lo"].alias("lo"), i["hi"].alias("hi")))
+        return bind(
+            judged(t),
+            lambda e: F.struct(
+                e.alias("error"), F.when(e.isNull(), _merged(bounds)).alias("intervals")
             ),
         )
+
+    texts = F.filter(F.transform(F.split("spec", ","), strip), lambda t: t != "")
+    tokens = F.transform(F.coalesce(texts, F.array()), _token)
+    return requests.withColumn("_parsed", bind(tokens, parsed)).select(
+        *requests.columns, "_parsed.error", "_parsed.intervals"
     )
-    checked = parsed.withColumn("error", error)
-    intervals = F.when(F.col("error").isNull(), _merged(bounds))
-    return checked.withColumn("intervals", intervals).drop("_tokens")
 
 
 def selected_count(intervals: Column) -> Column:

@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagebundle.config import SplitConfig
-from pagebundle.functions.text import alnum_count
+from pagebundle.functions.text import alnum_count, has_alnum
 from pagebundle.operators.scan import page_block
 
 KEY = ["bundle_id", "page_number"]
 
 
 def is_ocr_candidate(text: Column, cfg: SplitConfig) -> Column:
-    return alnum_count(text) < cfg.ocr_min_text_chars
+    return ~has_alnum(text, cfg.ocr_min_text_chars)
 
 
 def ocr_candidates(pages: DataFrame, cfg: SplitConfig) -> DataFrame:
@@ -137,9 +137,13 @@ def ocr_summary(
     )
 
 
+def is_empty(text: Column, cfg: SplitConfig) -> Column:
+    return ~has_alnum(text, cfg.empty_page_max_alnum + 1)
+
+
 def confirmed_empty(text: Column, blank: Column, cfg: SplitConfig) -> Column:
     """No ink *and* no text: either alone proves nothing."""
-    return blank & (alnum_count(text) <= cfg.empty_page_max_alnum)
+    return blank & is_empty(text, cfg)
 
 
 def empty_mode(col: Column) -> Column:

@@ -1,14 +1,18 @@
 """Scoring pages against a pattern dictionary.
 
-Usual case: the dictionary passes a size check and travels with the plan (as a
-literal, or broadcast by dict_id), so scoring is row-local and nothing shuffles.
-Larger dictionaries are cut into bounded chunks; pages meet every chunk of their
-dictionary over a salted key and the per-chunk results are reduced per page.
+Usual case: one dictionary of ordinary size is compiled into column expressions
+(one substring test per distinct term, everything else arithmetic on the test
+bits). Dictionaries per tenant, or with more terms, travel as data (a constant, or
+broadcast by dict_id after a size check) and are scored by array functions. In both
+cases scoring is row-local and nothing shuffles. Dictionaries beyond the size check
+are cut into bounded chunks; pages meet every chunk of their dictionary over a
+salted key and the per-chunk results are reduced per page.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +20,14 @@ from pyspark.sql import functions as F
 from pagebundle import fixed
 from pagebundle.config import SplitConfig
 from pagebundle.functions import text
+from pagebundle.functions.bind import bind
 from pagebundle.sources import dictionary as dic
 
+_WORD_BITS = 62
+_BEST = (
+    "struct<confidence:double,order_key:int,document_type:string,header:string,"
+    "header_match:boolean,hits:int>"
+)
 _CHUNK_ROWS = 500
 _SALTS = 64
 
@@ -56,9 +66,8 @@ def score_patterns(norm: Column, patterns: Column, cfg: SplitConfig) -> Column:
 
     def score_all(n: Column) -> Column:
         def scored(p: Column, zone: Column) -> Column:
-            return F.transform(
-                F.array(F.struct(match_header(zone, p).alias("h"),
-                                 match_phrases(n, p).alias("m"))),
+            return bind(
+                F.struct(match_header(zone, p).alias("h"), match_phrases(n, p).alias("m")),
                 lambda r: F.struct(
                     pattern_score(r["h"], F.size(r["m"]), p["weight"], cfg).alias("confidence"),
                     (-p["pattern_idx"]).alias("order_key"),
@@ -68,16 +77,13 @@ def score_patterns(norm: Column, patterns: Column, cfg: SplitConfig) -> Column:
                     r["h"].alias("header_match"),
                     F.transform(r["m"], lambda x: x["text"]).alias("matched"),
                 ),
-            )[0]
+            )
 
         live = F.filter(patterns, lambda p: ~is_excluded(n, p))
-        zones = F.array(text.header_zone(n, cfg.header_zone_chars))
-        return F.transform(
-            zones, lambda z: F.transform(live, lambda p: scored(p, z))
-        )[0]
+        zone = text.header_zone(n, cfg.header_zone_chars)
+        return bind(zone, lambda z: F.transform(live, lambda p: scored(p, z)))
 
-    # the one-element array binds the normalised text, evaluated once per page
-    return F.transform(F.array(norm), score_all)[0]
+    return bind(norm, score_all)
 
 
 def best_pattern(scored: Column) -> Column:
@@ -123,20 +129,81 @@ def _decide(best: Column, cfg: SplitConfig) -> list[Column]:
     ]
 
 
-def _embedded(patterns: DataFrame) -> Column:
-    """The prepared dictionary as one constant (its size has been checked)."""
+def _prepared(patterns: DataFrame) -> list[dict]:
+    """The prepared rows of a dictionary whose size has been checked, in order."""
     rows = dic.normalized_patterns(patterns).orderBy("pattern_idx").drop("dict_id")
-    items = [r.asDict(recursive=True) for r in rows.collect()]
+    return [r.asDict(recursive=True) for r in rows.collect()]
+
+
+def _constant(items: list[dict]) -> Column:
     return F.from_json(
         F.lit(json.dumps(items, ensure_ascii=False)), f"array<{dic._PREPARED_STRUCT}>"
     )
 
 
+def _rank_compiled(pages: DataFrame, items: list[dict], cfg: SplitConfig) -> DataFrame:
+    """pages + best and affinities, from one substring test per distinct term."""
+    terms = sorted({t for i in items for t in [p["norm"] for p in i["phrases"]] + i["excluded"]})
+    headers = sorted({i["header_fold"] for i in items})
+    word = {t: divmod(n, _WORD_BITS) for n, t in enumerate(terms)}
+    head = {h: divmod(n, _WORD_BITS) for n, h in enumerate(headers)}
+
+    def words(names: list[str], within: str, prefix: str) -> list[Column]:
+        columns = []
+        for at in range(0, len(names), _WORD_BITS):
+            flags = [
+                F.when(F.contains(F.col(within), F.lit(t)), F.lit(1 << bit).cast("long"))
+                .otherwise(F.lit(0).cast("long"))
+                for bit, t in enumerate(names[at : at + _WORD_BITS])
+            ]
+            columns.append(reduce(Column.bitwiseOR, flags).alias(f"{prefix}{at // _WORD_BITS}"))
+        return columns
+
+    def test(prefix: str, place: tuple[int, int]) -> Column:
+        number, bit = place
+        return F.col(f"{prefix}{number}").bitwiseAND(F.lit(1 << bit).cast("long")) != 0
+
+    normed = pages.withColumn("_norm", text.normalize_text(F.col("text"))).withColumn(
+        "_zone", text.header_zone(F.col("_norm"), cfg.header_zone_chars)
+    )
+    tested = normed.select(
+        *pages.columns, *words(terms, "_norm", "_w"), *words(headers, "_zone", "_h")
+    )
+    ranked, pairs = [F.lit(None).cast(_BEST)] * 2, []
+    for item in items:
+        phrases = [(p["text"], test("_w", word[p["norm"]])) for p in item["phrases"]]
+        hits = reduce(lambda n, p: n + p[1].cast("int"), phrases, F.lit(0))
+        header = test("_h", head[item["header_fold"]])
+        live = reduce(lambda ok, e: ok & ~test("_w", word[e]), item["excluded"], F.lit(True))
+        score = pattern_score(header, hits, F.lit(item["weight"]), cfg)
+        ranked.append(
+            F.when(
+                live,
+                F.struct(
+                    score.alias("confidence"), F.lit(-item["pattern_idx"]).alias("order_key"),
+                    F.lit(item["document_type"]).alias("document_type"),
+                    F.lit(item["header"]).alias("header"),
+                    header.alias("header_match"), hits.alias("hits"),
+                ).cast(_BEST),
+            )
+        )
+        pairs += [
+            F.when(live & hit, F.struct(F.lit(item["document_type"]).alias("document_type"),
+                                        F.lit(phrase).alias("phrase")))
+            for phrase, hit in phrases
+        ]
+    none = F.array().cast("array<struct<document_type:string,phrase:string>>")
+    affinities = F.array_distinct(F.array_compact(F.array(*pairs))) if pairs else none
+    return tested.select(
+        *pages.columns, F.greatest(*ranked).alias("best"), affinities.alias("affinities")
+    )
+
+
 def score_pages(pages: DataFrame, patterns: DataFrame, cfg: SplitConfig) -> DataFrame:
     """pages + ``scored``; pages without dict_id use the only dictionary given."""
     norm = text.normalize_text(F.col("text"))
     if "dict_id" not in pages.columns:
-        return pages.withColumn("scored", score_patterns(norm, _embedded(patterns), cfg))
+        return pages.withColumn("scored", score_patterns(norm, _constant(_prepared(patterns)), cfg))
     return (
         pages.join(F.broadcast(dic.whole_dictionary(patterns)), "dict_id", "left")
         .withColumn("scored", score_patterns(norm, F.coalesce(
@@ -180,13 +247,23 @@ def _score_by_chunks(pages: DataFrame, patterns: DataFrame, cfg: SplitConfig) ->
     return joined.drop("dict_id") if single else joined
 
 
+def _rank_embedded(pages: DataFrame, patterns: DataFrame, cfg: SplitConfig) -> DataFrame:
+    if "dict_id" in pages.columns:
+        scored = score_pages(pages, patterns, cfg)
+    else:
+        items = _prepared(patterns)
+        if sum(len(i["phrases"]) + len(i["excluded"]) + 1 for i in items) <= cfg.max_compiled_terms:
+            return _rank_compiled(pages, items, cfg)
+        norm = text.normalize_text(F.col("text"))
+        scored = pages.withColumn("scored", score_patterns(norm, _constant(items), cfg))
+    best, affinities = best_pattern(F.col("scored")), phrase_affinities(F.col("scored"))
+    return scored.withColumn("best", best).withColumn("affinities", affinities).drop("scored")
+
+
 def classify_pages(pages: DataFrame, patterns: DataFrame, cfg: SplitConfig) -> DataFrame:
     """pages + is_first, document_type, confidence, signals, affinities."""
     if dic.within_embedding_bounds(patterns, cfg.max_embedded_patterns, cfg.max_embedded_chars):
-        scored = score_pages(pages, patterns, cfg)
-        ranked = scored.withColumn("best", best_pattern(F.col("scored"))).withColumn(
-            "affinities", phrase_affinities(F.col("scored"))
-        ).drop("scored")
+        ranked = _rank_embedded(pages, patterns, cfg)
     else:
         ranked = _score_by_chunks(pages, patterns, cfg)
     none = F.array().cast("array<struct<document_type:string,phrase:string>>")

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from pagebundle import fixed
 from pagebundle.config import SplitConfig
-from pagebundle.functions.text import alnum_count
 from pagebundle.operators import reads as rd
 from pagebundle.operators import rules
 from pagebundle.operators.scan import page_block, prefix_scan, spread_over_blocks, with_block
@@ -31,7 +30,7 @@ def page_facts(reads: DataFrame, patterns: DataFrame, cfg: SplitConfig) -> DataF
     return rules.classify_pages(reads, patterns, cfg).select(
         "bundle_id", "page_number", "is_first", "document_type", "confidence", "signals",
         "affinities",
-        (alnum_count(text) <= cfg.empty_page_max_alnum).alias("is_empty"),
+        rd.is_empty(text, cfg).alias("is_empty"),
         rd.confirmed_empty(text, F.col("blank"), cfg).alias("confirmed_empty"),
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagebundle import fixed
 from pagebundle.config import SplitConfig
 from pagebundle.functions import text as tx
+from pagebundle.functions.bind import bind
 from pagebundle.operators import rules
 from pagebundle.operators import segments as sg
 from pagebundle.operators.scan import join_ranges, page_block, prefix_scan
@@ -136,7 +137,7 @@ def parse_verdict(content: Column) -> Column:
         )
 
     reply = F.from_json(extract_json(content), _REPLY_SCHEMA)
-    return F.transform(F.array(reply), build)[0]
+    return bind(reply, build)
 
 
 def verdict_guard(verdict: Column, current_type: Column, known: Column) -> Column:
@@ -338,12 +339,12 @@ def opened_by_verdict(
 def verdict_states(
     facts: DataFrame, judged: DataFrame, cfg: SplitConfig, fold_limit: int = _FOLD_LIMIT
 ) -> DataFrame:
-    """Page states with verdicts taken into account (``facts`` with removable).
+    """Page states with verdicts taken into account (``facts``: a table with removable).
 
     ``hint`` is the stored verdict of a page under its actual current type.
     """
     key = ["bundle_id", "page_number"]
-    facts, judged = stage(facts, "facts"), stage(judged, "judged")
+    judged = stage(judged, "judged")
     opened = opened_by_verdict(facts, judged, cfg, fold_limit)
     chosen = judged.join(opened, [*key, "current_type"], "left_semi").select(
         *key, F.col("hint.verdict").alias("v")

@@ -94,5 +94,7 @@ def split_bundles(
     facts = sg.with_removable(facts, cfg)
     if responses is None:
         return Split(sg.no_verdicts(sg.page_states(facts, cfg)), cfg)
+    if cfg.empty_mode == "remove":  # read several times from here on
+        facts = stage(facts, "removable_facts")
     judged = vd.judged_verdicts(responses, known_types_column(patterns, cfg), cfg)
     return Split(vd.verdict_states(facts, judged, cfg), cfg)
