@@ -82,7 +82,10 @@ def normalize_text(col: Column) -> Column:
 
 
 def fold_ocr_digits(col: Column) -> Column:
-    return F.translate(col, fixed.OCR_DIGITS, fixed.OCR_LETTERS)
+    # plain substring replacement beats translate(), which looks up every character
+    for digit, letter in zip(fixed.OCR_DIGITS, fixed.OCR_LETTERS):
+        col = F.replace(col, F.lit(digit), F.lit(letter))
+    return col
 
 
 def header_zone(norm: Column, chars: int = 1200) -> Column:

@@ -238,6 +238,11 @@ def status_text(status: DataFrame, attempts: DataFrame, max_attempts: int) -> Da
         .when(tries >= max_attempts, F.format_string(fixed.TEXT_FAILED_LIMIT, job, error))
         .otherwise(F.format_string(fixed.TEXT_FAILED_RETRY, tries, error))
     )
-    return status.join(attempts, "element_id", "left").select(
+    # jobs without an element have no attempts; as null keys they would meet in one task
+    owned = status.where("element_id IS NOT NULL").join(attempts, "element_id", "left")
+    anonymous = status.where("element_id IS NULL").withColumn(
+        "attempts", F.lit(None).cast("long")
+    )
+    return owned.unionByName(anonymous).select(
         "job_id", "element_id", "status", text.alias("text")
     )

@@ -356,8 +356,8 @@ def conversation_classification(spark, sf):
 @query
 def tenant_classification(spark, sf):
     """Every language is a tenant with a dictionary of its own (broadcast by dict_id)."""
-    docs = ad.table(spark, sf, "documents").select("doc_id", "lang")
-    pages = _pages(spark, sf).join(docs.withColumnRenamed("doc_id", "bundle_id"), "bundle_id")
+    docs = ad.balanced(ad.table(spark, sf, "documents").select("doc_id", "text", "lang"))
+    pages = explode_pages(docs, "doc_id", "text", "\n", keep=("lang",))
     langs = ("en", "fr", "de")
     shared = ad.trial_dictionary(spark)
     per_lang = reduce(

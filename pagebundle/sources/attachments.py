@@ -57,7 +57,12 @@ def attachments_by_id(requests: DataFrame, attachments: DataFrame) -> DataFrame:
             F.format_string(fixed.ATTACHMENT_NOT_PDF, "file_name", "wanted"),
         )
     )
-    return asked.join(found, "wanted", "left").select(
+    # unusable ids have nothing to look up; as null keys they would meet in one task
+    usable = asked.where("wanted IS NOT NULL").join(found, "wanted", "left")
+    unusable = asked.where("wanted IS NULL").withColumns(
+        {f.name: F.lit(None).cast(f.dataType) for f in found.schema if f.name != "wanted"}
+    )
+    return usable.unionByName(unusable).select(
         "request_id", "element_id", "raw_id", error.alias("error"),
         F.when(error.isNull(), F.col("file_name")).alias("file_name"),
     )

@@ -14,12 +14,14 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def explode_pages(files: DataFrame, id_col: str, text_col: str, separator: str) -> DataFrame:
-    """One record per file -> ordered 1-based page rows."""
+def explode_pages(
+    files: DataFrame, id_col: str, text_col: str, separator: str, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """One record per file -> ordered 1-based page rows (with the columns to ``keep``)."""
     return files.select(
-        F.col(id_col).alias("bundle_id"),
+        F.col(id_col).alias("bundle_id"), *keep,
         F.posexplode(F.split(F.coalesce(text_col, F.lit("")), separator)).alias("pos", "text"),
-    ).select("bundle_id", (F.col("pos") + 1).alias("page_number"), "text")
+    ).select("bundle_id", (F.col("pos") + 1).alias("page_number"), "text", *keep)
 
 
 def read_page_images(spark: SparkSession, path: str) -> DataFrame:
