@@ -29,3 +29,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagebundle.llm.quality import quality_digest
 
     return quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pagebundle.llm.bpe import bpe_digest
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe_digest(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
