@@ -46,3 +46,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagebundle.llm.langid import language_digest
 
     return language_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagebundle.llm.toxicity import toxicity_digest
+
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
