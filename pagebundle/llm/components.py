@@ -65,6 +65,6 @@ def _state(edges: DataFrame) -> tuple:
         edges.agg(
             F.count("*"),
             F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
-            F.sum("v").cast("string"),
+            F.sum(F.col("v").cast("decimal(38,0)")).cast("string"),
         ).first()
     )
