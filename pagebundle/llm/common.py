@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagebundle.staging import stage
 
-__all__ = ["WORDS", "WORDS_BYTES", "stage", "table", "fresh", "size_checked_broadcast", "crc_bucket"]
+__all__ = ["WORDS", "WORDS_BYTES", "stage", "table", "fresh", "size_checked_broadcast", "crc_bucket", "stable_number", "small_table"]
 
 #: Maximal runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -40,3 +41,18 @@ def size_checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus`` (a null id counts as an empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def stable_number(key: Column) -> Column:
+    """The first 15 hex digits of the MD5 of the key's text as a long (null: an empty text)."""
+    digits = F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15)
+    return F.conv(digits, 16, 10).cast("long")
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A bounded table made on the driver, as a literal that the JVM parses."""
+    names = [part.split()[0].strip("`") for part in schema.split(",")]
+    text = json.dumps([dict(zip(names, row)) for row in rows], ensure_ascii=False)
+    fields = ", ".join(f"`{part.split()[0].strip('`')}`: {part.split()[1]}" for part in schema.split(","))
+    parsed = F.from_json(F.lit(text), f"array<struct<{fields}>>")
+    return spark.range(1).select(F.inline(parsed))

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagebundle.llm.common import table
+from pagebundle.llm.sharding import SHARDING_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_sharding": SHARDING_SQL}
 
 
 def query(function):
@@ -53,3 +54,24 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagebundle.llm.toxicity import toxicity_digest
 
     return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagebundle.llm.sharding import sharding_digest
+
+    return sharding_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagebundle.llm.mixing import mixing_digest
+
+    return mixing_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagebundle.llm.pii import pii_digest
+
+    return pii_digest(table(spark, sf_dir, "documents"))
