@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagebundle.llm.common import table
 from pagebundle.llm.sharding import SHARDING_SQL
+from pagebundle.llm.urlgraph import url_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {"op7_sharding": SHARDING_SQL}
+ORACLE: dict[str, str] = {"op6_url_filter": url_sql(), "op7_sharding": SHARDING_SQL}
 
 
 def query(function):
@@ -75,3 +76,17 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagebundle.llm.pii import pii_digest
 
     return pii_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagebundle.llm.urlgraph import url_digest
+
+    return url_digest(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagebundle.llm.ann import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
