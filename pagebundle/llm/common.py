@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pagebundle.staging import stage
 
-__all__ = ["WORDS", "WORDS_BYTES", "stage", "table", "fresh", "size_checked_broadcast", "crc_bucket", "stable_number", "small_table"]
+__all__ = ["WORDS", "WORDS_BYTES", "stage", "table", "fresh", "size_checked_broadcast", "crc_bucket", "stable_number", "small_table", "short_batches"]
 
 #: Maximal runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,3 +56,11 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     fields = ", ".join(f"`{part.split()[0].strip('`')}`: {part.split()[1]}" for part in schema.split(","))
     parsed = F.from_json(F.lit(text), f"array<struct<{fields}>>")
     return spark.range(1).select(F.inline(parsed))
+
+
+def short_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Lets at most ``rows`` texts at a time travel to a Python worker, which bounds its memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagebundle.llm.common import crc_bucket, stage
+from pagebundle.llm.common import crc_bucket, short_batches, stage
 
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -39,8 +39,8 @@ _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 @dataclass(frozen=True)
 class LanguageConfig:
     max_training_rows: int = 30_000
-    max_words: int = 100_000
-    max_grams: int = 200_000
+    max_words: int = 60_000
+    max_grams: int = 120_000
     max_order: int = 5
     smoothing: float = 0.5
 
@@ -96,20 +96,20 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def learn_languages(docs: DataFrame, config: LanguageConfig = LanguageConfig()) -> LanguageModel:
     """Fits a model on the labelled rows of ``docs`` (doc_id, text, lang)."""
+    short_batches(docs.sparkSession)
     labelled = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     rows = labelled.count()
     if rows > config.max_training_rows:
         share = int(config.max_training_rows / rows * (1 << 30))
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
+    shares = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    languages, order = sorted(shares), config.max_order
+    if not languages:
+        return LanguageModel()
     schema = "lang string, term string, n long"
     words = stage(
         labelled.mapInPandas(_word_counts, schema).groupBy("lang", "term").agg(F.sum("n").alias("n")), "language-words"
     )
-    per_word = words.groupBy("term").agg(
-        F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("counts")
-    )
-    known = stage(per_word.orderBy(F.desc("total"), "term").limit(config.max_words), "language-known")
-    order = config.max_order
 
     def gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -118,43 +118,42 @@ def learn_languages(docs: DataFrame, config: LanguageConfig = LanguageConfig())
                 counts.update((lang, g) for g in _grams(word, order))
             yield _counted(counts)
 
+    def most_frequent(counts: DataFrame, limit: int) -> tuple[list[str], np.ndarray]:
+        """Up to ``limit`` terms and their counts, a column per language."""
+        per_language = [F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)) for x in languages]
+        top = (
+            counts.groupBy("term").agg(F.sum("n").alias("total"), F.array(*per_language).alias("counts"))
+            .orderBy(F.desc("total"), "term").limit(limit).select("term", "counts").toArrow()
+        )
+        flat = top["counts"].combine_chunks().flatten().to_numpy()
+        return top["term"].to_pylist(), flat.reshape(-1, len(languages))
+
+    known = most_frequent(words, config.max_words)
     # Each word counts once: unseen words are like rare ones, not like frequent ones.
     grams = words.mapInPandas(gram_counts, schema).groupBy("lang", "term").agg(F.sum("n").alias("n"))
-    per_gram = grams.groupBy("term").agg(
-        F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("counts")
-    )
-    frequent = per_gram.orderBy(F.desc("total"), "term").limit(config.max_grams)
-    shares = labelled.groupBy("lang").count().collect()
-    return _model({r["lang"]: r["count"] for r in shares}, known.collect(), frequent.collect(), config)
+    return _model(shares, known, most_frequent(grams, config.max_grams), config)
 
 
 def _model(shares: dict[str, int], known, frequent, config: LanguageConfig) -> LanguageModel:
+    """``known`` and ``frequent``: terms with a row of counts each."""
     languages = sorted(shares)
-    if not languages:
-        return LanguageModel()
-    column = {lang: i for i, lang in enumerate(languages)}
-
-    def table(rows) -> np.ndarray:
-        counts = np.full((len(rows), len(languages)), config.smoothing)
-        for i, row in enumerate(rows):
-            for c in row["counts"]:
-                counts[i, column[c["lang"]]] += c["n"]
-        return counts
-
-    blocks, names = [np.log(table(known) / table(known).sum(axis=0))] if known else [], {}
-    words = {row["term"]: i for i, row in enumerate(known)}
-    at = len(known)
+
+    def log_shares(counts: np.ndarray) -> np.ndarray:
+        counts = counts + config.smoothing
+        return np.log(counts / counts.sum(axis=0)).astype(np.float32)
+
+    blocks = [log_shares(known[1])]
+    words = {term: i for i, term in enumerate(known[0])}
+    lengths, grams, at = np.array([len(t) for t in frequent[0]]), {}, len(words)
     for order in range(1, config.max_order + 1):
-        rows = [row for row in frequent if len(row["term"]) == order]
-        if rows:
-            counts = table(rows)
-            blocks.append(np.log(counts / counts.sum(axis=0)))
-            names |= {row["term"]: at + i for i, row in enumerate(rows)}
+        rows = np.flatnonzero(lengths == order)
+        if len(rows):
+            blocks.append(log_shares(frequent[1][rows]))
+            grams |= {frequent[0][row]: at + i for i, row in enumerate(rows.tolist())}
             at += len(rows)
     total = sum(shares.values())
     prior = np.log(np.array([shares[lang] / total for lang in languages]))
-    scores = np.vstack(blocks) if blocks else np.zeros((0, len(languages)))
-    return LanguageModel(languages, prior, words, names, scores, config.max_order)
+    return LanguageModel(languages, prior, words, grams, np.vstack(blocks), config.max_order)
 
 
 class _Scorer:
