@@ -22,13 +22,28 @@ _INTERVALS = "array<struct<lo:long,hi:long>>"
 
 
 def _integer(text: Column) -> Column:
-    """Lenient integer parsing; far too long numbers saturate instead of overflowing."""
-    plain = F.regexp_replace(strip(text), "_", "")
-    parsed = plain.try_cast("decimal(38,0)")
-    limit = F.lit(10**15).cast("decimal(38,0)")
-    clamped = F.greatest(F.least(F.coalesce(parsed, F.when(plain.startswith("-"), -limit)
-                                             .otherwise(limit)), limit), -limit)
-    return F.when(strip(text).rlike(_INTEGER), clamped.cast("long"))
+    """Lenient integer parsing, exact at any length; null if it is none.
+
+    ``order`` sorts like the number: signed digit count, then the digits (inverted for
+    negative numbers); ``shown`` is the number written out; ``value`` fits its range or
+    is null, for numbers that can lie in no bundle.
+    """
+    stripped = strip(text)
+    negative = stripped.startswith("-")
+    digits = F.regexp_replace(F.regexp_replace(stripped, "[+_-]", ""), "^0+(?=.)", "")
+
+    def built(d: Column) -> Column:
+        minus = negative & (d != "0")
+        return F.struct(
+            F.struct(
+                F.when(minus, -F.length(d)).otherwise(F.length(d)).alias("size"),
+                F.when(minus, F.translate(d, "0123456789", "9876543210")).otherwise(d).alias("digits"),
+            ).alias("order"),
+            F.concat(F.when(minus, "-").otherwise(""), d).alias("shown"),
+            F.when(F.length(d) <= 18, F.concat(F.when(minus, "-").otherwise(""), d).try_cast("long")).alias("value"),
+        )
+
+    return F.when(stripped.rlike(_INTEGER), bind(digits, built))
 
 
 def _token(token: Column) -> Column:
@@ -43,7 +58,7 @@ def _token(token: Column) -> Column:
         error = (
             F.when(bad & ranged, F.format_string(fixed.RANGE_BAD_FRAGMENT, token))
             .when(bad, F.format_string(fixed.RANGE_BAD_NUMBER, token))
-            .when(t["lo"] > t["hi"], F.format_string(fixed.RANGE_REVERSED, token))
+            .when(t["lo"]["order"] > t["hi"]["order"], F.format_string(fixed.RANGE_REVERSED, token))
         )
         return F.struct(t["lo"].alias("lo"), t["hi"].alias("hi"), error.alias("error"))
 
@@ -68,11 +83,13 @@ def _merged(intervals: Column) -> Column:
 def parse_page_ranges(requests: DataFrame) -> DataFrame:
     """requests (spec, page_count) + intervals and error (exactly one is null)."""
     count = F.col("page_count").cast("long")
+    beyond = _integer((count + 1).cast("string"))
+
+    def inside(n: Column) -> Column:
+        return F.coalesce(n["value"].between(1, count), F.lit(False))
 
     def outside(i: Column) -> Column:
-        return (
-            F.when((i["lo"] < 1) | (i["lo"] > count), i["lo"]).when(i["hi"] > count, count + 1)
-        )
+        return F.when(~inside(i["lo"]), i["lo"]).when(~inside(i["hi"]), beyond)
 
     def judged(t: Column) -> Column:
         faulty = F.filter(t, lambda i: i["error"].isNotNull())
@@ -83,12 +100,12 @@ def parse_page_ranges(requests: DataFrame) -> DataFrame:
             .when(F.size(faulty) > 0, F.try_element_at(faulty, F.lit(1))["error"])
             .when(
                 first_outside.isNotNull(),
-                F.format_string(fixed.RANGE_OUTSIDE, first_outside.cast("string"), count),
+                F.format_string(fixed.RANGE_OUTSIDE, first_outside["shown"], count),
             )
         )
 
     def parsed(t: Column) -> Column:
-        bounds = F.transform(t, lambda i: F.struct(i["lo"].alias("lo"), i["hi"].alias("hi")))
+        bounds = F.transform(t, lambda i: F.struct(i["lo"]["value"].alias("lo"), i["hi"]["value"].alias("hi")))
         return bind(
             judged(t),
             lambda e: F.struct(

@@ -29,7 +29,8 @@ _BEST = (
     "header_match:boolean,hits:int>"
 )
 _CHUNK_ROWS = 500
-_SALTS = 64
+# pages of one dictionary that meet a copy of it
+_PAGES_PER_SALT = 20_000
 
 
 def match_header(zone: Column, pattern: Column) -> Column:
@@ -49,7 +50,9 @@ def pattern_score(header: Column, hits: Column, weight: Column, cfg: SplitConfig
     from_phrases = F.when(hits > 0, F.lit(cfg.phrase_weight) * hits * weight).otherwise(
         F.lit(0.0)
     )
-    return F.greatest(F.lit(0.0), F.least(from_header + from_phrases, F.lit(1.0)))
+    # a weight that is no number scores nothing
+    total = F.nanvl(from_header + from_phrases, F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(total, F.lit(1.0)))
 
 
 def pattern_signals(header: Column, header_text: Column, hits: Column) -> Column:
@@ -213,18 +216,22 @@ def score_pages(pages: DataFrame, patterns: DataFrame, cfg: SplitConfig) -> Data
 
 
 def _score_by_chunks(pages: DataFrame, patterns: DataFrame, cfg: SplitConfig) -> DataFrame:
-    """best + affinities per page for dictionaries of any size."""
-    key = ["bundle_id", "page_number"]
+    """best + affinities per page for dictionaries of any size.
+
+    A page is identified with its dictionary: tenants may share bundle ids.
+    """
+    key = ["bundle_id", "page_number", "dict_id"]
     single = "dict_id" not in pages.columns
     if single:
         pages = pages.withColumn("dict_id", F.lit("default"))
         patterns = patterns.withColumn("dict_id", F.lit("default"))
-    salt = F.pmod(F.xxhash64(*key), F.lit(_SALTS))
+    salts = max(1, pages.select(*key).count() // _PAGES_PER_SALT)
+    salt = F.pmod(F.xxhash64("bundle_id", "page_number"), F.lit(salts))
     chunks = dic.chunked_dictionary(patterns, _CHUNK_ROWS).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long")))
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     )
     slim = pages.select(
-        *key, "dict_id", text.normalize_text(F.col("text")).alias("_norm"), salt.alias("_salt")
+        *key, text.normalize_text(F.col("text")).alias("_norm"), salt.alias("_salt")
     )
     scored = slim.join(chunks, ["dict_id", "_salt"]).select(
         *key, "chunk", score_patterns(F.col("_norm"), F.col("patterns"), cfg).alias("scored")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagebundle import fixed
 from pagebundle.config import SplitConfig
@@ -127,22 +128,44 @@ def no_verdicts(states: DataFrame) -> DataFrame:
 def page_context(pages: DataFrame, cfg: SplitConfig, previous: int, following: int) -> DataFrame:
     """pages + the start of the neighbouring pages' texts ('' at the bundle's ends).
 
-    Two joins on the unique page key instead of a window over whole bundles.
+    Neighbours inside a block come from a window over (bundle, block); a block's outer
+    neighbours are one row per block, joined on the same partitioning.
     """
-    key = ["bundle_id", "page_number"]
+    size = cfg.block_pages
+    block = page_block("page_number", size)
+    ordered = Window.partitionBy("bundle_id", "_block").orderBy("page_number")
+    page = F.col("page_number")
+    edges = pages.where((page % size == 0) | (page % size == 1))
+    last, first = page % size == 0, page % size == 1
+
+    def edge(rows: Column, step: int, chars: int, name: str) -> DataFrame:
+        shown = F.struct((page + step).alias("at"), F.substring("text", 1, chars).alias("text"))
+        return edges.where(rows).select("bundle_id", (block + step).alias("_block"), shown.alias(name))
+
+    outer = (
+        edge(last, 1, previous, "before")
+        .unionByName(edge(first, -1, following, "after"), allowMissingColumns=True)
+        .groupBy("bundle_id", "_block")
+        .agg(F.max("before").alias("_before"), F.max("after").alias("_after"))
+    )
 
-    def shifted(step: int, chars: int, name: str) -> DataFrame:
-        return pages.select(
-            "bundle_id",
-            (F.col("page_number") + step).alias("page_number"),
-            F.substring("text", 1, chars).alias(name),
+    def neighbour(step: int, chars: int, beyond: str) -> Column:
+        move = F.lag if step < 0 else F.lead
+        near = F.when(
+            move("page_number").over(ordered) == page + step,
+            F.substring(move("text").over(ordered), 1, chars),
         )
+        far = F.when(F.col(beyond)["at"] == page, F.col(beyond)["text"])
+        return F.coalesce(near, far, F.lit(""))
 
     return (
-        pages.join(shifted(1, previous, "previous_text"), key, "left")
-        .join(shifted(-1, following, "next_text"), key, "left")
-        .withColumn("previous_text", F.coalesce("previous_text", F.lit("")))
-        .withColumn("next_text", F.coalesce("next_text", F.lit("")))
+        pages.withColumn("_block", block)
+        .join(outer, ["bundle_id", "_block"], "left")
+        .select(
+            *pages.columns,
+            neighbour(-1, previous, "_before").alias("previous_text"),
+            neighbour(1, following, "_after").alias("next_text"),
+        )
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame
@@ -9,11 +10,13 @@ from pyspark.sql import functions as F
 
 from pagebundle import fixed
 from pagebundle.config import SplitConfig
+from pagebundle.functions import json as js
 from pagebundle.functions import text as tx
 from pagebundle.functions.bind import bind
 from pagebundle.operators import rules
 from pagebundle.operators import segments as sg
 from pagebundle.operators.scan import join_ranges, page_block, prefix_scan
+from pagebundle.sources import dictionary as dic
 from pagebundle.staging import stage
 
 VERDICT_SCHEMA = (
@@ -23,9 +26,9 @@ VERDICT_SCHEMA = (
 HINT_SCHEMA = (
     f"struct<verdict:{VERDICT_SCHEMA},guard:array<string>,accepted:boolean>"
 )
-_REPLY_SCHEMA = (
-    "isFirstPage string, documentType string, isKnownType string, confidence string, "
-    "reasonCodes array<string>, suggestedNewPatterns array<string>"
+_FIELDS = (
+    "isFirstPage", "documentType", "isKnownType", "confidence", "reasonCodes",
+    "suggestedNewPatterns",
 )
 # runs with more undecided pages than this are resolved by pointer jumping
 _FOLD_LIMIT = 1000
@@ -46,10 +49,13 @@ NASTEPNA_STRONA={nastepna_strona}
 # --- before the call --------------------------------------------------------------------
 
 def verdict_context(
-    pages: DataFrame, current_type: Column, known: Column, cfg: SplitConfig
+    pages: DataFrame, current_type: Column, patterns: DataFrame, cfg: SplitConfig
 ) -> DataFrame:
     """The six strings a prompt may use, per page."""
-    around = sg.page_context(pages, cfg, fixed.PREVIOUS_CHARS, fixed.NEXT_CHARS)
+    known = F.col("known_types")
+    cut = pages.withColumn("text", F.substring("text", 1, fixed.CURRENT_CHARS))
+    around = sg.page_context(cut, cfg, fixed.PREVIOUS_CHARS, fixed.NEXT_CHARS)
+    around = dic.with_known_types(around, patterns)
     current = F.coalesce(current_type, F.lit(""))
     return around.select(
         "bundle_id", "page_number",
@@ -57,7 +63,7 @@ def verdict_context(
         F.when(current == "", fixed.NO_CURRENT_TYPE).otherwise(current)
         .alias("typ_biezacego_dokumentu"),
         F.col("previous_text").alias("poprzednia_strona"),
-        F.substring("text", 1, fixed.CURRENT_CHARS).alias("aktualna_strona"),
+        F.col("text").alias("aktualna_strona"),
         F.col("next_text").alias("nastepna_strona"),
         F.lit(fixed.VERDICT_FORMAT).alias("format_json"),
     )
@@ -109,35 +115,50 @@ def normalize_confidence(value: Column) -> Column:
     ).cast("double")
 
 
-def _flag(col: Column) -> Column:
-    value = F.lower(F.trim(col))
-    return F.when(value.isin("true", "1", "t", "yes", "y", "on"), True).when(
-        value.isin("false", "0", "f", "no", "n", "off"), False
+def _flag(value: Column) -> Column:
+    word = F.lower(js.as_text(value))
+    number = js.as_number(value)
+    return (
+        F.when(word.isin("true", "1", "t", "yes", "y", "on"), True)
+        .when(word.isin("false", "0", "f", "no", "n", "off"), False)
+        .when(js.kind(value).isin("BOOLEAN", "NUMBER") & number.isin(0.0, 1.0), number == 1.0)
+    )
+
+
+def _confidence(value: Column) -> Column:
+    """Only numbers may be percentages; a text must hold a share."""
+    number = js.as_number(value)
+    quoted = js.kind(value) == "STRING"
+    return F.when(quoted & number.between(0, 1) & ~F.isnan(number), number).when(
+        ~quoted, normalize_confidence(number)
     )
 
 
 def parse_verdict(content: Column) -> Column:
-    """Verdict struct, or null when the reply is unusable."""
-    empty = F.array().cast("array<string>")
+    """Verdict struct, or null when the reply is unusable.
+
+    The part from the first to the last brace must be one JSON object, each field of its
+    kind; documentType may be left out or be null, false, zero or empty.
+    """
 
     def build(r: Column) -> Column:
-        first, known = _flag(r["isFirstPage"]), _flag(r["isKnownType"])
-        confidence = normalize_confidence(r["confidence"].try_cast("double"))
-        usable = first.isNotNull() & known.isNotNull() & confidence.isNotNull()
-        return F.when(
-            usable,
-            F.struct(
-                first.alias("isFirstPage"),
-                F.coalesce(r["documentType"], F.lit("")).alias("documentType"),
-                known.alias("isKnownType"),
-                confidence.alias("confidence"),
-                F.coalesce(r["reasonCodes"], empty).alias("reasonCodes"),
-                F.coalesce(r["suggestedNewPatterns"], empty).alias("suggestedNewPatterns"),
-            ),
+        kind = js.field(r, "documentType")
+        document_type = F.when(js.is_blank(kind), F.lit("")).otherwise(js.as_text(kind))
+        fields = F.struct(
+            _flag(js.field(r, "isFirstPage")).alias("isFirstPage"),
+            document_type.alias("documentType"),
+            _flag(js.field(r, "isKnownType")).alias("isKnownType"),
+            _confidence(js.field(r, "confidence")).alias("confidence"),
+            js.as_texts(js.field(r, "reasonCodes")).alias("reasonCodes"),
+            js.as_texts(js.field(r, "suggestedNewPatterns")).alias("suggestedNewPatterns"),
         )
+        return bind(fields, lambda v: F.when(_complete(v), v))
+
+    return bind(js.parse_one(extract_json(content)), build)
+
 
-    reply = F.from_json(extract_json(content), _REPLY_SCHEMA)
-    return bind(reply, build)
+def _complete(verdict: Column) -> Column:
+    return reduce(lambda ok, name: ok & verdict[name].isNotNull(), _FIELDS, F.lit(True))
 
 
 def verdict_guard(verdict: Column, current_type: Column, known: Column) -> Column:
@@ -167,10 +188,15 @@ def is_accepted(verdict: Column, guard: Column, cfg: SplitConfig) -> Column:
     )
 
 
-def judged_verdicts(responses: DataFrame, known: Column, cfg: SplitConfig) -> DataFrame:
-    """(bundle_id, page_number, current_type, content) -> hint struct per row."""
+def judged_verdicts(responses: DataFrame, patterns: DataFrame, cfg: SplitConfig) -> DataFrame:
+    """(bundle_id, page_number, current_type, content) -> hint struct per row.
+
+    Replies with a dict_id are held against the types of their own dictionary.
+    """
+    known = F.col("known_types")
     return (
-        responses.withColumn("verdict", parse_verdict(F.col("content")))
+        dic.with_known_types(responses, patterns)
+        .withColumn("verdict", parse_verdict(F.col("content")))
         .withColumn(
             "guard",
             F.when(
@@ -179,7 +205,7 @@ def judged_verdicts(responses: DataFrame, known: Column, cfg: SplitConfig) -> Da
             ),
         )
         .select(
-            "bundle_id", "page_number", "current_type",
+            *[c for c in responses.columns if c == "dict_id"], "bundle_id", "page_number", "current_type",
             F.struct(
                 "verdict", "guard",
                 is_accepted(F.col("verdict"), F.col("guard"), cfg).alias("accepted"),

@@ -304,10 +304,11 @@ SELECT p_partkey::VARCHAR AS payload_id, i.idx::INTEGER AS pattern_idx,
        CASE WHEN i.idx = 0 THEN 'a|b' ELSE '' END AS phrases,
        CASE WHEN i.idx = 0 THEN p_size::DOUBLE ELSE 1.0::DOUBLE END AS weight,
        NULL::VARCHAR AS error
-FROM part, (VALUES (0), (1)) i(idx) WHERE p_partkey % 6 IN (0, 5)
+FROM part, (VALUES (0), (1)) i(idx)
+WHERE p_partkey % 6 IN (0, 5) AND p_partkey % 30 NOT IN (0, 5, 6, 11, 12)
 UNION ALL
 SELECT p_partkey::VARCHAR, NULL, NULL, NULL, NULL, NULL, '{fixed.PATTERNS_ERROR}'
-FROM part WHERE p_partkey % 6 IN (1, 2, 4)"""
+FROM part WHERE p_partkey % 6 IN (1, 2, 4) OR p_partkey % 30 IN (0, 5, 6, 11, 12)"""
 ORACLE["split_no_patterns"] = _with(_LINES) + f"""
 SELECT bundle_id, 1 AS document_index, '{fixed.UNKNOWN_DOCUMENT_TYPE}' AS document_type,
        0.20::DOUBLE AS confidence, TRUE AS requires_review, 1 AS start_page,
@@ -441,6 +442,14 @@ ORACLE["tenant_classification"] = _with(
 ) + """
 SELECT bundle_id, page_number, dict_id, is_first, document_type, confidence
 FROM cls JOIN np USING (bundle_id, page_number)"""
+ORACLE["tenant_classification_chunked"] = _with(
+    _LINES,
+    """tp AS (SELECT bundle_id * 3 + i AS bundle_id, page_number, text, dict_id, first_idx
+              FROM pg, (VALUES (0, 'en', 0), (1, 'fr', 1), (2, 'es', 1000)) o(i, dict_id, first_idx))""",
+    _DICTIONARY, _rules("tp", tenant=True),
+) + """
+SELECT bundle_id // 3 AS bundle_id, page_number, dict_id, is_first, document_type, confidence
+FROM cls JOIN np USING (bundle_id, page_number)"""
 ORACLE["phrase_affinities"] = _RULES + """
 SELECT bundle_id, page_number, dtype AS document_type,
        string_agg(phrase, '|' ORDER BY ord) AS phrases
@@ -529,34 +538,42 @@ rp1 AS (SELECT *, CASE n % 6 WHEN 0 THEN NULL WHEN 1 THEN 'Alpha' WHEN 2 THEN 'B
                     WHEN 3 THEN 'Gamma' WHEN 4 THEN 'Delta' ELSE current_type END AS proposed,
           CASE WHEN page_number % 2 = 0 THEN (n / 100::DOUBLE)::VARCHAR ELSE n::VARCHAR END
             AS shown FROM rp0),
-rp AS (SELECT *, CASE WHEN n % 17 = 0 THEN 'no answer' ELSE
-         '```json {{"isFirstPage": '
+rpb AS (SELECT *, '```json {{"isFirstPage": '
          || CASE WHEN (bundle_id + page_number + t) % 3 = 0 THEN 'false' ELSE 'true' END
          || ', "documentType": ' || coalesce('"' || proposed || '"', 'null')
          || ', "isKnownType": ' || CASE WHEN n % 4 = 0 THEN 'true' ELSE 'false' END
          || ', "confidence": ' || shown
          || ', "reasonCodes": ["layout", "n' || n
-         || '"], "suggestedNewPatterns": ["s1", "s2", "s3", "s4"]}} ```' END AS content
+         || '"], "suggestedNewPatterns": ["s1", "s2", "s3", "s4"]}} ```' AS body
        FROM rp1),
-js AS (SELECT *, CASE WHEN instr(content, '{{') > 0 THEN substring(content, instr(content, '{{'),
+rp AS (SELECT *, CASE n % 17 WHEN 0 THEN 'no answer'
+         WHEN 3 THEN body || ' i jeszcze {{x}}' WHEN 5 THEN replace(body, '"', '''')
+         WHEN 7 THEN replace(body, '["layout"', '[7')
+         WHEN 9 THEN replace(body, '["s1", "s2", "s3", "s4"]', 'null')
+         WHEN 11 THEN replace(body, '"confidence": ' || shown, '"confidence": "' || shown || '"')
+         ELSE body END AS content
+       FROM rpb),
+js0 AS (SELECT *, CASE WHEN instr(content, '{{') > 0 THEN substring(content, instr(content, '{{'),
          length(content) - instr(reverse(content), '}}') + 2 - instr(content, '{{')) END AS json
        FROM rp),
-pv AS (SELECT *, json_extract_string(json, '$.isFirstPage')::BOOLEAN AS v_first,
-         coalesce(json_extract_string(json, '$.documentType'), '') AS v_type,
-         json_extract_string(json, '$.isKnownType')::BOOLEAN AS v_known,
-         json_extract_string(json, '$.confidence')::DOUBLE AS raw_conf
+js AS (SELECT *, CASE WHEN n % 17 NOT IN (0, 3, 5, 7, 9) AND (n % 17 <> 11 OR shown::DOUBLE <= 1)
+                      THEN json END AS good FROM js0),
+pv AS (SELECT *, json_extract_string(good, '$.isFirstPage')::BOOLEAN AS v_first,
+         coalesce(json_extract_string(good, '$.documentType'), '') AS v_type,
+         json_extract_string(good, '$.isKnownType')::BOOLEAN AS v_known,
+         json_extract_string(good, '$.confidence')::DOUBLE AS raw_conf
        FROM js),
 vc AS (SELECT *, CASE WHEN raw_conf > 100 THEN 1.0::DOUBLE WHEN raw_conf > 1
                       THEN raw_conf / 100 ELSE raw_conf END AS v_conf FROM pv),
 vd AS (SELECT *,
-         CASE WHEN json IS NULL THEN NULL ELSE concat_ws('|',
+         CASE WHEN good IS NULL THEN NULL ELSE concat_ws('|',
            CASE WHEN NOT v_first AND current_type = '' THEN {_q(fixed.GUARD_NO_CURRENT)}
                 WHEN NOT v_first AND v_type <> '' AND v_type <> current_type
                 THEN printf({_q(fixed.GUARD_OTHER_TYPE)}, v_type, current_type) END,
            CASE WHEN v_known AND v_type NOT IN ({_KNOWN_LIST})
                 THEN printf({_q(fixed.GUARD_NOT_KNOWN)}, v_type) END) END AS guard
        FROM vc),
-vj AS (SELECT *, coalesce(json IS NOT NULL AND v_type <> '' AND guard = ''
+vj AS (SELECT *, coalesce(good IS NOT NULL AND v_type <> '' AND guard = ''
                           AND v_conf >= 0.70::DOUBLE, FALSE) AS accepted FROM vd)"""
 
 
@@ -580,7 +597,7 @@ walk AS (
     has_v, coalesce(v_first, FALSE), coalesce(v_known, FALSE)
   FROM (
     SELECT p.*, w.cur, w.is_known, w.segment_id, v.v_type, v.v_conf, v.guard, v.v_first, v.v_known,
-      v.json IS NOT NULL AND NOT p.is_empty AS has_v,
+      v.good IS NOT NULL AND NOT p.is_empty AS has_v,
       CASE WHEN p.is_first THEN 'first'
            WHEN w.is_known AND coalesce(list_contains(p.types, w.cur), FALSE) THEN 'phrase'
            WHEN p.removable THEN 'removed'
@@ -633,11 +650,11 @@ FROM pg WINDOW o AS (PARTITION BY bundle_id ORDER BY page_number)"""
 ORACLE["verdict_extract"] = _REPLY_SQL + """
 SELECT bundle_id, page_number, current_type, json FROM js"""
 ORACLE["verdict_parse"] = _REPLY_SQL + """
-SELECT bundle_id, page_number, current_type, json IS NOT NULL AS usable, v_first AS is_first,
-  CASE WHEN json IS NOT NULL THEN v_type END AS document_type, v_known AS is_known,
+SELECT bundle_id, page_number, current_type, good IS NOT NULL AS usable, v_first AS is_first,
+  CASE WHEN good IS NOT NULL THEN v_type END AS document_type, v_known AS is_known,
   v_conf AS confidence,
-  CASE WHEN json IS NOT NULL THEN 'layout|n' || n END AS codes,
-  CASE WHEN json IS NOT NULL THEN 's1|s2|s3|s4' END AS suggested
+  CASE WHEN good IS NOT NULL THEN 'layout|n' || n END AS codes,
+  CASE WHEN good IS NOT NULL THEN 's1|s2|s3|s4' END AS suggested
 FROM vc"""
 ORACLE["verdict_confidence"] = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
@@ -645,7 +662,16 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
        ELSE raw END AS confidence
 FROM (SELECT *, l_quantity * 3 - 5 + l_discount AS raw FROM lineitem)"""
 ORACLE["verdict_guard"] = _REPLY_SQL + """
-SELECT bundle_id, page_number, current_type, guard FROM vj WHERE json IS NOT NULL"""
+SELECT bundle_id, page_number, current_type, guard FROM vj WHERE good IS NOT NULL"""
+ORACLE["verdict_guard_tenants"] = _REPLY_SQL + f"""
+SELECT bundle_id, page_number, current_type, dict_id,
+  concat_ws('|',
+    CASE WHEN NOT v_first AND current_type = '' THEN {_q(fixed.GUARD_NO_CURRENT)}
+         WHEN NOT v_first AND v_type <> '' AND v_type <> current_type
+         THEN printf({_q(fixed.GUARD_OTHER_TYPE)}, v_type, current_type) END,
+    CASE WHEN v_known AND (v_type NOT IN ({_KNOWN_LIST}) OR dict_id = 't2' AND v_type IN ('Alpha', 'Delta'))
+         THEN printf({_q(fixed.GUARD_NOT_KNOWN)}, v_type) END) AS guard
+FROM vc, (VALUES ('t0'), ('t2')) o(dict_id) WHERE good IS NOT NULL"""
 ORACLE["verdict_gate"] = _REPLY_SQL + """
 SELECT bundle_id, page_number, current_type, accepted FROM vj"""
 
@@ -814,11 +840,15 @@ ps AS (SELECT bundle_id, n, 'r' || bundle_id AS request_id, CASE bundle_id % 9
     END AS hi1,
   CASE bundle_id % 9 WHEN 1 THEN n WHEN 7 THEN (n + 1) // 2 END AS lo2,
   CASE bundle_id % 9 WHEN 1 THEN n WHEN 7 THEN n END AS hi2,
-  CASE bundle_id % 9 WHEN 3 THEN 'Odwrocony zakres: ''5-2'''
+  CASE WHEN bundle_id % 18 = 12
+         THEN 'Odwrocony zakres: ''99999999999999999999-9999999999999999'''
+       WHEN bundle_id % 18 = 13
+         THEN printf('Strona 99999999999999999999999999999999999999999 poza dokumentem (1-%d)', n)
+       ELSE CASE bundle_id % 9 WHEN 3 THEN 'Odwrocony zakres: ''5-2'''
     WHEN 4 THEN 'Nieprawidlowy fragment zakresu: ''2-x'''
     WHEN 5 THEN printf('Strona %d poza dokumentem (1-%d)', n + 1, n)
     WHEN 6 THEN 'Zakres stron jest pusty'
-    WHEN 8 THEN 'Nieprawidlowy numer strony: ''y''' END AS error FROM pcount),
+    WHEN 8 THEN 'Nieprawidlowy numer strony: ''y''' END END AS error FROM pcount),
 sel AS (SELECT request_id, bundle_id, n, page_number, text, coalesce(page_number
           BETWEEN lo1 AND hi1, FALSE) OR coalesce(page_number BETWEEN lo2 AND hi2, FALSE) AS chosen
         FROM ps JOIN pg USING (bundle_id) WHERE error IS NULL),

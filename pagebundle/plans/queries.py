@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,7 @@ from pagebundle.operators import reads as rd
 from pagebundle.operators import rules
 from pagebundle.operators import segments as sg
 from pagebundle.operators import verdicts as vd
-from pagebundle.plans.split import Split, known_types_column, split_bundles
+from pagebundle.plans.split import Split, split_bundles
 from pagebundle.sources import adapters as ad
 from pagebundle.sources import attachments as at
 from pagebundle.sources import dictionary as dic
@@ -370,6 +371,20 @@ def tenant_classification(spark, sf):
     ).select("bundle_id", "page_number", "dict_id", "is_first", "document_type", "confidence")
 
 
+@query
+def tenant_classification_chunked(spark, sf):
+    """Three tenants share every bundle id; the bounds force the dictionaries into chunks."""
+    owner = F.explode(F.array(F.lit("en"), F.lit("fr"), F.lit("es"))).alias("dict_id")
+    shared = ad.trial_dictionary(spark)
+    per_lang = shared.withColumn("dict_id", F.lit("en")).unionByName(
+        shared.where("pattern_idx >= 1").withColumn("dict_id", F.lit("fr"))
+    )
+    tiny = replace(KEEP, max_embedded_patterns=1)
+    return rules.classify_pages(_pages(spark, sf).select("*", owner), per_lang, tiny).select(
+        "bundle_id", "page_number", "dict_id", "is_first", "document_type", "confidence"
+    )
+
+
 @query
 def phrase_affinities(spark, sf):
     pages = rules.classify_pages(_pages(spark, sf), ad.trial_dictionary(spark), KEEP)
@@ -736,13 +751,9 @@ def _replies(spark, sf) -> DataFrame:
     return ad.responses(_pages(spark, sf))
 
 
-def _known(spark) -> Column:
-    return known_types_column(ad.trial_dictionary(spark), KEEP)
-
-
 def _verdict_context(spark, sf) -> DataFrame:
     current = F.when(F.col("page_number") % 2 == 0, "Alpha")
-    return vd.verdict_context(_pages(spark, sf), current, _known(spark), KEEP)
+    return vd.verdict_context(_pages(spark, sf), current, ad.trial_dictionary(spark), KEEP)
 
 
 @query
@@ -792,15 +803,29 @@ def verdict_confidence(spark, sf):
 
 @query
 def verdict_guard(spark, sf):
-    judged = vd.judged_verdicts(_replies(spark, sf), _known(spark), KEEP)
+    judged = vd.judged_verdicts(_replies(spark, sf), ad.trial_dictionary(spark), KEEP)
     return judged.where("hint.verdict IS NOT NULL").select(
         "bundle_id", "page_number", "current_type", _joined("hint.guard").alias("guard")
     )
 
 
+@query
+def verdict_guard_tenants(spark, sf):
+    """Every reply is asked for two tenants; a type of one is not known to the other."""
+    owners = F.explode(F.array(F.lit("t0"), F.lit("t2"))).alias("dict_id")
+    patterns = ad.trial_dictionary(spark)
+    per_tenant = patterns.withColumn("dict_id", F.lit("t0")).unionByName(
+        patterns.where(~F.col("document_type").isin("Alpha", "Delta")).withColumn("dict_id", F.lit("t2"))
+    )
+    judged = vd.judged_verdicts(_replies(spark, sf).select("*", owners), per_tenant, KEEP)
+    return judged.where("hint.verdict IS NOT NULL").select(
+        "bundle_id", "page_number", "current_type", "dict_id", _joined("hint.guard").alias("guard")
+    )
+
+
 @query
 def verdict_gate(spark, sf):
-    judged = vd.judged_verdicts(_replies(spark, sf), _known(spark), KEEP)
+    judged = vd.judged_verdicts(_replies(spark, sf), ad.trial_dictionary(spark), KEEP)
     return judged.select(
         "bundle_id", "page_number", "current_type", F.col("hint.accepted").alias("accepted")
     )
@@ -842,7 +867,7 @@ def _evaluated(spark, sf) -> DataFrame:
             F.when(p % 4 != 0, p % 8 < 4).alias("isKnownType"),
         ).alias("expected"),
     )
-    judged = vd.judged_verdicts(replies, _known(spark), KEEP)
+    judged = vd.judged_verdicts(replies, ad.trial_dictionary(spark), KEEP)
     got = judged.select(
         key, F.col("hint.verdict").alias("verdict"), F.col("hint.guard").alias("guard"),
         (p % 50 / 10.0).alias("seconds"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagebundle.config import SplitConfig
@@ -12,7 +12,6 @@ from pagebundle.operators import documents as dc
 from pagebundle.operators import reads as rd
 from pagebundle.operators import segments as sg
 from pagebundle.operators import verdicts as vd
-from pagebundle.sources import dictionary as dic
 from pagebundle.staging import stage
 
 
@@ -62,16 +61,6 @@ class Split:
         return Split(stage(self.states, "page_states"), self.cfg)
 
 
-def known_types_column(patterns: DataFrame, cfg: SplitConfig) -> Column:
-    """The sorted active types of one dictionary as a constant (size checked)."""
-    if not dic.within_embedding_bounds(
-        patterns, cfg.max_embedded_patterns, cfg.max_embedded_chars
-    ):
-        raise ValueError("dictionary too large to list its types in a prompt")
-    names = sorted(r[0] for r in dic.known_types(patterns).select("document_type").collect())
-    return F.array(*[F.lit(n) for n in names]).cast("array<string>")
-
-
 def split_bundles(
     pages: DataFrame,
     patterns: DataFrame,
@@ -96,5 +85,8 @@ def split_bundles(
         return Split(sg.no_verdicts(sg.page_states(facts, cfg)), cfg)
     if cfg.empty_mode == "remove":  # read several times from here on
         facts = stage(facts, "removable_facts")
-    judged = vd.judged_verdicts(responses, known_types_column(patterns, cfg), cfg)
+    if "dict_id" in pages.columns and "dict_id" not in responses.columns:
+        owners = pages.select("bundle_id", "page_number", "dict_id")
+        responses = responses.join(owners, ["bundle_id", "page_number"])
+    judged = vd.judged_verdicts(responses, patterns, cfg)
     return Split(vd.verdict_states(facts, judged, cfg), cfg)

@@ -92,7 +92,7 @@ def recogniser_output(spark: SparkSession, sf_dir: str, pages: DataFrame) -> Dat
 
 
 def responses(pages: DataFrame) -> DataFrame:
-    """One model reply per page and possible current type."""
+    """One model reply per page and possible current type; some malformed or mistyped."""
     types = F.array(
         *[
             F.struct(F.lit(i).alias("t"), F.lit(name).alias("current_type"))
@@ -119,9 +119,22 @@ def responses(pages: DataFrame) -> DataFrame:
         .when(F.col("n") % 6 == 2, "Beta").when(F.col("n") % 6 == 3, "Gamma")
         .when(F.col("n") % 6 == 4, "Delta").otherwise(F.col("current_type"))
     )
+    kind = F.col("n") % 17
+    content = (
+        F.when(kind == 0, "no answer")
+        .when(kind == 3, F.concat(body, F.lit(" i jeszcze {x}")))
+        .when(kind == 5, F.replace(body, F.lit('"'), F.lit("'")))
+        .when(kind == 7, F.replace(body, F.lit('["layout"'), F.lit("[7")))
+        .when(kind == 9, F.replace(body, F.lit('["s1", "s2", "s3", "s4"]'), F.lit("null")))
+        .when(
+            kind == 11,
+            F.regexp_replace(body, r'"confidence": ([0-9.]+)', '"confidence": "$1"'),
+        )
+        .otherwise(body)
+    )
     return (
         keyed.withColumn("n", n).withColumn("proposed", proposed)
-        .withColumn("content", F.when(F.col("n") % 17 == 0, "no answer").otherwise(body))
+        .withColumn("content", content)
         .select("bundle_id", "page_number", "current_type", "content")
     )
 
@@ -143,13 +156,15 @@ def page_counts(pages: DataFrame) -> DataFrame:
 
 def page_requests(counts: DataFrame) -> DataFrame:
     """One page-range request per bundle: plain, overlapping, reversed, out of bounds,
-    garbage, padded and blank."""
+    garbage, padded, blank and with numbers of any length."""
     b, n = F.col("bundle_id"), F.col("page_count")
     text = lambda c: c.cast("string")
     spec = (
         F.when(b % 9 == 0, F.concat(F.lit("1-"), text(F.greatest(F.lit(1), F.floor(n / 2)))))
         .when(b % 9 == 1, F.concat(text(n), F.lit(", 1 ,,1-1")))
         .when(b % 9 == 2, F.concat(F.lit("1-"), text(n)))
+        .when(b % 18 == 12, "99999999999999999999-9999999999999999")
+        .when(b % 18 == 13, "1,00099999999999999999999999999999999999999999")
         .when(b % 9 == 3, "5-2")
         .when(b % 9 == 4, "2-x")
         .when(b % 9 == 5, F.concat(F.lit("1-"), text(n + 1_000_000)))
@@ -212,13 +227,14 @@ def pattern_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     no_header = F.concat(F.lit('[{"documentType": '), q, kind, q, F.lit("}]"))
     payload = (
-        F.when(k % 6 == 1, no_header).when(k % 6 == 2, "[{")
+        F.when(k % 30 == 0, F.concat(full, F.lit(" x")))
+        .when(k % 30 == 5, F.replace(full, q, F.lit("'")))
+        .when(k % 30 == 6, F.replace(full, F.lit('["a", "b"]'), F.lit('"a"')))
+        .when(k % 30 == 11, F.replace(full, F.lit('"phrases": ["a", "b"]'), F.lit('"phrases": null')))
+        .when(k % 30 == 12, F.replace(full, F.lit('"header": "x"'), F.lit('"header": 7')))
+        .when(k % 6 == 1, no_header).when(k % 6 == 2, "[{")
         .when(k % 6 == 3, "[]").when(k % 6 == 4, '{"header": "x"}').otherwise(full)
     )
     return table(spark, sf_dir, "part").select(
         k.cast("string").alias("payload_id"), payload.alias("payload")
     )
-
-
-def as_constant(names: list[str]) -> Column:
-    return F.array(*[F.lit(n) for n in names])

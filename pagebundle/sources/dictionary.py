@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagebundle import fixed
+from pagebundle.functions import json as js
 from pagebundle.functions import text
+from pagebundle.staging import stage
 
 PATTERN_SCHEMA = (
     "dict_id string, pattern_idx int, document_type string, header string, "
@@ -18,11 +20,7 @@ _PREPARED_STRUCT = (
     "phrases:array<struct<text:string,norm:string>>,excluded:array<string>,"
     "weight:double>"
 )
-# every field is optional text first: numbers and flags may arrive quoted
-_PAYLOAD_SCHEMA = (
-    "array<struct<documentType:string,header:string,phrases:array<string>,"
-    "excludedPhrases:array<string>,weight:string>>"
-)
+_PAYLOAD_FIELDS = ("documentType", "header", "phrases", "excludedPhrases", "weight")
 
 
 def split_phrase_list(col: Column) -> Column:
@@ -66,33 +64,39 @@ def dictionary_join(types: DataFrame, rows: DataFrame, type_form: str) -> DataFr
     return rows.where("active").drop("active").join(live, "type_id", "inner")
 
 
+def _payload_item(item: Column) -> Column:
+    """The fields of one item; null where a field is missing or of the wrong kind."""
+    weight = js.field(item, "weight")
+    return F.struct(
+        js.as_text(js.field(item, "documentType")).alias("documentType"),
+        js.as_text(js.field(item, "header")).alias("header"),
+        js.as_texts(js.field(item, "phrases")).alias("phrases"),
+        js.as_texts(js.field(item, "excludedPhrases")).alias("excludedPhrases"),
+        F.when(weight.isNull(), F.lit(1.0)).otherwise(js.as_number(weight)).alias("weight"),
+    )
+
+
 def parse_patterns(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(payload_id, payload) -> (patterns, rejected payloads with an error).
 
-    A payload is one unit: a malformed array or one item without a required field
-    rejects all of it.
+    A payload is one unit: anything but one JSON array, or one item with a field missing
+    or of the wrong kind, rejects all of it.
     """
-    parsed = payloads.withColumn("items", F.from_json("payload", _PAYLOAD_SCHEMA))
+    whole = js.parse_one(F.col("payload"))
+    parsed = payloads.withColumn(
+        "items",
+        F.transform(
+            F.when(js.kind(whole).startswith("ARRAY"), F.try_variant_get(whole, "$", "array<variant>")), _payload_item
+        ),
+    )
 
     def acceptable(item: Column) -> Column:
-        weight_ok = item["weight"].isNull() | item["weight"].try_cast("double").isNotNull()
-        whole = ~F.exists(
-            F.coalesce(item["phrases"], F.array()), lambda s: s.isNull()
-        ) & ~F.exists(F.coalesce(item["excludedPhrases"], F.array()), lambda s: s.isNull())
-        return (
-            item.isNotNull()
-            & item["documentType"].isNotNull()
-            & item["header"].isNotNull()
-            & weight_ok
-            & whole
+        return F.forall(
+            F.array(*[item[name].isNotNull() for name in _PAYLOAD_FIELDS]), lambda present: present
         )
 
-    is_array = F.ltrim(F.col("payload")).startswith("[")
-    valid = F.coalesce(
-        is_array & F.col("items").isNotNull() & F.forall("items", acceptable), F.lit(False)
-    )
+    valid = F.coalesce(F.col("items").isNotNull() & F.forall("items", acceptable), F.lit(False))
     checked = parsed.withColumn("valid", valid)
-    empty = F.array().cast("array<string>")
     patterns = (
         checked.where("valid")
         .select("payload_id", F.posexplode("items").alias("pattern_idx", "item"))
@@ -101,9 +105,9 @@ def parse_patterns(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
             "pattern_idx",
             F.col("item.documentType").alias("document_type"),
             F.col("item.header").alias("header"),
-            F.coalesce("item.phrases", empty).alias("phrases"),
-            F.coalesce("item.excludedPhrases", empty).alias("excluded_phrases"),
-            F.coalesce(F.col("item.weight").try_cast("double"), F.lit(1.0)).alias("weight"),
+            F.col("item.phrases").alias("phrases"),
+            F.col("item.excludedPhrases").alias("excluded_phrases"),
+            F.col("item.weight").alias("weight"),
             F.lit(True).alias("active"),
         )
     )
@@ -126,6 +130,28 @@ def known_types(patterns: DataFrame) -> DataFrame:
     return active_patterns(patterns).select("dict_id", "document_type").distinct()
 
 
+def with_known_types(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``rows`` + known_types, the sorted active types of their dictionary.
+
+    Rows without dict_id use all types given. The types are one row per dictionary and
+    join by its id, whatever their number.
+    """
+    single = "dict_id" not in rows.columns
+    if single:
+        rows, patterns = (d.withColumn("dict_id", F.lit("default")) for d in (rows, patterns))
+    # Written first: its size tells Spark how to join it without moving the rows.
+    types = stage(
+        known_types(patterns).groupBy("dict_id").agg(
+            F.sort_array(F.collect_list("document_type")).alias("known_types")
+        ),
+        "known_types",
+    )
+    joined = rows.join(types, "dict_id", "left").withColumn(
+        "known_types", F.coalesce("known_types", F.array().cast("array<string>"))
+    )
+    return joined.drop("dict_id") if single else joined
+
+
 def normalized_patterns(patterns: DataFrame) -> DataFrame:
     """Active patterns with every matching form computed once; headerless ones drop."""
     norm_all = lambda col: F.transform(col, text.normalize_text)

@@ -28,7 +28,20 @@ def test_examples_and_errors(spark):
         "Nieprawidlowy fragment zakresu: '2-x'", "Nieprawidlowy numer strony: 'y'",
         "Odwrocony zakres: '3-1'", "Nieprawidlowy fragment zakresu: '-3'", [5, 6],
         "Strona 0 poza dokumentem (1-10)", "Strona 11 poza dokumentem (1-10)",
-        "Strona 1000000000000000 poza dokumentem (1-5)", [10],
+        "Strona 99999999999999999999999 poza dokumentem (1-5)", [10],
+    ]
+
+
+def test_numbers_of_any_length_are_exact(spark):
+    long = "9" * 60
+    assert parse(spark, [
+        ("99999999999999999999-9999999999999999", 10), (f"1-{long}", 10), (f"{long},{long}0", 10),
+        (f"{long}0-{long}", 10), ("0" * 50 + "3", 10), (f"+{long}", 10), ("1__0", 10), ("-0", 10),
+    ]) == [
+        "Odwrocony zakres: '99999999999999999999-9999999999999999'",
+        "Strona 11 poza dokumentem (1-10)", f"Strona {long} poza dokumentem (1-10)",
+        f"Odwrocony zakres: '{long}0-{long}'", [3], f"Strona {long} poza dokumentem (1-10)",
+        "Nieprawidlowy numer strony: '1__0'", "Nieprawidlowy fragment zakresu: '-0'",
     ]
 
 

@@ -96,6 +96,28 @@ def test_reply_parsing_and_prompts(spark):
     assert (rows[0].documentType, rows[0].confidence, rows[0].reasonCodes) == ("", 0.6, [])
     assert (rows[1].isFirstPage, rows[1].documentType, rows[1].confidence) == (False, "A", 0.5)
     assert rows[2:6] == [None] * 4 and rows[6].confidence == 1.0
+
+    def reply(**changed):
+        fields = {"isFirstPage": "true", "documentType": '"A"', "isKnownType": "true", "confidence": "0.5"}
+        return "{" + ", ".join(f'"{k}": {v}' for k, v in (fields | changed).items()) + "}"
+
+    rejected = [
+        reply() + " i jeszcze {x}", reply().replace('"', "'"), reply() + reply(), reply(confidence='"60"'),
+        reply(reasonCodes='"a"'), reply(reasonCodes="[1]"), reply(reasonCodes="null"), reply(reasonCodes='["a", null]'),
+        reply(suggestedNewPatterns="null"), reply(documentType="7"), reply(documentType='["A"]'), reply(isFirstPage="null"),
+        reply(isFirstPage="2"), reply(isKnownType='"maybe"'), reply(confidence="null"), reply(confidence='"nan"'), "{" + reply(),
+    ]
+    accepted = [
+        reply(documentType="false"), reply(documentType="0"), reply(documentType='""'), reply(confidence='"0.25"'),
+        reply(isFirstPage="1", isKnownType='"No"'), reply(confidence="true"), reply(reasonCodes='["a"]', suggestedNewPatterns="[]"),
+    ]
+    odd = spark.createDataFrame(list(enumerate(rejected + accepted)), "i int, c string")
+    got = [r.v for r in odd.select("i", vd.parse_verdict(F.col("c")).alias("v")).orderBy("i").collect()]
+    assert got[: len(rejected)] == [None] * len(rejected)
+    got = got[len(rejected):]
+    assert [v.documentType for v in got] == ["", "", "", "A", "A", "A", "A"]
+    assert got[3].confidence == 0.25 and got[5].confidence == 1.0 and got[6].reasonCodes == ["a"]
+    assert (got[4].isFirstPage, got[4].isKnownType) == (True, False)
     context = spark.createDataFrame([("{aktualna_strona}", "p")],
                                     "aktualna_strona string, poprzednia_strona string")
     for name in vd.CONTEXT_FIELDS:
