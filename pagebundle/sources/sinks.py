@@ -1,16 +1,12 @@
-"""Writing nested results and child records."""
+"""Writing child records."""
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_split_results(results: DataFrame, path: str, fmt: str = "parquet") -> None:
-    results.write.mode("overwrite").format(fmt).save(path)
-
-
 def pending_children(documents: DataFrame, high_water: DataFrame) -> DataFrame:
     """Documents not yet created: index above the bundle's high-water mark.
 
@@ -33,18 +29,23 @@ def advanced_marks(documents: DataFrame, high_water: DataFrame) -> DataFrame:
     )
 
 
+def written_before(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
+    """Rows that earlier batches wrote under ``path``; empty if there are none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path).where(F.col("batch_id") < batch_id)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def write_children(batch: DataFrame, batch_id: int, path: str) -> None:
-    """Append children of one batch once, also when the batch is replayed.
+    """Append children of one batch once, in whatever order they come and also when replayed.
 
-    Marks come from earlier batches only and the batch's own folder is overwritten,
-    so a replay writes the same rows to the same place.
+    Earlier batches decide what is new and the batch's own folder is overwritten, so a
+    replay writes the same rows to the same place.
     """
-    spark = batch.sparkSession
-    schema = "bundle_id long, document_index int, batch_id long"
-    try:
-        created = spark.read.schema(schema).parquet(path).where(F.col("batch_id") < batch_id)
-    except AnalysisException:  # nothing written yet
-        created = spark.createDataFrame([], schema)
-    touched = created.join(batch.select("bundle_id").distinct(), "bundle_id", "left_semi")
-    marks = touched.groupBy("bundle_id").agg(F.max("document_index").alias("last_created"))
-    pending_children(batch, marks).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    key = ["bundle_id", "document_index"]
+    created = written_before(batch.sparkSession, path, "bundle_id long, document_index int, batch_id long", batch_id)
+    fresh = batch.dropDuplicates(key).join(created.select(*key), key, "left_anti")
+    fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

@@ -6,7 +6,6 @@ spark.sql.streaming.stateStore.providerClass = ROCKSDB_PROVIDER.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,20 +30,28 @@ def complete_blocks(
     pages: DataFrame, cfg: SplitConfig, ttl_seconds: int, delay: str = "10 minutes"
 ) -> DataFrame:
     """pages (bundle_id, page_number, text, page_count, ts) -> pages of complete blocks,
-    and an error row per block given up."""
-    keyed = pages.withWatermark("ts", delay).withColumn(
-        "block", page_block("page_number", cfg.block_pages)
+    and an error row per block given up.
+
+    A page also announces the blocks next to its own. If a whole block never arrives, one
+    that borders on an arrived block is known by this and gives up in time.
+    """
+    size = cfg.block_pages
+    own, last = page_block("page_number", size), page_block("page_count", size)
+    blocks = F.filter(F.array(own, own - 1, own + 1), lambda b: (b >= 0) & (b <= last))
+    keyed = (
+        pages.withWatermark("ts", delay)
+        .withColumn("block", F.explode(blocks))
+        .withColumn("page_number", F.when(F.col("block") == own, F.col("page_number")))
+        .withColumn("text", F.when(F.col("page_number").isNotNull(), F.col("text")))
     )
     return keyed.groupBy("bundle_id", "block").transformWithStateInPandas(
         pr.BlockAssembler(cfg.block_pages, ttl_seconds), _BLOCKS, "Append", "EventTime"
     )
 
 
-def _read(spark, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:  # nothing written yet
-        return spark.createDataFrame([], schema)
+def _failed(spark, root: str, batch_id: int) -> DataFrame:
+    """Bundles given up before this batch."""
+    return sinks.written_before(spark, f"{root}/failed", "bundle_id long, batch_id long", batch_id).select("bundle_id")
 
 
 def _complete_bundles(batch: DataFrame, batch_id: int, root: str, size: int) -> DataFrame:
@@ -60,7 +67,8 @@ def _complete_bundles(batch: DataFrame, batch_id: int, root: str, size: int) ->
     path = f"{root}/blocks"
     long.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     schema = "bundle_id long, block long, page_number int, text string, page_count long, batch_id long"
-    kept = _read(spark, path, schema).where(F.col("batch_id") <= batch_id)
+    kept = sinks.written_before(spark, path, schema, batch_id + 1)
+    kept = kept.join(_failed(spark, root, batch_id + 1), "bundle_id", "left_anti")
     touched = kept.join(long.select("bundle_id").distinct(), "bundle_id", "left_semi")
     finished = (
         touched.select("bundle_id", "page_count", "block").distinct()
@@ -85,7 +93,8 @@ def split_stream(
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            batch.where("error IS NOT NULL").select("bundle_id", "error").distinct().withColumn(
+            given_up = batch.where("error IS NOT NULL").groupBy("bundle_id").agg(F.min("error").alias("error"))
+            given_up.join(_failed(batch.sparkSession, root, batch_id), "bundle_id", "left_anti").withColumn(
                 "status", F.lit(fixed.STATUS_FAILED)
             ).write.mode("overwrite").parquet(f"{root}/failed/batch_id={batch_id}")
             ready = _complete_bundles(batch, batch_id, root, cfg.block_pages)
@@ -107,17 +116,22 @@ def split_stream(
 
 
 def dedup_stream(events: DataFrame) -> DataFrame:
-    """Submissions with their duplicates; events as in operators.jobs, all with an element.
+    """Submissions with their duplicates; events as in operators.jobs.
 
-    Only kinds that open or close a job reach the state.
+    Only kinds that open or close a job reach the state. Submissions without element are
+    never duplicates and need none.
     """
+    anonymous = events.where((F.col("kind") == "submit") & F.col("element_id").isNull()).select(
+        "seq", "element_id", F.lit(False).alias("duplicate"), F.col("seq").alias("job_id")
+    )
     relevant = events.where(
         F.col("kind").isin("submit", "done", "failed", "delete") & F.col("element_id").isNotNull()
     ).select("element_id", "seq", "kind")
-    return relevant.groupBy("element_id").transformWithStateInPandas(
+    named = relevant.groupBy("element_id").transformWithStateInPandas(
         pr.SubmissionDedup(), "seq long, element_id long, duplicate boolean, job_id long",
         "Update", "None",
     )
+    return named.unionByName(anonymous)
 
 
 def job_state_stream(events: DataFrame, ttl_seconds: int, delay: str = "0 seconds") -> DataFrame:

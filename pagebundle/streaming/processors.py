@@ -40,6 +40,8 @@ class BlockAssembler(StatefulProcessor):
         for frame in rows:
             for row in frame.itertuples(index=False):
                 page_count = int(row.page_count)
+                if pd.isna(row.page_number):  # announced by a neighbouring block
+                    continue
                 page = (int(row.page_number),)
                 if not self.pages.containsKey(page):
                     seen += 1
@@ -50,8 +52,7 @@ class BlockAssembler(StatefulProcessor):
                     max(first, timerValues.getCurrentWatermarkInMs()) + self.ttl_ms
                 )
                 fresh = False
-        expected = min(self.size, page_count - block * self.size)
-        if seen < expected:
+        if seen < self._expected(key, page_count):
             self.meta.update((page_count, seen, False))
             return
         found = sorted((k[0], v[0]) for k, v in self.pages.iterator())
@@ -66,6 +67,9 @@ class BlockAssembler(StatefulProcessor):
             }
         )
 
+    def _expected(self, key: Any, page_count: int) -> int:
+        return min(self.size, page_count - int(key[1]) * self.size)
+
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo):
         page_count, seen, done = self.meta.get()
         self.pages.clear()
@@ -75,7 +79,7 @@ class BlockAssembler(StatefulProcessor):
                 {
                     "bundle_id": [int(key[0])], "block": [int(key[1])], "page_number": [None],
                     "text": [None], "page_count": [page_count],
-                    "error": [f"{seen} of {page_count} pages arrived in time"],
+                    "error": [f"block {int(key[1]) + 1}: {seen} of {self._expected(key, page_count)} pages arrived in time"],
                 }
             )
 
@@ -111,39 +115,48 @@ class SubmissionDedup(StatefulProcessor):
 
 
 class JobState(StatefulProcessor):
-    """Latest state per job; finished jobs expire ``ttl`` seconds after their end."""
+    """State after a job's last event by ``seq``; finished jobs expire ``ttl`` seconds after their end.
+
+    Events that come late change nothing that a later one decided, and nothing brings a
+    deleted job back: it is remembered for ``ttl`` seconds after its delete.
+    """
 
     def __init__(self, ttl_seconds: int) -> None:
         self.ttl_ms = ttl_seconds * _MS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "status string, finished_ms long")
+        self.state = handle.getValueState("state", "status string, finished_ms long, seq long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues):
-        status, finished = self.state.get() if self.state.exists() else (None, None)
+        status, finished, last = self.state.get() if self.state.exists() else (None, None, None)
+        before = status
         for row in _in_order(rows, "seq").itertuples(index=False):
-            if row.kind == "delete":
-                status = "deleted"
+            if status == "deleted":
                 break
-            status = "queued" if row.kind == "submit" else row.kind
-            if status in ("done", "failed"):
-                finished = int(row.ts.timestamp() * _MS)
+            if row.kind == "delete":
+                status, finished = "deleted", int(row.ts.timestamp() * _MS)
+            elif last is None or row.seq > last:
+                last = int(row.seq)
+                status = "queued" if row.kind == "submit" else row.kind
+                if status in ("done", "failed"):
+                    finished = int(row.ts.timestamp() * _MS)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if status == "deleted":
-            self.state.clear()
-        else:
-            self.state.update((status, finished))
-            if finished is not None:
-                self.handle.registerTimer(
-                    max(finished + self.ttl_ms, timerValues.getCurrentWatermarkInMs()) + 1
-                )
+        self.state.update((status, finished, last))
+        if finished is not None:
+            self.handle.registerTimer(
+                max(finished + self.ttl_ms, timerValues.getCurrentWatermarkInMs()) + 1
+            )
+        if before == "deleted":
+            return
         yield pd.DataFrame({"job_id": [int(key[0])], "status": [status]})
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo):
+        deleted = self.state.exists() and self.state.get()[0] == "deleted"
         self.state.clear()
-        yield pd.DataFrame({"job_id": [int(key[0])], "status": ["expired"]})
+        if not deleted:
+            yield pd.DataFrame({"job_id": [int(key[0])], "status": ["expired"]})
 
     def close(self) -> None:
         pass

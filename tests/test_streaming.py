@@ -45,7 +45,14 @@ def test_split_stream_equals_batch(spark, tmp_path):
     counted = pages.join(ad.page_counts(pages), "bundle_id").withColumn(
         "ts", F.lit("2024-01-01").cast("timestamp")
     )
-    missing = counted.where("NOT (bundle_id = 3 AND page_number = 2)")
+    # one page of bundle 3 and a whole middle block of bundle 4 never arrive
+    longest = spark.createDataFrame([(4000 + i // 9, i % 9 + 1, "THING") for i in range(18)],
+                                    "bundle_id long, page_number int, text string")
+    longest = longest.withColumn("page_count", F.lit(9)).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    counted = counted.select(*longest.columns).unionByName(longest)
+    missing = counted.where("NOT (bundle_id = 3 AND page_number = 2)").where(
+        "NOT (bundle_id = 4001 AND page_number BETWEEN 4 AND 6)"
+    )
     late = spark.createDataFrame(
         [(999, 1, "THING", 1, "2024-01-02")],
         "bundle_id long, page_number int, text string, page_count long, ts string",
@@ -70,11 +77,16 @@ def test_split_stream_equals_batch(spark, tmp_path):
     ).documents
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     failed = spark.read.parquet(f"{root}/failed").collect()
-    assert {(r.bundle_id, r.status) for r in failed} == {(3, "failed")}
+    assert sorted((r.bundle_id, r.status) for r in failed) == [(3, "failed"), (4001, "failed")]
+    assert {r.error for r in failed if r.bundle_id == 4001} == {"block 2: 0 of 3 pages arrived in time"}
+    split = spark.read.parquet(f"{root}/documents").where("bundle_id >= 4000").select("bundle_id").distinct()
+    assert [r.bundle_id for r in split.collect()] == [4000]
 
 
 def test_dedup_stream_equals_batch(spark, tmp_path):
-    events = ad.job_events(spark, SF_DIR)
+    events = ad.job_events(spark, SF_DIR).withColumn(
+        "element_id", F.when(F.col("seq") % 7 > 0, F.col("element_id"))
+    )
     stream = as_stream(spark, events, tmp_path / "in", 4, "seq")
     got = drain(st.dedup_stream(stream), tmp_path).drop("batch_id")
     want = jb.dedup_submissions(jb.job_log(events))
@@ -93,11 +105,26 @@ def test_job_state_stream_equals_batch_and_expires(spark, tmp_path):
     latest = emitted.groupBy("job_id").agg(F.max_by("status", "batch_id").alias("status"))
     want = jb.job_state(log).select("job_id", "status")
     assert sorted(map(tuple, latest.collect())) == sorted(map(tuple, want.collect()))
+    shuffled = as_stream(spark, log, tmp_path / "in3", 4, F.xxhash64("seq"))
+    emitted = drain(st.job_state_stream(shuffled, 10**9, "10000 days"), tmp_path / "shuffled")
+    latest = emitted.groupBy("job_id").agg(F.max_by("status", "batch_id").alias("status"))
+    assert sorted(map(tuple, latest.collect())) == sorted(map(tuple, want.collect()))
     stream = as_stream(spark, log, tmp_path / "in2", 3, "seq")
     emitted = drain(st.job_state_stream(stream, 3600), tmp_path / "ttl")
     assert emitted.where("status = 'expired'").count() > 0
 
 
+def test_nothing_brings_a_deleted_job_back(spark, tmp_path):
+    events = spark.createDataFrame(
+        [(1, 1, "submit"), (4, 1, "delete"), (3, 1, "running"), (5, 1, "done"), (7, 2, "done"), (6, 2, "running")],
+        "seq long, job_id long, kind string",
+    ).withColumn("ts", F.lit("2024-01-01").cast("timestamp")).withColumn("at", F.monotonically_increasing_id())
+    stream = as_stream(spark, events, tmp_path / "in", 6, "at")
+    emitted = drain(st.job_state_stream(stream, 10**9, "10000 days"), tmp_path).orderBy("batch_id").collect()
+    assert [r.status for r in emitted if r.job_id == 1] == ["queued", "deleted"]
+    assert [r.status for r in emitted if r.job_id == 2][-1] == "done"
+
+
 def test_attempts_stream_equals_batch(spark, tmp_path):
     events = ad.job_events(spark, SF_DIR, signup="enter").withColumn(
         "ts", F.col("ts").cast("timestamp")
@@ -134,7 +161,7 @@ def test_children_written_once(spark, tmp_path):
     docs = split_bundles(
         ad.conversation_pages(spark, SF_DIR), ad.trial_dictionary(spark)
     ).documents
-    stream = as_stream(spark, docs, tmp_path / "in", 2, "document_index")
+    stream = as_stream(spark, docs, tmp_path / "in", 3, F.desc("document_index"))
     path = str(tmp_path / "children")
     st.children_stream(stream, path, str(tmp_path / "ckpt")).awaitTermination()
     # the same input delivered again (as after a lost checkpoint) adds nothing new
