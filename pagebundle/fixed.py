@@ -108,6 +108,7 @@ TEXT_LOST_LIMIT = "Zadanie %s przepadlo %d raz(y) - limit prob wyczerpany."
 TEXT_FAILED_LIMIT = "Zadanie %s zakonczone bledem: %s"
 TEXT_BUSY = "splitter zajety, ponowienie"
 TEXT_UNREACHABLE = "splitter niedostepny, ponowienie"
+TEXT_TIMEOUT = "splitter nie odpowiada, ponowienie"
 
 # --- child comments --------------------------------------------------------------------
 COMMENT_HEAD = "Type: %s; pages %d-%d; confidence %.2f; requires review: %s"

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagebundle import fixed
-from pagebundle.operators.scan import prefix_scan
+from pagebundle.operators.scan import RANGE_ROWS, in_ranges, prefix_scan
 from pagebundle.staging import stage
 
 SEQ_BLOCK = 1_000_000
@@ -86,14 +86,14 @@ def job_state(log: DataFrame) -> DataFrame:
     )
 
 
-def queue_position(jobs: DataFrame, block: int = SEQ_BLOCK) -> DataFrame:
+def queue_position(jobs: DataFrame, block: int = RANGE_ROWS) -> DataFrame:
     """1-based arrival rank of queued jobs, 0 for all others.
 
-    The rank is global; it is counted per range of job ids, then over the ranges.
+    The rank is global; it is counted per range of rows, then over the ranges.
     """
     waiting = (F.col("status") == "queued").cast("int")
-    jobs = stage(jobs, "jobs")
-    ranked = prefix_scan(jobs, [], ["job_id"], _seq_block("job_id", block), sums={"rank": waiting})
+    ranged, at = in_ranges(jobs, ["job_id"], block)
+    ranked = prefix_scan(ranged, [], ["job_id"], at, sums={"rank": waiting})
     return ranked.withColumn("position", F.when(waiting == 1, F.col("rank")).otherwise(0)).drop(
         "rank"
     )
@@ -156,17 +156,13 @@ def result_readiness(lookups: DataFrame, jobs: DataFrame) -> DataFrame:
     )
 
 
-def backlog_depth(log: DataFrame, limit: int, block: int = SEQ_BLOCK) -> DataFrame:
+def backlog_depth(log: DataFrame, limit: int, block: int = RANGE_ROWS) -> DataFrame:
     """Waiting jobs after every queue event; submissions that met a full queue."""
-    moves = stage(
-        log.where("accepted OR dequeues").select(
-            "seq", "ts", "kind", F.when(F.col("accepted"), 1).otherwise(-1).alias("change")
-        ),
-        "queue_moves",
-    )
-    depth = prefix_scan(
-        moves, [], ["seq"], _seq_block("seq", block), sums={"depth": F.col("change")}
+    moves = log.where("accepted OR dequeues").select(
+        "seq", "ts", "kind", F.when(F.col("accepted"), 1).otherwise(-1).alias("change")
     )
+    ranged, at = in_ranges(moves, ["seq"], block)
+    depth = prefix_scan(ranged, [], ["seq"], at, sums={"depth": F.col("change")})
     return depth.select(
         "seq", "kind", "depth",
         ((F.col("change") == 1) & (F.col("depth") - 1 >= limit)).alias("met_full_queue"),
@@ -225,7 +221,12 @@ def stalled_elements(attempts: DataFrame, now: Column, limit_seconds: int) -> Da
 
 
 def status_text(status: DataFrame, attempts: DataFrame, max_attempts: int) -> DataFrame:
-    """Operator text per job; attempts: element_id, attempts of the current stay."""
+    """Operator text per job; attempts: element_id, attempts of the current stay.
+
+    Besides the states of a job, status may be lost (a job the service does not know),
+    or busy, unreachable or timeout (it could not be asked; this is no attempt). Other
+    states have no text.
+    """
     job = F.col("job_id").cast("string")
     error, tries = F.coalesce("error", F.lit("")), F.coalesce("attempts", F.lit(0))
     text = (
@@ -235,8 +236,19 @@ def status_text(status: DataFrame, attempts: DataFrame, max_attempts: int) -> Da
             F.col("status") == "done",
             F.format_string(fixed.TEXT_DONE, "document_count", "review_count"),
         )
-        .when(tries >= max_attempts, F.format_string(fixed.TEXT_FAILED_LIMIT, job, error))
-        .otherwise(F.format_string(fixed.TEXT_FAILED_RETRY, tries, error))
+        .when(F.col("status") == "busy", fixed.TEXT_BUSY)
+        .when(F.col("status") == "unreachable", fixed.TEXT_UNREACHABLE)
+        .when(F.col("status") == "timeout", fixed.TEXT_TIMEOUT)
+        .when(
+            F.col("status") == "lost",
+            F.when(tries >= max_attempts, F.format_string(fixed.TEXT_LOST_LIMIT, job, tries))
+            .otherwise(F.format_string(fixed.TEXT_LOST_RETRY, tries)),
+        )
+        .when(
+            F.col("status") == "failed",
+            F.when(tries >= max_attempts, F.format_string(fixed.TEXT_FAILED_LIMIT, job, error))
+            .otherwise(F.format_string(fixed.TEXT_FAILED_RETRY, tries, error)),
+        )
     )
     # jobs without an element have no attempts; as null keys they would meet in one task
     owned = status.where("element_id IS NOT NULL").join(attempts, "element_id", "left")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagebundle.operators.scan import prefix_scan
-from pagebundle.staging import stage
+from pagebundle.operators.scan import RANGE_ROWS, in_ranges, prefix_scan
 
 COUNTERS = ("pages", "ocr_pages", "llm_calls", "documents", "documents_requiring_review")
 
@@ -40,11 +39,6 @@ def job_metrics(
     )
 
 
-def without_model(metrics: DataFrame) -> DataFrame:
-    """With the model switched off nothing is asked."""
-    return metrics.withColumn("llm_calls", F.lit(0).cast("long"))
-
-
 def review_rate(review: Column, documents: Column) -> Column:
     return F.when(documents > 0, F.round(review / documents, 4)).otherwise(F.lit(0.0))
 
@@ -78,12 +72,12 @@ def metrics_by_window(metrics: DataFrame, window: str) -> DataFrame:
     return summed.select("window.start", "window.end", *_totals(columns))
 
 
-def metrics_running(metrics: DataFrame, order: str, block: int) -> DataFrame:
-    """The snapshot after each job; ``order`` is the unique integer finishing order."""
+def metrics_running(metrics: DataFrame, order: str, block: int = RANGE_ROWS) -> DataFrame:
+    """The snapshot after each job; ``order`` is the unique finishing order."""
     names = (*COUNTERS, "duration_seconds")
+    ranged, at = in_ranges(metrics.select(order, *names), [order], block)
     scanned = prefix_scan(
-        stage(metrics.select(order, *names), "job_metrics"),
-        [], [order], F.floor(F.col(order) / F.lit(block)).cast("long"),
+        ranged, [], [order], at,
         sums={"jobs": F.lit(1), **{f"run_{c}": F.col(c) for c in names}},
     )
     columns = {"jobs": F.col("jobs"), **{c: F.col(f"run_{c}") for c in names}}

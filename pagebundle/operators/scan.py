@@ -13,7 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pagebundle.staging import stage
+
 _BLOCK = "_block"
+_RANGE = "_range"
+#: rows of a range of a table-wide running value
+RANGE_ROWS = 1_000_000
 
 
 def page_block(page: Column | str, size: int) -> Column:
@@ -21,6 +26,18 @@ def page_block(page: Column | str, size: int) -> Column:
     return F.floor((page - 1) / F.lit(size)).cast("long")
 
 
+def in_ranges(df: DataFrame, order: list[str], rows: int) -> tuple[DataFrame, Column]:
+    """A table of ``df`` in ranges of its (unique) order, and the column of the range.
+
+    For running values over a whole table: ranges hold about ``rows`` rows whatever the
+    gaps between the order's values, so one carry per range stays a short table.
+    """
+    table = stage(df, "unranged")
+    parts = max(1, -(-table.count() // rows))
+    ranged = table.repartitionByRange(parts, *order).withColumn(_RANGE, F.spark_partition_id())
+    return stage(ranged, "ranged"), F.col(_RANGE)
+
+
 def prefix_scan(
     df: DataFrame,
     keys: list[str],
@@ -83,7 +100,7 @@ def prefix_scan(
             value = F.coalesce(here, carry)
         return value.alias(name)
 
-    kept = [c for c in df.columns if c != _BLOCK]
+    kept = [c for c in df.columns if c not in (_BLOCK, _RANGE)]
     return joined.select(*kept, *[combined(n) for n in names])
 
 

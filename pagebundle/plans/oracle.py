@@ -1052,6 +1052,19 @@ SELECT job_id, element_id, status,
 FROM js LEFT JOIN (SELECT element_id, attempts FROM ao QUALIFY row_number() OVER (
   PARTITION BY element_id ORDER BY epoch DESC) = 1) USING (element_id)"""
 
+ORACLE["poll_text"] = """
+SELECT event_id AS job_id, user_id AS element_id,
+  ['lost', 'busy', 'unreachable', 'timeout', 'failed', 'odd'][event_id % 6 + 1] AS status,
+  CASE event_id % 6
+    WHEN 0 THEN CASE WHEN coalesce(n, 0) >= 3 THEN printf('Zadanie %d przepadlo %d raz(y) - limit prob wyczerpany.', event_id, n)
+                     ELSE printf('zadanie przepadlo, ponowienie (%d)', coalesce(n, 0)) END
+    WHEN 1 THEN 'splitter zajety, ponowienie' WHEN 2 THEN 'splitter niedostepny, ponowienie'
+    WHEN 3 THEN 'splitter nie odpowiada, ponowienie'
+    WHEN 4 THEN CASE WHEN coalesce(n, 0) >= 3 THEN printf('Zadanie %d zakonczone bledem: %s', event_id, 'zly plik')
+                     ELSE printf('blad, ponowienie (%d): %s', coalesce(n, 0), 'zly plik') END
+  END AS text
+FROM events LEFT JOIN (SELECT user_id, count(*) % 5 AS n FROM events WHERE user_id IS NOT NULL GROUP BY user_id) USING (user_id)"""
+
 _METRICS = _verdict_split() + """,
 jm AS (SELECT p.bundle_id, pages, coalesce(ocr_pages, 0) AS ocr_pages, llm_calls,
          coalesce(documents, 0) AS documents,

@@ -965,6 +965,22 @@ def status_text(spark, sf):
     return jb.status_text(_job_status(spark, sf), latest, KEEP.max_attempts)
 
 
+@query
+def poll_text(spark, sf):
+    """Every event as a poll that found its job in some state, also lost or not to be asked."""
+    states = F.array(*[F.lit(x) for x in ("lost", "busy", "unreachable", "timeout", "failed", "odd")])
+    polls = ad.table(spark, sf, "events").select(
+        F.col("event_id").alias("job_id"), F.col("user_id").alias("element_id"),
+        F.get(states, (F.col("event_id") % 6).cast("int")).alias("status"),
+        F.lit(0).alias("position"), F.lit(0.0).alias("running_seconds"),
+        F.lit(0).alias("document_count"), F.lit(0).alias("review_count"), F.lit("zly plik").alias("error"),
+    )
+    tries = ad.table(spark, sf, "events").groupBy(F.col("user_id").alias("element_id")).agg(
+        (F.count("*") % 5).alias("attempts")
+    )
+    return jb.status_text(polls, tries, KEEP.max_attempts)
+
+
 def _metrics(spark, sf) -> DataFrame:
     pages, ink, ocr = _scans(spark, sf, REMOVE)
     split = split_bundles(
