@@ -201,3 +201,65 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     slot, place = fresh(docs, "slot"), fresh(docs, "place")
     mixed = mix(docs, "source", stable_number(F.col("doc_id")))
     return mixed.orderBy(slot, place).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: ``mixing_digest`` in DuckDB: a recursive query serves one period, slot by slot. It rounds
+#: weights as ``quanta`` does where no source needs its guaranteed slot from another one.
+MIXING_SQL = f"""
+WITH RECURSIVE keyed AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS key,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM documents
+),
+sizes AS (SELECT key, count(*) AS n FROM keyed GROUP BY key),
+exact AS (
+  SELECT key, n, row_number() OVER (ORDER BY key) - 1 AS i, greatest({PERIOD}, 4 * count(*) OVER ()) AS period,
+    pow(n, {TEMPER}) / sum(pow(n, {TEMPER})) OVER () * greatest({PERIOD}, 4 * count(*) OVER ()) AS x
+  FROM sizes
+),
+floors AS (SELECT *, greatest(1, floor(x)::BIGINT) AS got FROM exact),
+quanta AS (
+  SELECT key, n, i, period, (n + {BLOCK_ROWS - 1}) // {BLOCK_ROWS} AS blocks,
+    got + (row_number() OVER (ORDER BY x - got DESC, key) <= period - (SELECT sum(got) FROM floors))::BIGINT AS q
+  FROM floors
+),
+shares AS (SELECT list(q ORDER BY i) AS q, any_value(period) AS period FROM quanta),
+served AS (
+  SELECT 0::BIGINT AS done, list_transform(q, lambda v: 0::BIGINT) AS used, -1::BIGINT AS turn FROM shares
+  UNION ALL
+  SELECT done + 1, list_transform(used, lambda u, j: CASE WHEN j = best.i + 1 THEN u + 1 ELSE u END), best.i
+  FROM (
+    SELECT done, used, list_min(list_filter(list_transform(range(len(q)), lambda j:
+      CASE WHEN used[j + 1] < q[j + 1] AND used[j + 1] * period // q[j + 1] <= done
+           THEN {{'due': ((used[j + 1] + 1) * period + q[j + 1] - 1) // q[j + 1], 'i': j}} END), lambda s: s IS NOT NULL)) AS best
+    FROM served, shares WHERE done < period
+  )
+),
+plan AS (
+  SELECT key, q, period, done - 1 AS slot, used[turn + 1] - 1 AS k FROM served JOIN quanta ON turn = i WHERE done > 0
+),
+ends AS (
+  SELECT max((blocks - 1) // u.q * u.period + p.slot + 1) AS stop
+  FROM quanta u JOIN plan p ON p.key = u.key AND p.k = (u.blocks - 1) % u.q
+),
+facts AS (
+  SELECT u.key, u.q, u.period, u.blocks,
+    stop // u.period * u.q + (SELECT count(*) FROM plan p WHERE p.key = u.key AND p.slot < stop % u.period) AS turns
+  FROM quanta u, ends
+),
+numbered AS (
+  SELECT doc_id, source, key,
+    row_number() OVER (PARTITION BY key ORDER BY h % greatest({BUCKETS}, (SELECT count(*) FROM keyed) // 250000), h) - 1 AS number
+  FROM keyed
+),
+turns AS (
+  SELECT doc_id, source, key, number // {BLOCK_ROWS} AS block, number % {BLOCK_ROWS} AS place, q, period, blocks,
+    unnest(range((turns - 1 - number // {BLOCK_ROWS}) // blocks + 1)) AS epoch
+  FROM numbered JOIN facts USING (key)
+)
+SELECT doc_id, source, epoch, block, place,
+  k * t.period // t.q + (epoch * blocks + block) // t.q * t.period AS release,
+  ((k + 1) * t.period + t.q - 1) // t.q + (epoch * blocks + block) // t.q * t.period AS deadline,
+  p.slot + (epoch * blocks + block) // t.q * t.period AS slot
+FROM turns t JOIN plan p ON p.key = t.key AND p.k = (epoch * blocks + block) % t.q
+"""

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagebundle.llm.common import table
+from pagebundle.llm.mixing import MIXING_SQL
 from pagebundle.llm.sharding import SHARDING_SQL
 from pagebundle.llm.urlgraph import url_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {"op6_url_filter": url_sql(), "op7_sharding": SHARDING_SQL}
+ORACLE: dict[str, str] = {"op6_url_filter": url_sql(), "op7_sharding": SHARDING_SQL, "op9_source_mixing": MIXING_SQL}
 
 
 def query(function):
