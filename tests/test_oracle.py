@@ -2,6 +2,9 @@
 
 import pytest
 
+from pagebundle.plans.oracle import ORACLE
+from pagebundle.plans.queries import QUERIES
+
 from __spark_entry__ import entry, oracle_sql, queries
 from check_oracle import compare, connect
 
@@ -26,5 +29,6 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_registry_is_complete(spark):
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE) and set(QUERIES) <= set(queries())
+    assert set(ORACLE) <= set(oracle_sql()) <= set(queries())
     assert entry(spark).count() > 0
