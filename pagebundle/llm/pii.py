@@ -183,13 +183,19 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, config: DisclosureConfig
     near = found.where(F.size("windows") > 0).select("key", F.explode("windows").alias("w")).select("key", "w.*")
     documents = found.select("key").distinct().count()
     entities = near.groupBy("entity").agg(F.countDistinct("key").alias("n_e"))
+    by_term = near.select("key", "entity", "around", F.explode("terms").alias("term"))
     pairs = (
-        near.select("key", "entity", "around", F.explode("terms").alias("term"))
-        .groupBy("entity", "term")
+        by_term.groupBy("entity", "term")
         .agg(F.countDistinct("key").alias("n_et"), F.countDistinct("around").alias("support"))
         .where(F.least("support", "n_et") >= config.min_support)
+        .join(entities, "entity")
+        .where(F.col("n_e") < documents)
     )
-    pairs = stage(pairs.join(entities, "entity"), "pii-pairs")
+    # A term's documents are at least those with it in some window. A pair for which these
+    # are already too many cannot reach the threshold: common words need no count.
+    seen = by_term.groupBy("term").agg(F.countDistinct("key").alias("n_near"))
+    most = F.col("n_et") * F.pow(F.lit(float(documents)) / F.col("n_e"), F.lit(1 - config.generalise_above + 1e-9))
+    pairs = stage(pairs.join(seen, "term").where(F.col("n_near") <= most), "pii-pairs")
     wanted = stage(pairs.select("term").distinct(), "pii-terms")
     counts = (
         docs.select("key", F.explode(_tokens(F.col("text"))).alias("term"))
@@ -201,8 +207,7 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, config: DisclosureConfig
         F.lit(float(documents)) / F.col("n_e")
     )
     return (
-        pairs.where(F.col("n_e") < documents)
-        .join(counts, "term")
+        pairs.join(counts, "term")
         .withColumn("share", share)
         .groupBy("term")
         .agg(F.max("share").alias("share"))
