@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagebundle.llm.common import short_batches
+
 _NONE = -1
 
 
@@ -158,8 +160,8 @@ def encode_pieces(pieces: list[bytes], merges: Merges) -> list[list[int]]:
         found = rank != _NONE
         queue.push_all(rank[found], at[found])
 
-    def until_drop(rank: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Splits entries where a pre-token's order matters: up to its first lower pair, and later."""
+    def until_drop(rank: int, at: np.ndarray) -> np.ndarray:
+        """Which entries can be merged at once: those up to a pre-token's first lower pair."""
         after, before = following[following[at]], previous[at]
         drops = np.zeros(len(at), dtype=bool)
         for side, left in ((after, False), (before, True)):
@@ -170,8 +172,7 @@ def encode_pieces(pieces: list[bytes], merges: Merges) -> list[list[int]]:
                 drops[has] |= (made != _NONE) & (made < rank)
         first = np.concatenate(([True], piece[at[1:]] != piece[at[:-1]]))
         earlier = np.cumsum(drops) - drops  # drops before this entry, all pre-tokens together
-        allowed = earlier == earlier[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
-        return at[allowed], at[~allowed]
+        return earlier == earlier[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
 
     requeue(np.arange(n, dtype=np.int32))
     while (popped := queue.pop_bucket()) is not None:
@@ -179,14 +180,19 @@ def encode_pieces(pieces: list[bytes], merges: Merges) -> list[list[int]]:
         at = _sorted_once(entries)
         at = at[pair[at] == rank]  # the others are stale
         if len(at) > 1:
+            waiting = at
             if (chained := following[at[:-1]] == at[1:]).any():
                 # Overlapping pairs of a run: the 1st, 3rd, 5th ... are merged.
                 index = np.arange(len(at))
                 starts = np.concatenate(([True], ~chained))
                 at = at[(index - np.maximum.accumulate(np.where(starts, index, 0))) % 2 == 0]
             if merges.may_drop[rank] and (piece[at[1:]] == piece[at[:-1]]).any():
-                at, later = until_drop(rank, at)
-                queue.push_all(np.full(len(later), rank), later)
+                taken = at[until_drop(rank, at)]
+                if len(taken) < len(at):
+                    # Overlapping ones wait too: a lower pair may change which of them are next.
+                    waiting = np.setdiff1d(waiting, taken, assume_unique=True)
+                    queue.push_all(np.full(len(waiting), rank), waiting)
+                    at = taken
         if not len(at):
             continue
         gone = following[at]
@@ -220,7 +226,7 @@ class _Numbers(dict):
 class Tokenizer:
     """Encodes and decodes whole texts; holds what one worker remembers between batches."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_remembered: int = 600_000, chunk_chars: int = 8_000_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_remembered: int = 400_000, chunk_chars: int = 8_000_000) -> None:
         self.merges = Merges(ranks)
         self.split = regex.compile(pattern).findall
         self.max_remembered, self.chunk_chars = max_remembered, chunk_chars
@@ -286,6 +292,7 @@ def encoder(spark, ranks_path: str, pattern: str):
 
     The vocabulary (bounded by its file) is read once on the driver and broadcast.
     """
+    short_batches(spark)
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -314,6 +321,7 @@ def decoder(spark, ranks_path: str):
 
 def digester(spark, ranks_path: str, pattern: str):
     """A column function: text to its token count and the digests of ids and decoded bytes."""
+    short_batches(spark)
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
 
     @F.pandas_udf(_CODED)

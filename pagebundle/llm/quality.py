@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagebundle.llm.common import WORDS, crc_bucket, fresh, stage
+from pagebundle.llm.common import WORDS, crc_bucket, fresh, short_batches, stage
 
 _COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -260,23 +260,26 @@ def judge(docs: DataFrame, stats: str, cutoffs: DataFrame, stratum: str = "lang"
     )
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """A table of the counts without texts: (doc_id, lang, s)."""
+    short_batches(docs.sparkSession)
+    return stage(docs.select("doc_id", "lang", text_stats("text").alias("s")), "quality-stats")
+
+
 def quality_digest(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """doc_id with the counts and the verdict, one row per row of ``docs``."""
-    stats = stage(docs.select("doc_id", "lang", text_stats("text").alias("s")), "quality-stats")
-    cutoffs = learn_cutoffs(labelled_metrics(stats, "s", labels), config)
-    judged = judge(stats, "s", cutoffs)
+    stats = _counted(docs)
+    judged = judge(stats, "s", learn_cutoffs(labelled_metrics(stats, "s", labels), config))
     return judged.select("doc_id", *[f"s.{c}" for c in _COUNTS[:5]], "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns.
 
-    Labelled documents are counted twice, so that no text has to be staged.
+    The texts are counted twice, once to learn and once to judge, so that none of them
+    has to be shuffled or staged.
     """
     stats = fresh(docs, "_stats")
-    ids = labels.where("quality is not null").select("doc_id").distinct()
-    labelled = docs.select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi")
-    counted = labelled.withColumn(stats, text_stats("text"))
-    cutoffs = learn_cutoffs(labelled_metrics(counted, stats, labels), config)
+    cutoffs = learn_cutoffs(labelled_metrics(_counted(docs), "s", labels), config)
     judged = judge(docs.withColumn(stats, text_stats("text")), stats, cutoffs)
     return judged.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagebundle.llm.common import WORDS_BYTES, fresh, size_checked_broadcast, stage
+from pagebundle.llm.common import WORDS_BYTES, fresh, short_batches, size_checked_broadcast, stage
 from pagebundle.llm.components import connected_components
 
 SEED = 42
@@ -101,6 +101,8 @@ def link_fingerprints(fps: DataFrame, max_bucket: int = 32, max_broadcast_keys:
 
     ``fps`` has one column fp (distinct longs) and is read three times: pass a table.
     """
+    # 64 rows come from each: a small table of few files must not mean few tasks.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     keys = stage(
         _variants(fps)
         .groupBy("key")
@@ -140,6 +142,7 @@ def link_fingerprints(fps: DataFrame, max_bucket: int = 32, max_broadcast_keys:
 
 def simhash_components(docs: DataFrame, max_bucket: int = 32) -> DataFrame:
     """doc_id, fp (long), component_id for every row of ``docs`` (doc_id, text)."""
+    short_batches(docs.sparkSession)
     prints = stage(docs.select("doc_id", fingerprints("text").alias("fp")), "simhash-prints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     edges = stage(link_fingerprints(distinct.select("fp"), max_bucket), "simhash-edges")

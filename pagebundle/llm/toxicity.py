@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagebundle.llm.common import crc_bucket, stage
+from pagebundle.llm.common import crc_bucket, short_batches, stage
 
 #: Look-alikes of Latin letters, and digits and signs read as letters.
 _LOOKALIKES = {
@@ -181,7 +181,8 @@ def learn_toxicity(
     docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()
 ) -> ToxicityModel:
     """Fits a model on labelled documents: docs (doc_id, text), labels (doc_id, toxic)."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.select("doc_id", "text")
+    short_batches(spark)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") >= 1).alias("toxic"))
     rows = known.count()
     if rows > config.max_training_rows:
