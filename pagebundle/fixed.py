@@ -6,6 +6,8 @@ UNKNOWN_CONFIDENCE = 0.20
 NO_MATCH_SIGNAL = "no_pattern_match"
 UNKNOWN_RUN_SIGNAL = "unknown_run"
 EMPTY_PAGE_MODES = ("keep", "report", "remove")
+WARN_UNKNOWN_MODE = "unknown_empty_page_mode"
+WARN_MODE_NEEDS_OCR = "empty_page_mode_needs_ocr"
 STATUS_COMPLETED = "completed"
 STATUS_REVIEW = "requires_review"
 STATUS_FAILED = "failed"

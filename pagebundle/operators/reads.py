@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagebundle import fixed
 from pagebundle.config import SplitConfig
 from pagebundle.functions.text import alnum_count, has_alnum
 from pagebundle.operators.scan import page_block
@@ -149,3 +150,19 @@ def confirmed_empty(text: Column, blank: Column, cfg: SplitConfig) -> Column:
 def empty_mode(col: Column) -> Column:
     mode = F.lower(F.trim(F.coalesce(col, F.lit(""))))
     return F.when(mode.isin("keep", "report", "remove"), mode).otherwise(F.lit("keep"))
+
+
+def mode_warnings(settings: DataFrame) -> DataFrame:
+    """(setting_id, code) of settings (setting_id, empty_page_mode, ocr_enabled) to be warned about.
+
+    An unknown mode acts as keep; a mode that looks for empty pages needs recognition.
+    """
+    mode = empty_mode(F.col("empty_page_mode"))
+    given = F.lower(F.trim(F.coalesce("empty_page_mode", F.lit(""))))
+    codes = F.array_compact(
+        F.array(
+            F.when(given != mode, fixed.WARN_UNKNOWN_MODE),
+            F.when((mode != "keep") & ~F.col("ocr_enabled"), fixed.WARN_MODE_NEEDS_OCR),
+        )
+    )
+    return settings.select("setting_id", F.explode(codes).alias("code"))

@@ -48,18 +48,17 @@ NASTEPNA_STRONA={nastepna_strona}
 
 # --- before the call --------------------------------------------------------------------
 
-def verdict_context(
-    pages: DataFrame, current_type: Column, patterns: DataFrame, cfg: SplitConfig
-) -> DataFrame:
-    """The six strings a prompt may use, per page."""
-    known = F.col("known_types")
+def _around(pages: DataFrame, cfg: SplitConfig) -> DataFrame:
+    """Pages with their neighbours' texts, all cut to what a prompt uses."""
     cut = pages.withColumn("text", F.substring("text", 1, fixed.CURRENT_CHARS))
-    around = sg.page_context(cut, cfg, fixed.PREVIOUS_CHARS, fixed.NEXT_CHARS)
-    around = dic.with_known_types(around, patterns)
+    return sg.page_context(cut, cfg, fixed.PREVIOUS_CHARS, fixed.NEXT_CHARS)
+
+
+def _context(around: DataFrame, current_type: Column, patterns: DataFrame) -> DataFrame:
     current = F.coalesce(current_type, F.lit(""))
-    return around.select(
+    return dic.with_known_types(around, patterns).select(
         "bundle_id", "page_number",
-        tx.json_string_array(known).alias("znane_typy"),
+        tx.json_string_array(F.col("known_types")).alias("znane_typy"),
         F.when(current == "", fixed.NO_CURRENT_TYPE).otherwise(current)
         .alias("typ_biezacego_dokumentu"),
         F.col("previous_text").alias("poprzednia_strona"),
@@ -69,6 +68,36 @@ def verdict_context(
     )
 
 
+def verdict_context(
+    pages: DataFrame, current_type: Column, patterns: DataFrame, cfg: SplitConfig
+) -> DataFrame:
+    """The six strings a prompt may use, per page."""
+    return _context(_around(pages, cfg), current_type, patterns)
+
+
+def pending_prompts(
+    pages: DataFrame,
+    states: DataFrame,
+    patterns: DataFrame,
+    cfg: SplitConfig,
+    user_template: str | None = None,
+    system_template: str | None = None,
+) -> DataFrame:
+    """(bundle_id, page_number, current_type, system_prompt, user_prompt) of the pages to ask about.
+
+    Only texts cut to a prompt's length take part in the joins.
+    """
+    asked = pending_verdicts(states).withColumnRenamed("current_type", "_asked_type")
+    around = _around(pages, cfg).join(asked, ["bundle_id", "page_number"])
+    return _context(around, F.col("_asked_type"), patterns).select(
+        "bundle_id", "page_number",
+        F.when(F.col("typ_biezacego_dokumentu") == fixed.NO_CURRENT_TYPE, "")
+        .otherwise(F.col("typ_biezacego_dokumentu")).alias("current_type"),
+        render_prompt(system_template, DEFAULT_SYSTEM_TEMPLATE).alias("system_prompt"),
+        render_prompt(user_template).alias("user_prompt"),
+    )
+
+
 CONTEXT_FIELDS = (
     "znane_typy", "typ_biezacego_dokumentu", "poprzednia_strona", "aktualna_strona",
     "nastepna_strona", "format_json",

@@ -485,6 +485,11 @@ ORACLE["empty_mode"] = """
 SELECT c_custkey, CASE WHEN m IN ('keep', 'report', 'remove') THEN m ELSE 'keep' END AS mode
 FROM (SELECT c_custkey, lower(trim(CASE c_custkey % 5 WHEN 0 THEN ' Remove ' WHEN 1 THEN 'REPORT'
         WHEN 2 THEN 'keep' WHEN 3 THEN '' ELSE c_mktsegment END)) AS m FROM customer)"""
+ORACLE["mode_warnings"] = f"""
+WITH m AS (SELECT c_custkey, lower(trim(CASE c_custkey % 5 WHEN 0 THEN ' Remove ' WHEN 1 THEN 'REPORT'
+        WHEN 2 THEN 'keep' WHEN 3 THEN '' ELSE c_mktsegment END)) AS m FROM customer)
+SELECT c_custkey AS setting_id, '{fixed.WARN_UNKNOWN_MODE}' AS code FROM m WHERE m NOT IN ('keep', 'report', 'remove')
+UNION ALL SELECT c_custkey, '{fixed.WARN_MODE_NEEDS_OCR}' FROM m WHERE m IN ('report', 'remove') AND c_custkey % 2 = 1"""
 ORACLE["removal_breaker"] = _SCAN["strict"] + """
 SELECT bundle_id, cand AS candidates, total, tripped FROM br"""
 ORACLE["removable_pages"] = _SCAN["strict"] + """
@@ -637,6 +642,18 @@ FROM vst v WHERE kind = 'unmatched' AND NOT is_empty
         AND rp.page_number = v.page_number
         AND rp.current_type = CASE WHEN v.is_known THEN v.cur ELSE '' END)"""
 
+ORACLE["pending_prompts"] = _verdict_split("current_type <> ''") + f""",
+cx AS (SELECT bundle_id, page_number, substring(coalesce(lag(text) OVER o, ''), 1, 2000) || '|'
+         || substring(text, 1, 4000) || '|' || substring(coalesce(lead(text) OVER o, ''), 1, 2000) AS shown
+       FROM rd WINDOW o AS (PARTITION BY bundle_id ORDER BY page_number)),
+asked AS (SELECT bundle_id, page_number, CASE WHEN is_known THEN cur ELSE '' END AS current_type
+       FROM vst WHERE kind = 'unmatched' AND NOT is_empty)
+SELECT bundle_id, page_number, current_type,
+  'Typy: [{", ".join('"' + t + '"' for t in _KNOWN)}]' AS system_prompt,
+  '[' || CASE current_type WHEN '' THEN 'BRAK' ELSE current_type END || '] ' || shown AS user_prompt
+FROM asked JOIN cx USING (bundle_id, page_number)
+ANTI JOIN rp USING (bundle_id, page_number, current_type)"""
+
 _REPLY_SQL = _with(_LINES, _replies())
 ORACLE["verdict_context"] = _with(_LINES) + f"""
 SELECT bundle_id, page_number,

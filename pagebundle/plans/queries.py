@@ -447,14 +447,27 @@ def confirmed_empty(spark, sf):
     )
 
 
-@query
-def empty_mode(spark, sf):
+def _raw_mode() -> Column:
     k = F.col("c_custkey")
-    raw = (
+    return (
         F.when(k % 5 == 0, " Remove ").when(k % 5 == 1, "REPORT").when(k % 5 == 2, "keep")
         .when(k % 5 == 3, None).otherwise(F.col("c_mktsegment"))
     )
-    return ad.table(spark, sf, "customer").select("c_custkey", rd.empty_mode(raw).alias("mode"))
+
+
+@query
+def empty_mode(spark, sf):
+    return ad.table(spark, sf, "customer").select("c_custkey", rd.empty_mode(_raw_mode()).alias("mode"))
+
+
+@query
+def mode_warnings(spark, sf):
+    return rd.mode_warnings(
+        ad.table(spark, sf, "customer").select(
+            F.col("c_custkey").alias("setting_id"), _raw_mode().alias("empty_page_mode"),
+            (F.col("c_custkey") % 2 == 0).alias("ocr_enabled"),
+        )
+    )
 
 
 def _scan_facts(spark, sf, cfg) -> DataFrame:
@@ -840,6 +853,19 @@ def pending_verdicts(spark, sf):
     return vd.pending_verdicts(split.states)
 
 
+@query
+def pending_prompts(spark, sf):
+    """Both prompts of every page that waits for a reply, from the texts after recognition."""
+    pages, ink, ocr = _scans(spark, sf, REMOVE)
+    stored = ad.responses(pages).where("current_type <> ''")
+    split = split_bundles(pages, ad.trial_dictionary(spark), REMOVE, ink, ocr, stored)
+    return vd.pending_prompts(
+        rd.page_reads(pages, ink, ocr, REMOVE), split.states, ad.trial_dictionary(spark), REMOVE,
+        "[{typ_biezacego_dokumentu}] {poprzednia_strona}|{aktualna_strona}|{nastepna_strona}",
+        "Typy: {znane_typy}",
+    )
+
+
 @query
 def eval_cases(spark, sf):
     return _evaluated(spark, sf).select(
