@@ -201,7 +201,7 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, config: DisclosureConfig
         docs.select("key", F.explode(_tokens(F.col("text"))).alias("term"))
         .join(size_checked_broadcast(wanted, config.max_broadcast_terms), "term", "left_semi")
         .groupBy("term")
-        .agg(F.count("*").alias("n_t"))
+        .agg(F.countDistinct("key").alias("n_t"))
     )
     share = F.log2(F.lit(float(documents)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(
         F.lit(float(documents)) / F.col("n_e")
@@ -238,28 +238,16 @@ def _term_spans(docs: DataFrame, terms: DataFrame, config: DisclosureConfig) ->
     return hits.select("key", spans.alias("s")).groupBy("key").agg(F.array_sort(F.flatten(F.collect_set("s"))).alias("extra"))
 
 
-def find_spans(docs: DataFrame, config: DisclosureConfig = DisclosureConfig()) -> DataFrame:
-    """A table (key, base, extra): spans of each different (doc_id, text) of ``docs``.
-
-    ``key`` is ``span_key(doc_id, text)``; base and extra are arrays of spans.
-    """
+def term_spans(docs: DataFrame, config: DisclosureConfig = DisclosureConfig()) -> DataFrame | None:
+    """A table (key, extra): spans of disclosing terms of the documents with any; None if no
+    term discloses anything. ``key`` is ``span_key(doc_id, text)``."""
     texts = docs.select(
         span_key(F.col("doc_id"), F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text")
     )
-    based = with_base_spans(texts, "text", "base")
-    found = stage(
-        based.select(
-            "key", "base",
-            F.when(F.size("base") > 0, _windows(F.col("text"), F.col("base"), config.window)).alias("windows"),
-        ),
-        "pii-found",
-    )
+    windows = F.when(F.size("base") > 0, _windows(F.col("text"), F.col("base"), config.window))
+    found = stage(with_base_spans(texts, "text", "base").select("key", windows.alias("windows")), "pii-found")
     terms = stage(disclosing_terms(found, texts, config), "pii-disclosing")
-    once = found.groupBy("key").agg(F.first("base").alias("base"))
-    if terms.isEmpty():
-        return once.withColumn("extra", F.array().cast(_SPAN))
-    extra = _term_spans(texts, terms, config)
-    return once.join(extra, "key", "left").withColumn("extra", F.coalesce("extra", F.array().cast(_SPAN)))
+    return None if terms.isEmpty() else stage(_term_spans(texts, terms, config), "pii-terms-found")
 
 
 def span_key(doc_id: Column, text: Column) -> Column:
@@ -301,19 +289,20 @@ def sanitised(text: Column, spans: Column) -> Column:
 def with_spans(docs: DataFrame, base: str, extra: str, config: DisclosureConfig = DisclosureConfig()) -> DataFrame:
     """``docs`` with its base and extra spans (arrays), one row for each of its rows.
 
-    Only the spans of documents that have any meet the texts again.
+    Base spans are found row by row, once for the statistics and once here, so that no
+    text has to be shuffled for them; only spans of disclosing terms are joined, if any.
     """
-    key, spans_key = fresh(docs, "_span_key"), fresh(docs, "_found_key")
-    spans = find_spans(docs, config).where("size(base) + size(extra) > 0")
-    spans = stage(
-        spans.select(F.col("key").alias(spans_key), F.col("base").alias(base), F.col("extra").alias(extra)), "pii-spans"
-    )
     none = F.array().cast(_SPAN)
+    extras = term_spans(docs, config)
+    text, key, found_key = (fresh(docs, n) for n in ("_span_text", "_span_key", "_found_key"))
+    based = with_base_spans(docs.withColumn(text, F.coalesce("text", F.lit(""))), text, base).drop(text)
+    if extras is None:
+        return based.withColumn(extra, none)
+    extras = extras.select(F.col("key").alias(found_key), F.col("extra").alias(extra))
     return (
-        docs.withColumn(key, span_key(F.col("doc_id"), F.col("text")))
-        .join(spans, F.col(key) == F.col(spans_key), "left")
-        .drop(key, spans_key)
-        .withColumn(base, F.coalesce(base, none))
+        based.withColumn(key, span_key(F.col("doc_id"), F.col("text")))
+        .join(size_checked_broadcast(extras, config.max_broadcast_terms), F.col(key) == F.col(found_key), "left")
+        .drop(key, found_key)
         .withColumn(extra, F.coalesce(extra, none))
     )
 

@@ -162,7 +162,7 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one_per_component(docs: DataFrame) -> DataFrame:
+def keep_one_per_component(docs: DataFrame, max_broadcast_ids: int = 1_000_000) -> DataFrame:
     """One row of ``docs`` for each component, the one whose doc_id names it.
 
     Of rows that repeat an id one stays. Rows without id cannot be named and stay.
@@ -170,8 +170,13 @@ def keep_one_per_component(docs: DataFrame) -> DataFrame:
     found = stage(simhash_components(docs.select("doc_id", "text")), "simhash-found")
     key = fresh(docs, "_id")
     ids = found.where("doc_id is not null")
-    losers = ids.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(losers, docs["doc_id"] == F.col(key), "left_anti")
+    # Ids only: up to max_broadcast_ids they travel to the texts, beyond that both shuffle.
+    losers = stage(
+        ids.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "simhash-losers"
+    )
+    kept = docs.join(
+        size_checked_broadcast(losers, max_broadcast_ids), docs["doc_id"] == F.col(key), "left_anti"
+    )
     repeated = stage(
         ids.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(key),
         "simhash-repeated",
