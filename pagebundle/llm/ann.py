@@ -11,9 +11,10 @@ leaves reaches ``target_recall``.
 
 Equal vectors are one entry that keeps its ``k`` + 1 smallest ids (Spark limits the
 groups before the shuffle), which is all that any answer can contain, so a vector that a
-third of the rows share is neither a hot key nor a long list. Large leaves are split
-into blocks by a hash; each (leaf, block) meets its queries in one grouped task, where a
-matrix product picks its best ``k`` + 1 and the pairs are scored again, exactly, in
+third of the rows share is neither a hot key nor a long list. Neighbouring leaves are
+stored together in bins of up to ``block_rows`` rows, larger leaves are split into blocks
+by a hash. A visit reads the leaf's whole bin: each (bin, block) meets its queries in one
+grouped task, where a matrix product picks its best ``k`` + 1 and the pairs are scored again, exactly, in
 double precision on the original vectors.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take
@@ -47,7 +48,7 @@ class TreeConfig:
     branching: int = 16
     leaf_rows: int = 256
     max_leaves: int = 2_000
-    block_rows: int = 2_048
+    block_rows: int = 4_096
     calibration_queries: int = 200
     target_recall: float = 0.98
 
@@ -201,6 +202,18 @@ def needed_visits(tree: Tree, queries: dict[int, np.ndarray], leaf_of: list[tupl
     return int(ranks[min(len(ranks) - 1, int(np.ceil(target * len(ranks))) - 1)])
 
 
+def bins_of(sizes: list, block_rows: int) -> list[tuple[int, int, int]]:
+    """(leaf, bin, blocks) of leaves given as (leaf, rows) in order: next ones fill a bin up to
+    ``block_rows``; a leaf beyond that is a bin of its own in several blocks."""
+    found, number, filled = [], 0, 0
+    for leaf, rows in sizes:
+        if filled and filled + rows > block_rows:
+            number, filled = number + 1, 0
+        found.append((leaf, number, max(1, -(-rows // block_rows))))
+        filled += rows
+    return found
+
+
 def nearest_neighbours(rows: DataFrame, vec_id: str, vector: str, config: TreeConfig = TreeConfig()) -> DataFrame:
     """(query_id, rank, vec_id, score) as the module text says."""
     spark, k = rows.sparkSession, config.k
@@ -251,19 +264,22 @@ def nearest_neighbours(rows: DataFrame, vec_id: str, vector: str, config: TreeCo
             for q, v in zip(batch["q"], batch["v"]):
                 yield pd.DataFrame({"q": q, "leaf": tree.visits(np.asarray(v), visits)})
 
-    # At most max_leaves rows.
+    # At most max_leaves rows: neighbouring leaves share a bin, large ones are cut into blocks.
+    sizes = sorted(entries.groupBy("leaf").count().collect())
     blocks = stage(
-        entries.groupBy("leaf").agg(F.ceil(F.count("*") / config.block_rows).cast("int").alias("blocks")), "ann-blocks"
+        spark.createDataFrame(bins_of(sizes, config.block_rows), "leaf long, bin long, blocks int"), "ann-bins"
     )
     visited = (
         asked.mapInPandas(walk, "q long, leaf long")
         .join(F.broadcast(blocks), "leaf")
+        .select("q", "bin", "blocks")
+        .distinct()
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .join(asked, "q")
-        .select("leaf", "block", "q", "v")
+        .select("bin", "block", "q", "v")
     )
     placed = entries.join(F.broadcast(blocks), "leaf").select(
-        "leaf", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"), "c", "v"
+        F.col("bin").alias("in_bin"), F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("in_block"), "c", "v"
     )
 
     def search(asked: pd.DataFrame, here: pd.DataFrame) -> pd.DataFrame:
@@ -272,7 +288,7 @@ def nearest_neighbours(rows: DataFrame, vec_id: str, vector: str, config: TreeCo
         parts = [p for i in range(0, len(pairs), 256) for p in _block_search(pairs[i : i + 256], ids, vectors, k + 1)]
         return pd.concat(parts) if parts else pd.DataFrame({"q": [], "c": [], "score": []})
 
-    found = visited.groupBy("leaf", "block").cogroup(placed.groupBy("leaf", "block")).applyInPandas(search, _FOUND)
+    found = visited.groupBy("bin", "block").cogroup(placed.groupBy("in_bin", "in_block")).applyInPandas(search, _FOUND)
     best = stage(_best(found, k + 1), "ann-best").join(entries.select("c", "ids"), "c").groupBy("q").agg(
         F.collect_list(F.struct("score", "ids")).alias("near")
     )
