@@ -24,6 +24,8 @@ by its smallest non-null doc_id (null if there is none).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -55,19 +57,23 @@ def majority_bits(hashes: np.ndarray) -> int:
     return value
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The unsigned fingerprint of one whole text."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle of one whole text in order, repeats included; none without words."""
     words = WORDS_BYTES.findall(text.encode("utf-8", "surrogatepass").lower()) if text else []
     if not words:
-        return 0
+        return np.array([], dtype=np.uint64)
     joined = b" ".join(words)
     size = min(shingle, len(words))
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))[: len(words) - size + 1].tolist()
     stops = (ends[size - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, stops)]
-    return majority_bits(np.array(hashes, dtype=np.uint64))
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype=np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The unsigned fingerprint of one whole text."""
+    return majority_bits(shingle_hashes(text, shingle))
 
 
 @F.pandas_udf(T.LongType())
@@ -146,14 +152,22 @@ def simhash_components(docs: DataFrame, max_bucket: int = 32) -> DataFrame:
     prints = stage(docs.select("doc_id", fingerprints("text").alias("fp")), "simhash-prints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     edges = stage(link_fingerprints(distinct.select("fp"), max_bucket), "simhash-edges")
+    return name_components(prints, distinct, edges, "fp")
+
+
+def name_components(prints: DataFrame, distinct: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """``prints`` (doc_id, node) with component_id, the smallest doc_id that ``edges`` (a, b) reach.
+
+    ``distinct``: each node once, with first_id, its smallest doc_id.
+    """
     roots = connected_components(edges, "a", "b")
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
+    named = distinct.join(roots.withColumnRenamed("node", node), node, "left").withColumn(
+        "root", F.coalesce("root", node)
     )
     named = stage(named, "simhash-roots")
     component = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.select("fp", "root").join(component, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = named.select(node, "root").join(component, "root").select(node, "component_id")
+    return prints.join(classes, node).select("doc_id", node, "component_id")
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
@@ -162,12 +176,15 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one_per_component(docs: DataFrame, max_broadcast_ids: int = 1_000_000) -> DataFrame:
+def keep_one_per_component(
+    docs: DataFrame, max_broadcast_ids: int = 1_000_000, components: Callable[[DataFrame], DataFrame] = simhash_components
+) -> DataFrame:
     """One row of ``docs`` for each component, the one whose doc_id names it.
 
+    ``components`` gives doc_id and component_id for every row of (doc_id, text).
     Of rows that repeat an id one stays. Rows without id cannot be named and stay.
     """
-    found = stage(simhash_components(docs.select("doc_id", "text")), "simhash-found")
+    found = stage(components(docs.select("doc_id", "text")), "simhash-found")
     key = fresh(docs, "_id")
     ids = found.where("doc_id is not null")
     # Ids only: up to max_broadcast_ids they travel to the texts, beyond that both shuffle.
