@@ -4,21 +4,24 @@ Each document gets counts over its whole text (``TEXT_STATS``). From these come
 metrics in ``METRICS``; a metric above its cutoff rejects the document. Cutoffs are
 learned per stratum (language) from labelled rows, split by a hash of the id:
 
-* the tuning third proposes candidate cutoffs (quantiles of the metric) and says how
-  many bad and good documents each would reject;
-* the other two thirds certify them. A candidate holds if the exact binomial test
-  rejects "false rejections of good documents reach ``max_false_rejection``", that is
-  if P(Bin(n, alpha) <= k) <= level, with n good holdout documents of which k would be
-  rejected. This is the same as an exact upper confidence bound below alpha.
-
-Candidates of one metric are tested from the highest cutoff down and testing stops at
-the first failure (fixed-sequence testing, no correction needed inside a sequence); the
-level is ``delta / (strata * metrics)`` over all sequences (Bonferroni). Alpha is split
-evenly over the metrics, so that the union of all rules of a stratum rejects at most
-``max_false_rejection`` of its good documents, for all strata at once with confidence
-``1 - delta``. Among certified cutoffs the one with the best margin of bad over good
-rejections on the tuning rows is taken, ties to the higher cutoff. A stratum with too
-few labelled documents certifies nothing and rejects nothing beyond the base rules.
+* the tuning third proposes a ladder of rule sets, each as strict as the one before or
+  stricter: per metric the best cutoff (a quantile of the metric, by the margin of bad over
+  good rejections) among those that reject no good tuning document, added metric by metric,
+  the best first; then all metrics with growing shares of good documents allowed;
+* the other two thirds certify them. A rule set holds if the exact binomial test rejects
+  "its false rejections of good documents reach ``max_false_rejection``", that is if
+  P(Bin(n, alpha) <= k) <= level, with n good holdout documents of which any rule of the
+  set would reject k. This is the same as an exact upper confidence bound below alpha.
+
+Rule sets are tested from the mildest on and testing stops at the first failure
+(fixed-sequence testing, no correction needed inside a sequence); the level is
+``delta / strata`` (Bonferroni). A set is judged as a whole, so alpha is not split over
+its metrics: the rules of a stratum reject at most ``max_false_rejection`` of its good
+documents, for all strata at once with confidence ``1 - delta``. Among certified sets the
+one with the best margin of bad over good rejections on the tuning rows is taken, ties to
+the milder set. A stratum with too few labelled documents certifies nothing and rejects
+nothing beyond the base rules: without false rejections n must reach
+log(delta / strata) / log(1 - alpha), that is 144 for four strata.
 
 Defined cases: a null or empty text has no words, all counts are zero and the base rule
 fails it. A null language is a stratum of its own. Repeated rows are judged one by one
@@ -157,6 +160,34 @@ def choose_cutoff(
     return None if best is None else best[1]
 
 
+#: Shares of good tuning documents that one metric of a rule set may reject.
+_ALLOWED = (0.0, 0.0025, 0.005, 0.01, 0.015, 0.02, 0.03)
+
+
+def propose_ladder(grids: list[list[float]], good: list[list[int]], bad: list[list[int]], n_good: int, n_bad: int) -> list[list[float]]:
+    """Rule sets from mild to strict: a cutoff per metric, infinite where there is no rule.
+
+    ``good[m][i]`` and ``bad[m][i]`` count the tuning rows above cutoff ``grids[m][i]``.
+    """
+
+    def best(m: int, allowed: float) -> tuple[float, float]:
+        """Margin and cutoff. More allowed rejections add lower cutoffs only, so sets are nested."""
+        found = (0.0, math.inf)
+        for i in sorted(range(len(grids[m])), key=lambda j: -grids[m][j]):
+            if good[m][i] <= allowed * n_good:
+                margin = bad[m][i] / max(n_bad, 1) - good[m][i] / max(n_good, 1)
+                found = max(found, (margin, grids[m][i]), key=lambda x: x[0])
+        return found
+
+    first = [best(m, _ALLOWED[0]) for m in range(len(grids))]
+    ladder, now = [], [math.inf] * len(grids)
+    for m in sorted(range(len(grids)), key=lambda j: -first[j][0]):
+        now[m] = first[m][1]
+        ladder.append(list(now))
+    ladder += [[best(m, allowed)[1] for m in range(len(grids))] for allowed in _ALLOWED[1:]]
+    return [s for i, s in enumerate(ladder) if min(s) < math.inf and (i == 0 or s != ladder[i - 1])]
+
+
 def learn_cutoffs(labelled: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
     """One row per stratum: ``cutoffs`` array<double> in the order of METRICS (null: no rule).
 
@@ -179,45 +210,78 @@ def learn_cutoffs(labelled: DataFrame, config: QualityConfig = QualityConfig())
         "quality-grids",
     )
     strata = max(grids.count(), 1)
-    per_value = labelled.join(grids, "stratum").select(
-        "stratum", "good", "tuning", F.posexplode(F.arrays_zip("metrics", "grids")).alias("metric", "m")
+    per_value = labelled.where("tuning").join(grids, "stratum").select(
+        "stratum", "good", F.posexplode(F.arrays_zip("metrics", "grids")).alias("metric", "m")
     )
     counts = per_value.groupBy(
-        "stratum", "metric", "good", "tuning",
-        F.size(F.filter("m.grids", lambda c: c < F.col("m.metrics"))).alias("above"),
+        "stratum", "metric", "good", F.size(F.filter("m.grids", lambda c: c < F.col("m.metrics"))).alias("above")
     ).agg(F.count("*").alias("n"))
-    sequences = (
-        counts.groupBy("stratum", "metric")
-        .agg(F.collect_list(F.struct("good", "tuning", "above", "n")).alias("counts"))
+
+    @F.pandas_udf("array<array<double>>")
+    def proposed(grids: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([_proposed([list(g) for g in gs], c) for gs, c in zip(grids, counts)], dtype="object")
+
+    ladders = (
+        counts.groupBy("stratum")
+        .agg(F.collect_list(F.struct("metric", "good", "above", "n")).alias("counts"))
         .join(grids, "stratum")
-        .select("stratum", "metric", "counts", F.element_at("grids", F.col("metric") + 1).alias("grid"))
+        .select("stratum", proposed("grids", "counts").alias("ladder"))
     )
-    alpha = config.max_false_rejection / len(METRICS)
-    level = config.delta / (strata * len(METRICS))
+    ladders = stage(ladders, "quality-ladders")
 
-    @F.pandas_udf(T.DoubleType())
-    def chosen(grid: pd.Series, counts: pd.Series) -> pd.Series:
-        return pd.Series([_chosen(list(g), c, alpha, level) for g, c in zip(grid, counts)], dtype="float64")
+    def spares(rules: Column) -> Column:
+        return ~F.exists(F.zip_with("metrics", rules, lambda value, cutoff: value > cutoff), lambda over: over)
 
-    picked = F.collect_list(F.struct("metric", F.nanvl("cutoff", F.lit(None).cast("double")).alias("cutoff")))
-    return (
-        sequences.select("stratum", "metric", chosen("grid", "counts").alias("cutoff"))
+    # Sets are nested: those that spare a row are the first ones.
+    spared = (
+        labelled.join(ladders, "stratum")
+        .groupBy("stratum", "good", "tuning", F.size(F.filter("ladder", spares)).alias("spared"))
+        .agg(F.count("*").alias("n"))
         .groupBy("stratum")
-        .agg(F.transform(F.array_sort(picked), lambda x: x["cutoff"]).alias("cutoffs"))
+        .agg(F.collect_list(F.struct("good", "tuning", "spared", "n")).alias("counts"))
     )
+    alpha, level = config.max_false_rejection, config.delta / strata
+
+    @F.pandas_udf(T.IntegerType())
+    def chosen(size: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([_chosen(int(n), c, alpha, level) for n, c in zip(size, counts)], dtype="int32")
 
+    no_rule = F.lit(None).cast("double")
+    return (
+        spared.join(ladders, "stratum")
+        .select("stratum", "ladder", chosen(F.size("ladder"), F.col("counts")).alias("at"))
+        .select(
+            "stratum",
+            F.when(
+                F.col("at") >= 0,
+                F.transform(F.get("ladder", F.col("at")), lambda c: F.when(c < float("inf"), c)),
+            ).otherwise(F.array(*[no_rule] * len(METRICS))).alias("cutoffs"),
+        )
+    )
 
-def _chosen(grid: list[float], counts, alpha: float, level: float) -> float | None:
+
+def _proposed(grids: list[list[float]], counts) -> list[list[float]]:
     """Turns counts per bucket (how many candidates lie below the value) into counts above each."""
-    over = {(g, t): [0] * (len(grid) + 1) for g in (True, False) for t in (True, False)}
+    over = {g: [[0] * (len(grid) + 1) for grid in grids] for g in (True, False)}
+    for c in counts:
+        over[bool(c["good"])][c["metric"]][c["above"]] += c["n"]
+    above = {g: [[sum(v[i + 1 :]) for i in range(len(v) - 1)] for v in over[g]] for g in over}
+    return propose_ladder(grids, above[True], above[False], sum(over[True][0]), sum(over[False][0]))
+
+
+def _chosen(sets: int, counts, alpha: float, level: float) -> int:
+    """The certified rule set of a ladder, -1 if there is none; counts say how many sets spare a row."""
+    over = {(g, t): [0] * (sets + 1) for g in (True, False) for t in (True, False)}
     for c in counts:
-        over[bool(c["good"]), bool(c["tuning"])][c["above"]] += c["n"]
+        over[bool(c["good"]), bool(c["tuning"])][c["spared"]] += c["n"]
     total = {key: sum(v) for key, v in over.items()}
-    above = {key: [sum(v[i + 1 :]) for i in range(len(grid))] for key, v in over.items()}
-    return choose_cutoff(
-        grid, above[True, True], above[False, True], above[True, False],
+    rejected = {key: [sum(v[: i + 1]) for i in range(sets)] for key, v in over.items()}
+    # Milder sets have the higher strictness rank, as the higher of two cutoffs has.
+    best = choose_cutoff(
+        [-i for i in range(sets)], rejected[True, True], rejected[False, True], rejected[True, False],
         total[True, True], total[False, True], total[True, False], alpha, level,
     )
+    return -1 if best is None else int(-best)
 
 
 def labelled_metrics(docs: DataFrame, stats: str, labels: DataFrame, stratum: str = "lang") -> DataFrame:
