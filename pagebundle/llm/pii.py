@@ -13,8 +13,9 @@ with documents counted over the whole corpus (n(e, t): t near e; n(t): t anywher
 Their ratio, at most 1, is the share of e's information that t gives away; it is 1 if t
 occurs nowhere but near e. From ``remove_above`` a term is removed, from
 ``generalise_above`` it is replaced by its category, wherever it stands. A pair needs
-``min_support`` documents and as many different surroundings (hashes of what lies around
-the window), so that copies of one document are no evidence.
+``min_support`` documents and as many different surroundings (hashes of the 400 characters
+on each side of an identifier, of the whole side where the window's words are long, over
+all its mentions in the document), so that copies of one document or passage are no evidence.
 
 All of it is DataFrame expressions: match positions come from the lengths of the pieces
 between matches; statistics are groupings with map-side sums. Patterns are written so
@@ -145,30 +146,38 @@ def joined(spans: Column) -> Column:
     )
 
 
-_REACH = 200
+#: Characters on each side of an identifier that make up its surroundings; the whole side
+#: where half of them do not hold the window.
+_REACH = 400
 
 
 def _windows(text: Column, spans: Column, words: int) -> Column:
-    """Per span: its value, the tokens near it, a hash of what lies before the window."""
+    """Per span: its value, the tokens near it, a hash of what surrounds it."""
+
+    def tokens(part: Column) -> Column:
+        return F.regexp_extract_all(F.lower(part), F.lit(_TOKEN), F.lit(0))
 
     def one(s: Column) -> Column:
-        # The text near the span, wide enough for the window; a token cut at the edge is dropped.
-        reach = words * 40
-        begin = F.greatest(s["start"] - reach, F.lit(0))
+        begin = F.greatest(s["start"] - _REACH, F.lit(0))
         left = F.substr(text, begin + 1, s["start"] - begin)
-        left = F.when(begin > 0, F.regexp_replace(left, r"^[\p{L}\p{M}\p{N}]++", "")).otherwise(left)
-        right = F.substr(text, s["stop"] + 1, F.lit(reach))
-        right = F.when(F.length(right) == reach, F.regexp_replace(right, r"[\p{L}\p{M}\p{N}]+$", "")).otherwise(right)
-        before = F.regexp_extract_all(F.lower(left), F.lit(_TOKEN), F.lit(0))
-        after = F.regexp_extract_all(F.lower(right), F.lit(_TOKEN), F.lit(0))
+        right = F.substr(text, s["stop"] + 1, F.lit(_REACH))
+        # The half next to the span, without a token that its edge may have parted, holds the
+        # window; where its tokens are too few, the whole side is read instead.
+        half = F.regexp_replace(F.substr(left, F.lit(-_REACH // 2)), r"^[\p{L}\p{M}\p{N}]++", "")
+        whole = F.size(tokens(half)) < words
+        left = F.when(whole, F.substr(text, F.lit(1), s["start"])).otherwise(left)
+        before = tokens(F.when(whole, left).otherwise(half))
+        half = F.regexp_replace(F.substr(right, F.lit(1), F.lit(_REACH // 2)), r"[\p{L}\p{M}\p{N}]+$", "")
+        whole = F.size(tokens(half)) < words
+        right = F.when(whole, F.substr(text, s["stop"] + 1, F.length(text))).otherwise(right)
+        after = tokens(F.when(whole, right).otherwise(half))
         near = F.concat(
             F.slice(before, F.greatest(F.size(before) - words + 1, F.lit(1)), F.lit(words)), F.slice(after, 1, words)
         )
-        far = F.greatest(begin - _REACH, F.lit(0))
         return F.struct(
             F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"),
             F.array_distinct(near).alias("terms"),
-            F.xxhash64(F.substr(text, far + 1, begin - far), F.substr(text, s["stop"] + reach + 1, F.lit(_REACH))).alias("around"),
+            F.xxhash64(left, right).alias("around"),
         )
 
     return F.transform(spans, one)
@@ -180,13 +189,23 @@ def _tokens(text: Column) -> Column:
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, config: DisclosureConfig) -> DataFrame:
     """(term, action): ``remove`` or ``generalise``; ``found`` is a table with key and windows."""
-    near = found.where(F.size("windows") > 0).select("key", F.explode("windows").alias("w")).select("key", "w.*")
+    # A document's surroundings of an identifier count as one, so copies with several mentions stay one.
+    near = stage(
+        found.where(F.size("windows") > 0)
+        .select("key", F.explode("windows").alias("w"))
+        .groupBy("key", F.col("w.entity").alias("entity"))
+        .agg(
+            F.array_distinct(F.flatten(F.collect_set("w.terms"))).alias("terms"),
+            F.xxhash64(F.array_sort(F.collect_set("w.around"))).alias("around"),
+        ),
+        "pii-near",
+    )
     documents = found.select("key").distinct().count()
-    entities = near.groupBy("entity").agg(F.countDistinct("key").alias("n_e"))
+    entities = near.groupBy("entity").agg(F.count("*").alias("n_e"))
     by_term = near.select("key", "entity", "around", F.explode("terms").alias("term"))
     pairs = (
         by_term.groupBy("entity", "term")
-        .agg(F.countDistinct("key").alias("n_et"), F.countDistinct("around").alias("support"))
+        .agg(F.count("*").alias("n_et"), F.countDistinct("around").alias("support"))
         .where(F.least("support", "n_et") >= config.min_support)
         .join(entities, "entity")
         .where(F.col("n_e") < documents)
