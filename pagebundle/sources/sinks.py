@@ -43,9 +43,15 @@ def write_children(batch: DataFrame, batch_id: int, path: str) -> None:
     """Append children of one batch once, in whatever order they come and also when replayed.
 
     Earlier batches decide what is new and the batch's own folder is overwritten, so a
-    replay writes the same rows to the same place.
+    replay writes the same rows to the same place. Parts of a document are rows of their own.
     """
     key = ["bundle_id", "document_index"]
-    created = written_before(batch.sparkSession, path, "bundle_id long, document_index int, batch_id long", batch_id)
+    schema = "bundle_id long, document_index int, batch_id long"
+    if "part" in batch.columns:
+        key.append("part")
+        schema += f", part {batch.schema['part'].dataType.simpleString()}"
+    created = written_before(batch.sparkSession, path, schema, batch_id)
+    if "part" in key:
+        created = created.fillna(0, ["part"])  # batches written without parts
     fresh = batch.dropDuplicates(key).join(created.select(*key), key, "left_anti")
     fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
