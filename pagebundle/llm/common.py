@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagebundle.staging import stage
 
-__all__ = ["WORDS", "WORDS_BYTES", "stage", "table", "fresh", "size_checked_broadcast", "crc_bucket", "stable_number", "small_table", "short_batches"]
+__all__ = ["WORDS", "WORDS_BYTES", "stage", "table", "fresh", "size_checked_broadcast", "crc_bucket", "stable_number", "small_table", "short_batches", "hash_bitmap", "may_hold"]
 
 #: Maximal runs of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -64,3 +65,28 @@ def short_batches(spark: SparkSession, rows: int = 2_000) -> None:
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, rows)
+
+
+def hash_bitmap(hashes: DataFrame, column: str, bits: int):
+    """A broadcast bitmap of the top ``bits`` bits of the longs in ``column``; its size is fixed.
+
+    Value without its bit set does not occur; others may. See ``may_hold``.
+    """
+    top = F.shiftrightunsigned(column, 64 - bits)
+    words = (
+        hashes.select(F.shiftright(top, 6).alias("word"), top.alias("top"))
+        .select("word", F.expr("shiftleft(1L, cast(top & 63 as int))").alias("bit"))
+        .groupBy("word")
+        .agg(F.bit_or("bit").alias("bit"))
+    )
+    table = np.zeros(1 << (bits - 6), dtype=np.int64)
+    rows = words.toArrow()  # at most one row for each 64 bits
+    table[rows["word"].to_numpy()] = rows["bit"].to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(table.tobytes())
+
+
+def may_hold(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of ``hashes`` (uint64) may be among the values of a bitmap (read as uint64)."""
+    bits = len(bitmap).bit_length() + 5
+    top = hashes >> np.uint64(64 - bits)
+    return (bitmap[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63)) & np.uint64(1)).astype(bool)

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagebundle.llm.common import table
+from pagebundle.llm.leaks import LEAKS_SQL
 from pagebundle.llm.mixing import MIXING_SQL
+from pagebundle.llm.phrases import PHRASES_SQL
 from pagebundle.llm.sharding import SHARDING_SQL
 from pagebundle.llm.urlgraph import url_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {"op6_url_filter": url_sql(), "op7_sharding": SHARDING_SQL, "op9_source_mixing": MIXING_SQL}
+ORACLE: dict[str, str] = {"op6_url_filter": url_sql(), "op7_sharding": SHARDING_SQL, "op9_source_mixing": MIXING_SQL, "op12_phrases": PHRASES_SQL, "op13_decontamination": LEAKS_SQL}
 
 
 def query(function):
@@ -91,3 +93,27 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagebundle.llm.ann import nearest_neighbours
 
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pagebundle.llm.alignment import alignment_digest
+
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment_digest(table(spark, sf_dir, "documents"), *paths)
+
+
+@query
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagebundle.llm.phrases import phrase_digest
+
+    return phrase_digest(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+@query
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagebundle.llm.leaks import leak_digest
+
+    return leak_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
