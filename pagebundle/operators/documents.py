@@ -2,15 +2,14 @@
 
 Lists that can grow with a bundle (signals, reasons, warnings, removed pages) are
 kept as ordered rows. Where the result is one nested record or one text, it is
-built per part: documents and bundles of up to ``block_pages`` pages have exactly
-one part, longer ones as many as needed, with nothing left out.
+built by blocks of pages and concatenated (operators.tree): one row per document
+or bundle at every size, the same whatever ``block_pages`` is.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagebundle import fixed
 from pagebundle.config import SplitConfig
@@ -18,6 +17,7 @@ from pagebundle.functions import text as tx
 from pagebundle.operators import rules
 from pagebundle.operators import segments as sg
 from pagebundle.operators.scan import join_ranges, page_block
+from pagebundle.operators.tree import SECTION, concatenated, sorted_values
 
 DOC = ["bundle_id", "document_index"]
 
@@ -64,7 +64,7 @@ def removed_pages(states: DataFrame, docs: DataFrame, cfg: SplitConfig) -> DataF
 
 
 def phrase_continuations(states: DataFrame, cfg: SplitConfig) -> DataFrame:
-    """Phrase -> the pages it attached, per document (and part of a long document)."""
+    """Phrase -> the pages it attached, per document."""
     hits = states.where("kind = 'phrase'").select(
         "bundle_id", F.col("segment_id").alias("document_index"), "page_number", "start_page",
         _part(F.col("page_number"), F.col("start_page"), cfg).alias("part"),
@@ -72,18 +72,18 @@ def phrase_continuations(states: DataFrame, cfg: SplitConfig) -> DataFrame:
             rules.matched_phrases(F.col("affinities"), F.col("current_type"))
         ).alias("pos", "phrase"),
     )
-    pages = F.array_sort(F.collect_list("page_number"))
-    return (
-        hits.groupBy(*DOC, "start_page", "part", "phrase")
-        .agg(pages.alias("pages"), F.min(F.struct("page_number", "pos")).alias("at"))
-        .select(
-            *DOC, "start_page", "part", "phrase", "pages",
-            F.col("at.page_number").alias("page_number"), F.col("at.pos").alias("position"),
-            F.format_string(
-                fixed.CONTINUATION_SIGNAL + "%s(%s)", "phrase",
-                F.array_join(F.col("pages").cast("array<string>"), ","),
-            ).alias("signal"),
-        )
+    key = [*DOC, "start_page", "phrase"]
+    blocks = hits.groupBy(*key, F.col("part").cast("long").alias("part")).agg(
+        F.array_sort(F.collect_list("page_number")).alias("pages"),
+        F.min(F.struct("page_number", "pos")).alias("at"),
+    )
+    return concatenated(blocks, key, "part", ["pages"], mins=("at",)).select(
+        *DOC, "start_page", "phrase", "pages",
+        F.col("at.page_number").alias("page_number"), F.col("at.pos").alias("position"),
+        F.format_string(
+            fixed.CONTINUATION_SIGNAL + "%s(%s)", "phrase",
+            F.array_join(F.col("pages").cast("array<string>"), ","),
+        ).alias("signal"),
     )
 
 
@@ -174,17 +174,14 @@ def review_reasons(states: DataFrame, cfg: SplitConfig) -> DataFrame:
     return headline.unionByName(pages).unionByName(lowest)
 
 
-def _listed_by_part(pages: DataFrame, cfg: SplitConfig) -> DataFrame:
-    """Sorted page lists per bundle and block, with the bundle's number of such pages."""
-    listed = F.array_join(
-        F.array_sort(F.collect_list("page_number")).cast("array<string>"), ", "
-    )
-    parts = pages.groupBy("bundle_id", page_block("page_number", cfg.block_pages).alias("part")).agg(
-        listed.alias("listed"), F.count(F.lit(1)).alias("n"),
+def _listed(pages: DataFrame, cfg: SplitConfig) -> DataFrame:
+    """Per bundle its pages as a sorted list, their number and the first of them."""
+    blocks = pages.groupBy("bundle_id", page_block("page_number", cfg.block_pages).cast("long").alias("part")).agg(
+        F.array_sort(F.collect_list("page_number")).alias("pages"), F.count(F.lit(1)).alias("n"),
         F.min("page_number").alias("page_number"),
     )
-    whole = Window.partitionBy("bundle_id")
-    return parts.withColumn("n", F.sum("n").over(whole))
+    whole = concatenated(blocks, ["bundle_id"], "part", ["pages"], sums=("n",), mins=("page_number",))
+    return whole.withColumn("listed", F.array_join(F.col("pages").cast("array<string>"), ", "))
 
 
 def bundle_warnings(states: DataFrame, docs: DataFrame, cfg: SplitConfig) -> DataFrame:
@@ -204,7 +201,7 @@ def bundle_warnings(states: DataFrame, docs: DataFrame, cfg: SplitConfig) -> Dat
 
     def summary(pages: DataFrame, section: int, template: str) -> DataFrame:
         return (
-            _listed_by_part(pages, cfg).join(totals.select("bundle_id", "total"), "bundle_id")
+            _listed(pages, cfg).join(totals.select("bundle_id", "total"), "bundle_id")
             .select(
                 "bundle_id", F.lit(section).alias("section"), "page_number",
                 F.format_string(template, "n", "listed", "total").alias("warning"),
@@ -239,24 +236,17 @@ def bundle_summary(states: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
-def document_parts(
+def document_records(
     docs: DataFrame, signals: DataFrame, reasons: DataFrame, removed: DataFrame, cfg: SplitConfig
 ) -> DataFrame:
-    """Documents with their lists as arrays, one row per part of a document.
-
-    Part n covers ``block_pages`` pages from page start + n * block_pages.
-    """
-    part = _part(F.col("page_number"), F.col("start_page"), cfg).alias("part")
-    blank = F.lit(None)
+    """Documents with their signals, review reasons and removed pages as arrays, one row each."""
+    part = _part(F.col("page_number"), F.col("start_page"), cfg).cast("long")
 
     def entries(df: DataFrame, kind: str, value: str, position: Column) -> DataFrame:
+        section = F.col("section") if "section" in df.columns else F.lit(0)
         return df.select(
-            *DOC, part, F.lit(kind).alias("entry"),
-            F.struct(
-                F.col("section") if "section" in df.columns else F.lit(0).alias("section"),
-                "page_number", position.alias("position"),
-                F.col(value).cast("string").alias("value"),
-            ).alias("item"),
+            *DOC, (section.cast("long") * SECTION + part).alias("part"), F.lit(kind).alias("entry"),
+            F.struct("page_number", position.alias("position"), F.col(value).cast("string").alias("value")).alias("item"),
         )
 
     tall = (
@@ -264,44 +254,34 @@ def document_parts(
         .unionByName(entries(reasons, "reason", "reason", F.lit(0)))
         .unionByName(entries(removed, "removed", "page_number", F.lit(0)))
     )
-    heads = docs.select(
-        *DOC, F.lit(0).alias("part"), F.lit("document").alias("entry"),
-        blank.cast(tall.schema["item"].dataType).alias("item"),
-    )
-    collected = tall.unionByName(heads).groupBy(*DOC, "part").agg(
-        *[
-            F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("entry") == kind, F.col("item")))),
-                lambda i: i["value"],
-            ).alias(name)
-            for kind, name in (
-                ("signal", "signals"), ("reason", "review_reasons"), ("removed", "removed_pages")
-            )
-        ]
+    kinds = {"signals": "signal", "review_reasons": "reason", "removed_pages": "removed"}
+    blocks = tall.groupBy(*DOC, "part").agg(
+        *[sorted_values(F.col("item"), "value", F.col("entry") == kind).alias(name) for name, kind in kinds.items()]
     )
-    return docs.join(collected, DOC).withColumn(
-        "removed_pages", F.col("removed_pages").cast("array<int>")
+    lists = concatenated(blocks, DOC, "part", list(kinds))
+    none = F.array().cast("array<string>")
+    return docs.join(lists, DOC, "left").withColumns(
+        {name: F.coalesce(name, none).cast("array<int>" if name == "removed_pages" else "array<string>") for name in kinds}
     )
 
 
-def split_results(parts: DataFrame, summary: DataFrame, cfg: SplitConfig) -> DataFrame:
-    """Nested records per bundle, documents in order; one record per page block."""
-    first_page = F.col("start_page") + F.col("part") * cfg.block_pages
+def split_results(records: DataFrame, summary: DataFrame, cfg: SplitConfig) -> DataFrame:
+    """One nested record per bundle, documents in order."""
     item = F.struct(
-        "document_index", "part", "document_type", "confidence", "requires_review",
-        "review_reasons", "start_page", "end_page", "output_file_name", "signals",
-        "removed_pages",
+        "document_index", "document_type", "confidence", "requires_review", "review_reasons",
+        "start_page", "end_page", "output_file_name", "signals", "removed_pages",
     )
-    records = parts.groupBy(
-        "bundle_id", page_block(first_page, cfg.block_pages).alias("record_part")
+    blocks = records.groupBy(
+        "bundle_id", page_block("start_page", cfg.block_pages).cast("long").alias("part")
     ).agg(F.array_sort(F.collect_list(item)).alias("documents"))
-    return summary.join(records, "bundle_id", "left")
+    whole = concatenated(blocks, ["bundle_id"], "part", ["documents"])
+    return summary.join(whole, "bundle_id", "left")
 
 
 def child_rows(
-    parts: DataFrame, parents: DataFrame, reasons_in_column: bool
+    records: DataFrame, parents: DataFrame, reasons_in_column: bool
 ) -> DataFrame:
-    """Rows for child records; they inherit company and parent from the bundle.
+    """Rows for child records, one per document; they inherit company and parent from the bundle.
 
     parents: bundle_id, parent_id, company_id.
     """
@@ -320,8 +300,8 @@ def child_rows(
         F.lit("") if reasons_in_column
         else appended(fixed.COMMENT_REASONS, F.col("review_reasons"), "; "),
     )
-    return parts.join(parents, "bundle_id").select(
-        *DOC, "part", "parent_id", "company_id", "document_type", "requires_review",
+    return records.join(parents, "bundle_id").select(
+        *DOC, "parent_id", "company_id", "document_type", "requires_review",
         "output_file_name",
         F.array_join("review_reasons", "\n").alias("review_reasons_text"),
         comment.alias("comment"),

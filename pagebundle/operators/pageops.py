@@ -15,6 +15,7 @@ from pagebundle import fixed
 from pagebundle.functions.bind import bind
 from pagebundle.functions.text import strip
 from pagebundle.operators.scan import join_ranges, page_block, prefix_scan
+from pagebundle.operators.tree import concatenated, sorted_values
 from pagebundle.staging import stage
 
 _INTEGER = r"^[+-]?\d+(_\d+)*$"
@@ -340,16 +341,12 @@ def document_content(
 ) -> DataFrame:
     """Original texts of a document's pages, concatenated and base64-coded.
 
-    One row per part of ``size`` output pages (a single one for usual documents).
+    One row per document; ``size`` output pages are put in order at a time.
     """
     rows = document_pages(pages, docs, removed, size)
-    item = F.struct("new_page", "text")
-    body = F.array_join(
-        F.transform(F.array_sort(F.collect_list(item)), lambda i: i["text"]), "\n"
-    )
-    part = page_block("new_page", size).cast("int").alias("part")
-    coded = F.translate(F.base64(F.encode(body, "UTF-8")), "\r\n", "")
-    return (
-        rows.groupBy("bundle_id", "document_index", part)
-        .agg(F.count(F.lit(1)).alias("pages"), coded.alias("content"))
+    blocks = rows.groupBy("bundle_id", "document_index", page_block("new_page", size).cast("long").alias("part")).agg(
+        sorted_values(F.struct("new_page", "text"), "text").alias("texts"), F.count(F.lit(1)).alias("pages")
     )
+    whole = concatenated(blocks, ["bundle_id", "document_index"], "part", ["texts"], sums=("pages",))
+    coded = F.translate(F.base64(F.encode(F.array_join("texts", "\n"), "UTF-8")), "\r\n", "")
+    return whole.select("bundle_id", "document_index", "pages", coded.alias("content"))

@@ -13,6 +13,7 @@ from pagebundle import fixed
 from pagebundle.config import SplitConfig
 from pagebundle.functions.text import alnum_count, has_alnum
 from pagebundle.operators.scan import page_block
+from pagebundle.operators.tree import concatenated
 
 KEY = ["bundle_id", "page_number"]
 
@@ -117,24 +118,32 @@ def page_reads(
 def ocr_summary(
     pages: DataFrame, ink: DataFrame, ocr: DataFrame, cfg: SplitConfig
 ) -> DataFrame:
-    """Pages filled, not improved and skipped as blank; one row per bundle and block."""
+    """Pages filled, not improved and skipped as blank; one row per bundle."""
     rows = recognised(blank_flags(pages, ink, cfg), ocr)
     outcome = (
         F.when(F.col("blank"), "skipped").when(F.col("filled"), "filled").otherwise("kept")
     )
 
-    def listed(name: str) -> list[Column]:
-        chosen = F.when(F.col("outcome") == name, F.col("page_number"))
-        pages_of = F.array_sort(F.collect_list(chosen))
-        return [
-            F.count(chosen).alias(f"{name}_pages"),
-            F.array_join(pages_of.cast("array<string>"), ",").alias(f"{name}_list"),
-        ]
+    names = ("filled", "kept", "skipped")
 
-    return (
+    def chosen(name: str) -> Column:
+        return F.when(F.col("outcome") == name, F.col("page_number"))
+
+    blocks = (
         rows.withColumn("outcome", outcome)
-        .groupBy("bundle_id", page_block("page_number", cfg.block_pages).alias("part"))
-        .agg(*listed("filled"), *listed("kept"), *listed("skipped"))
+        .groupBy("bundle_id", page_block("page_number", cfg.block_pages).cast("long").alias("part"))
+        .agg(*[F.array_sort(F.collect_list(chosen(n))).alias(n) for n in names])
+    )
+    whole = concatenated(blocks, ["bundle_id"], "part", list(names))
+    return whole.select(
+        "bundle_id",
+        *[
+            column
+            for n in names
+            for column in (
+                F.size(n).cast("long").alias(f"{n}_pages"), F.array_join(F.col(n).cast("array<string>"), ",").alias(f"{n}_list")
+            )
+        ],
     )
 
 

@@ -466,7 +466,7 @@ ORACLE["ocr_merge"] = _with(_READS) + """
 SELECT bundle_id, page_number, filled, CASE WHEN filled THEN ocr_text ELSE text END AS text
 FROM merged WHERE candidate"""
 ORACLE["ocr_summary"] = _with(_READS) + """
-SELECT bundle_id, 0 AS part,
+SELECT bundle_id,
   count(*) FILTER (o = 'f') AS filled_pages,
   coalesce(string_agg(page_number::VARCHAR, ',' ORDER BY page_number) FILTER (o = 'f'), '')
     AS filled_list,
@@ -722,7 +722,7 @@ sig AS (
   UNION ALL
   SELECT bundle_id, document_index, 2, page_number, position, signal FROM pcs)"""
 ORACLE["phrase_continuations"] = _SPLIT + "," + _PHRASES + """
-SELECT bundle_id, document_index, 0 AS part, page_number, position, signal FROM pcs"""
+SELECT bundle_id, document_index, page_number, position, signal FROM pcs"""
 ORACLE["document_signals"] = _SPLIT + "," + _SIGNALS + "SELECT * FROM sig"
 
 _AFF_TYPES = """
@@ -825,13 +825,15 @@ _LISTS = _SCAN["remove"] + ",".join(
     ["", _REMOVED, _SIGNALS, _RULE_REASONS, _SUMMARY, _DOC_LISTS]
 )
 ORACLE["split_result_nested"] = _LISTS + """
-SELECT sm.*, CASE WHEN d.bundle_id IS NOT NULL THEN 0 END AS record_part, d.types, d.documents,
-       d.signals, d.reasons, d.removed
+SELECT sm.*, d.types, d.documents, d.signals, d.reasons, d.removed
 FROM sm LEFT JOIN (SELECT bundle_id, string_agg(document_type, '|' ORDER BY document_index) AS types,
-  count(*) AS documents, sum(n_sig) AS signals, sum(n_rea) AS reasons, sum(n_rem) AS removed
+  count(*) AS documents, string_agg(coalesce(sigs, ''), '|' ORDER BY document_index) AS signals,
+  string_agg(coalesce(reas, ''), '|' ORDER BY document_index) AS reasons,
+  string_agg(coalesce(rems, ''), '|' ORDER BY document_index) AS removed
   FROM dl GROUP BY ALL) d USING (bundle_id)"""
+ORACLE["split_result_nested_blocks"] = ORACLE["split_result_nested"]
 ORACLE["child_rows"] = _LISTS + f"""
-SELECT bundle_id, document_index, 0 AS part, bundle_id AS parent_id, source AS company_id,
+SELECT bundle_id, document_index, bundle_id AS parent_id, source AS company_id,
   document_type, requires_review,
   {_FILE_NAME.format(t="document_type", a="start_page", b="end_page")} AS output_file_name,
   rea_lines AS review_reasons_text,
@@ -841,6 +843,8 @@ SELECT bundle_id, document_index, 0 AS part, bundle_id AS parent_id, source AS c
   || CASE WHEN sigs <> '' THEN '; sygnaly: ' || sigs ELSE '' END
   || CASE WHEN reas <> '' THEN '; review reasons: ' || reas ELSE '' END AS comment
 FROM dl JOIN documents ON doc_id = bundle_id"""
+ORACLE["child_rows_blocks"] = ORACLE["child_rows"]
+ORACLE["bundle_warnings_blocks"] = ORACLE["bundle_warnings"]
 ORACLE["children_resume"] = _SPLIT + """
 SELECT bundle_id, document_index, document_type FROM docs
 LEFT JOIN (SELECT doc_id AS bundle_id, n_chars % 4 AS mark FROM documents WHERE lang <> 'de')
@@ -902,7 +906,7 @@ SELECT d.bundle_id, document_index, page_number,
 FROM docs d JOIN st s ON s.bundle_id = d.bundle_id AND s.kind <> 'removed'
                      AND s.page_number BETWEEN d.start_page AND d.end_page"""
 ORACLE["document_content"] = _SCAN["remove"] + """
-SELECT d.bundle_id, document_index, 0 AS part, count(*) AS pages,
+SELECT d.bundle_id, document_index, count(*) AS pages,
   base64(encode(string_agg(f.text, chr(10) ORDER BY s.page_number))) AS content
 FROM docs d JOIN st s ON s.bundle_id = d.bundle_id AND s.kind <> 'removed'
                      AND s.page_number BETWEEN d.start_page AND d.end_page
@@ -947,7 +951,7 @@ cs AS (SELECT *, bundle_id || '-' || page_number || '-' || current_type AS id,
          CASE page_number % 3 WHEN 0 THEN 'Alpha' WHEN 1 THEN 'O''Beta' END AS e_type,
          CASE WHEN page_number % 4 <> 0 THEN page_number % 8 < 4 END AS e_known,
          (page_number % 50) / 10.0::DOUBLE AS seconds FROM vj)""", """
-er0 AS (SELECT *, CASE WHEN json IS NULL THEN '' ELSE concat_ws('|',
+er0 AS (SELECT *, CASE WHEN good IS NULL THEN '' ELSE concat_ws('|',
     CASE WHEN e_first <> v_first THEN printf('isFirstPage: oczekiwano %s, otrzymano %s',
       CASE WHEN e_first THEN 'True' ELSE 'False' END,
       CASE WHEN v_first THEN 'True' ELSE 'False' END) END,
@@ -956,8 +960,8 @@ er0 AS (SELECT *, CASE WHEN json IS NULL THEN '' ELSE concat_ws('|',
     CASE WHEN e_known <> v_known THEN printf('isKnownType: oczekiwano %s, otrzymano %s',
       CASE WHEN e_known THEN 'True' ELSE 'False' END,
       CASE WHEN v_known THEN 'True' ELSE 'False' END) END) END AS mismatches FROM cs),
-er AS (SELECT id, json IS NOT NULL AND mismatches = '' AND guard = '' AS pass, seconds,
-         CASE WHEN json IS NULL THEN 'unusable reply' END AS error, mismatches,
+er AS (SELECT id, good IS NOT NULL AND mismatches = '' AND guard = '' AS pass, seconds,
+         CASE WHEN good IS NULL THEN 'unusable reply' END AS error, mismatches,
          coalesce(guard, '') AS guard FROM er0)""")
 ORACLE["eval_cases"] = _EVAL + "SELECT * FROM er"
 ORACLE["eval_summary"] = _EVAL + """

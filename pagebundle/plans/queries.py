@@ -572,7 +572,7 @@ def removed_pages(spark, sf):
 @query
 def phrase_continuations(spark, sf):
     return dc.phrase_continuations(_split(spark, sf).states, KEEP).select(
-        "bundle_id", "document_index", "part", "page_number", "position", "signal"
+        "bundle_id", "document_index", "page_number", "position", "signal"
     )
 
 
@@ -617,27 +617,55 @@ def bundle_summary(spark, sf):
     return _scan_split(spark, sf, REMOVE).staged().summary
 
 
+#: records must not depend on where a bundle is cut
+BLOCKS = replace(REMOVE, block_pages=4)
+
+
+def _nested(split: Split) -> DataFrame:
+    def each(of) -> Column:
+        return F.array_join(F.transform("documents", of), SEP)
+
+    return split.results.select(
+        "bundle_id", "page_count", "document_count", "review_count", "status",
+        F.size("documents").alias("documents"), each(lambda d: d["document_type"]).alias("types"),
+        each(lambda d: F.array_join(d["signals"], ", ")).alias("signals"),
+        each(lambda d: F.array_join(d["review_reasons"], "; ")).alias("reasons"),
+        each(lambda d: F.array_join(d["removed_pages"].cast("array<string>"), ", ")).alias("removed"),
+    )
+
+
 @query
 def split_result_nested(spark, sf):
-    total = lambda f: F.aggregate(
-        "documents", F.lit(0), lambda n, d: n + F.size(d[f])
-    )
-    return _scan_split(spark, sf, REMOVE).staged().results.select(
-        "bundle_id", "record_part", "page_count", "document_count", "review_count", "status",
-        F.array_join(F.transform("documents", lambda d: d["document_type"]), SEP).alias("types"),
-        F.size("documents").alias("documents"), total("signals").alias("signals"),
-        total("review_reasons").alias("reasons"), total("removed_pages").alias("removed"),
-    )
+    return _nested(_scan_split(spark, sf, REMOVE).staged())
 
 
 @query
-def child_rows(spark, sf):
-    split = _scan_split(spark, sf, REMOVE).staged()
+def split_result_nested_blocks(spark, sf):
+    return _nested(_scan_split(spark, sf, BLOCKS).staged())
+
+
+def _children(spark, sf, cfg: SplitConfig) -> DataFrame:
+    split = _scan_split(spark, sf, cfg).staged()
     parents = ad.table(spark, sf, "documents").select(
         F.col("doc_id").alias("bundle_id"), F.col("doc_id").alias("parent_id"),
         F.col("source").alias("company_id"),
     )
-    return dc.child_rows(split.parts, parents, reasons_in_column=False)
+    return dc.child_rows(split.records, parents, reasons_in_column=False)
+
+
+@query
+def child_rows(spark, sf):
+    return _children(spark, sf, REMOVE)
+
+
+@query
+def child_rows_blocks(spark, sf):
+    return _children(spark, sf, BLOCKS)
+
+
+@query
+def bundle_warnings_blocks(spark, sf):
+    return _scan_split(spark, sf, replace(STRICT, block_pages=4)).staged().warnings
 
 
 @query

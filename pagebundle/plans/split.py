@@ -47,14 +47,14 @@ class Split:
         return dc.bundle_summary(self.states, self.documents)
 
     @property
-    def parts(self) -> DataFrame:
-        return dc.document_parts(
+    def records(self) -> DataFrame:
+        return dc.document_records(
             self.documents, self.signals, self.reasons, self.removed, self.cfg
         )
 
     @property
     def results(self) -> DataFrame:
-        return dc.split_results(self.parts, self.summary, self.cfg)
+        return dc.split_results(self.records, self.summary, self.cfg)
 
     def staged(self) -> Split:
         """Write the page decisions once when several results are wanted."""

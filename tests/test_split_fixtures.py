@@ -7,6 +7,9 @@ from pagebundle import SplitConfig
 from pagebundle.operators import verdicts as vd
 from pagebundle.plans.split import split_bundles
 from pagebundle.sources import dictionary as dic
+from pagebundle.operators import documents as dc
+from pagebundle.operators.tree import SECTION, concatenated
+from pagebundle.sources.sinks import write_children
 
 T2 = [
     ("t2", 0, "Karta sprzetu", "KARTA SPRZETU", ["numer seryjny", "stan licznika"], [], 1.2, True),
@@ -158,20 +161,28 @@ def test_scores_are_exact(spark):
     assert got == {0: 0.8, 1: 0.9, 2: 1.0, 3: 1.0, 4: 0.2, 5: 0.2}
 
 
-def test_parts_of_long_documents_lose_nothing(spark):
-    pages = [[HEAD0] + [PHRASE, FOREIGN] * 6]
-    whole = run(spark, pages)
-    cut = run(spark, pages, SplitConfig(min_auto_accept_confidence=0.90, block_pages=4))
-    assert whole.parts.count() == 1 and cut.parts.count() == 4
-    one = whole.parts.first()
-    flat = [s for r in cut.parts.orderBy("part").collect() for s in r.review_reasons]
-    assert flat == list(one.review_reasons)
-    glued = [s for r in cut.parts.orderBy("part").collect() for s in r.signals
-             if s.startswith("glued")]
-    assert glued == [s for s in one.signals if s.startswith("glued")]
-    numbers = lambda df: sorted(
-        int(n) for r in df.collect() for s in r.signals if s.startswith("phrase_c")
-        for n in s[s.index("(") + 1 : -1].split(",")
-    )
-    assert numbers(cut.parts) == numbers(whole.parts)
-    assert sum(len(r.documents) for r in cut.results.collect()) == 4
+def test_records_do_not_depend_on_blocks(spark, tmp_path):
+    pages = [[HEAD0] + [PHRASE, FOREIGN] * 6, [FOREIGN] * 9 + [HEAD1] + [FOREIGN, PHRASE, ""] * 3]
+    parents = spark.createDataFrame([(b, b + 100, "c") for b in range(2)], "bundle_id long, parent_id long, company_id string")
+
+    def seen(size):
+        split = run(spark, pages, SplitConfig(min_auto_accept_confidence=0.90, block_pages=size))
+        children = dc.child_rows(split.records, parents, reasons_in_column=False)
+        path = str(tmp_path / f"children-{size}")
+        for batch in (0, 0, 1):  # replayed, and sent again
+            write_children(children, batch, path)
+        tables = (split.records, split.results, children, split.warnings, spark.read.parquet(path).drop("batch_id"))
+        return [sorted(str(r.asDict(True)) for r in t.collect()) for t in tables]
+
+    whole = seen(4096)
+    assert len(whole[1]) == 2 and len(whole[0]) == len(whole[2]) == len(whole[4]) > 2
+    assert seen(4) == whole and seen(1) == whole
+
+
+def test_tree_keeps_the_order_of_sections_and_blocks(spark):
+    rows = [(k, s * SECTION + b, [f"{s}-{b}-{i}" for i in range(b % 3)], b) for k in range(2) for s in range(3) for b in (0, 1, 5, 1023, 1024, 70_000)]
+    table = spark.createDataFrame(rows, "k int, block long, items array<string>, n long").repartition(5)
+    got = {r.k: r for r in concatenated(table, ["k"], "block", ["items"], sums=("n",)).collect()}
+    for k in range(2):
+        assert got[k]["items"] == [i for r in sorted(rows) if r[0] == k for i in r[2]]
+        assert got[k]["n"] == sum(r[3] for r in rows if r[0] == k)
