@@ -13,7 +13,7 @@ no task ever holds more than ``fan`` fragments of a text at once.
 
 Encoding: neither tokenizer lets a token cross the place between a character that is no
 white space and a space after it. So texts are split there, each distinct chunk is
-encoded once per worker and remembered (up to ``REMEMBERED_BYTES``), and long texts are
+encoded once per task and remembered (up to ``REMEMBERED`` chunks), and long texts are
 encoded in their chunks. Whether the second vocabulary keeps this rule is checked on its
 pieces; if it does not, texts are encoded as a whole.
 
@@ -32,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 from typing import NamedTuple
 
 import numpy as np
@@ -41,7 +42,9 @@ from pyspark.sql import functions as F
 
 from pagebundle.llm.common import short_batches, stage
 
-REMEMBERED_BYTES = 48_000_000
+#: chunks that a worker remembers, and characters of texts it encodes together
+REMEMBERED = 400_000
+TEXTS_CHARS = 2_000_000
 #: A space and what follows, up to a space after a character that is no white space.
 CHUNKS = re.compile(r"\x20*[^\x20]+(?:(?<=[^\S\x1c-\x1f])\x20+[^\x20]*)*|\x20+")
 _NO_IDS = np.zeros(0, dtype=np.int32)
@@ -54,6 +57,39 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class _Numbers(dict):
+    """Numbers chunks in the order they come."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = number = len(self)
+        return number
+
+
+class _Kept:
+    """Lists of ids in one array."""
+
+    def __init__(self) -> None:
+        self.flat, self.starts, self.sizes = _NO_IDS, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def extend(self, lists: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))))
+        self.sizes = np.concatenate((self.sizes, sizes))
+
+    def joined(self, at: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[at]
+        stops = np.cumsum(sizes)
+        return self.flat[np.repeat(self.starts[at] - stops + sizes, sizes) + np.arange(stops[-1])]
+
+    def only(self, at: np.ndarray) -> _Kept:
+        kept = _Kept()
+        kept.sizes = self.sizes[at]
+        kept.starts = np.cumsum(kept.sizes) - kept.sizes
+        kept.flat = self.joined(at) if len(at) else _NO_IDS
+        return kept
+
+
 class Encoders:
     """Both tokenizers in a worker, with what they made of earlier chunks."""
 
@@ -83,44 +119,53 @@ class Encoders:
         self.a_len = np.array(list(map(len, self.a_bytes)), dtype=np.int64)
         self.b_len = np.array(list(map(len, self.b_bytes)), dtype=np.int64)
         self._mark = self.b.encode("a")
-        self._forget()
+        self.known, self.a_kept, self.b_kept = _Numbers(), _Kept(), _Kept()
+        self.good, self.uses = np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int64)
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.a_ids: list[np.ndarray] = []
-        self.b_ids: list[np.ndarray] = []
-        self.held = 0
+        """Keeps the chunks that several texts had, if they are not too many."""
+        often = np.flatnonzero(self.uses > 1)
+        if len(often) > REMEMBERED // 2:
+            often = often[:0]
+        chunks = list(self.known)
+        self.known = _Numbers((chunks[k], i) for i, k in enumerate(often.tolist()))
+        self.a_kept, self.b_kept = self.a_kept.only(often), self.b_kept.only(often)
+        self.good, self.uses = self.good[often], np.zeros(len(often), dtype=np.int64)
 
     def _learn(self, chunks: list[str]) -> None:
-        encoded = self.a.encode_batch_fast(chunks, add_special_tokens=False)
-        # The model adds a space of its own; "a" before a chunk of spaces keeps them all.
+        encoded = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
+        # The model adds a space of its own; "a" before a single space keeps it.
         pieces = self.b.encode([c[1:] if len(c) > 1 else "a" + c for c in chunks], num_threads=1)
-        for chunk, one, two in zip(chunks, encoded, pieces):
-            two = two if len(chunk) > 1 else two[len(self._mark) :]
-            a, b = one.ids, two
-            raw = chunk.encode("utf-8", "surrogatepass")
-            same = b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b])
-            self.known[chunk] = len(self.a_ids) if same else -1
-            if same:
-                self.a_ids.append(np.array(a, dtype=np.int32))
-                self.b_ids.append(np.array(b, dtype=np.int32))
-                self.held += 4 * (len(a) + len(b)) + len(raw) + 400
-
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of both for a space and the text; none if either does not give its bytes back."""
-        if not text:
-            return _NO_IDS, _NO_IDS
-        chunks = CHUNKS.findall(" " + text) if self.by_chunk else [" " + text]
-        if self.held > REMEMBERED_BYTES:
-            self._forget()
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if new:
-            self._learn(new)
-        numbers = [self.known[c] for c in chunks]
-        if min(numbers) < 0:
-            return _NO_IDS, _NO_IDS
-        a, b = self.a_ids, self.b_ids
-        return np.concatenate([a[i] for i in numbers]), np.concatenate([b[i] for i in numbers])
+        pieces = [p if len(c) > 1 else p[len(self._mark) :] for c, p in zip(chunks, pieces)]
+        one, two = self.a_bytes.__getitem__, self.b_bytes.__getitem__
+        good = [
+            b"".join(map(one, a)) == c.encode("utf-8", "surrogatepass") == b"".join(map(two, b))
+            for c, a, b in zip(chunks, encoded, pieces)
+        ]
+        self.a_kept.extend(encoded)
+        self.b_kept.extend(pieces)
+        self.good = np.concatenate((self.good, good))
+        self.uses = np.concatenate((self.uses, np.zeros(len(chunks), dtype=np.int64)))
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both for a space and each text; none if either does not give its bytes back."""
+        done = 0
+        while done < len(texts):
+            if len(self.known) > REMEMBERED:
+                self._forget()
+            learned, numbers, chars = len(self.known), [], 0
+            while done < len(texts) and chars < TEXTS_CHARS:
+                text = texts[done] or ""
+                chunks = [] if not text else CHUNKS.findall(" " + text) if self.by_chunk else [" " + text]
+                numbers.append(np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks)))
+                chars += len(text)
+                done += 1
+            if len(self.known) > learned:
+                self._learn(list(islice(self.known, learned, None)))
+            for at in numbers:
+                self.uses[at] += 1
+                ok = len(at) and self.good[at].all()
+                yield (self.a_kept.joined(at), self.b_kept.joined(at)) if ok else (_NO_IDS, _NO_IDS)
 
 
 class Fragment(NamedTuple):
@@ -188,13 +233,18 @@ class Aligner:
         return (len(cuts), total, groups, *counted(pairs))
 
     def fragment(self, a: np.ndarray, b: np.ndarray, a_from: int, b_from: int) -> Fragment:
-        """The fragment of the tokens that end in a range; ``a_from`` and ``b_from``: where their first ones start."""
+        """The fragment of the tokens that end in a range; ``a_from`` and ``b_from``: where their first ones start.
+
+        The start of a text is a cut, so its first range has no open prefix.
+        """
         a_ends, b_ends = a_from + np.cumsum(self.a_len[a]), b_from + np.cumsum(self.b_len[b])
         cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        if a_from == b_from == 0:
+            cuts = np.concatenate(([0], cuts))
         if not len(cuts):
             return EMPTY._replace(prefix_a=a, prefix_b=b)
-        i, j = (int(np.searchsorted(e, cuts[0])) + 1 for e in (a_ends, b_ends))
-        k, m = (int(np.searchsorted(e, cuts[-1])) + 1 for e in (a_ends, b_ends))
+        i, j = (int(np.searchsorted(e, cuts[0], side="right")) for e in (a_ends, b_ends))
+        k, m = (int(np.searchsorted(e, cuts[-1], side="right")) for e in (a_ends, b_ends))
         return Fragment(
             True, a[:i], b[:j], a[k:], b[m:], *self.closed(a[i:k], b[j:m], a_ends[i:k], b_ends[j:m], cuts[1:])
         )
@@ -222,10 +272,6 @@ class Aligner:
             sum(p.n_links for p in parts), ";".join(p.groups for p in parts), pairs, times,
         )
 
-    def whole(self, fragment: Fragment) -> Fragment:
-        """All groups of a text: its start is a cut, and its end is one."""
-        return self.compose(EMPTY._replace(cut=True), fragment)
-
     def ranges(self, a: np.ndarray, b: np.ndarray, size: int) -> list[tuple[int, np.ndarray, np.ndarray, int, int]]:
         """(number, tokens of a, tokens of b, their first starts) of each ``size`` bytes; tokens belong where they end."""
         a_ends, b_ends = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
@@ -269,13 +315,12 @@ def _encoder(vocabularies: _Vocabularies, range_bytes: int, digests: bool):
         names = ["n_a", "n_b", *Fragment._fields[5:], "ranges"]
         for texts in batches:
             rows = []
-            for text in texts:
-                a, b = encoders.encode(text)
+            for a, b in encoders.encode(list(texts)):
                 if len(a) and int(aligner.a_len[a].sum()) > range_bytes:
                     parts = [dict(zip(("part", "a", "b", "a_from", "b_from"), r)) for r in aligner.ranges(a, b, range_bytes)]
                     rows.append((len(a), len(b), 0, 0, "", [], [], parts))
                 else:
-                    f = aligner.whole(aligner.fragment(a, b, 0, 0)) if len(a) else EMPTY
+                    f = aligner.fragment(a, b, 0, 0) if len(a) else EMPTY
                     rows.append((len(a), len(b), f.n_groups, f.n_links, _digest(f.groups) if digests else f.groups, f.pairs, f.times, []))
             yield pd.DataFrame(rows, columns=names)
 
@@ -312,16 +357,9 @@ def _reduced(long: DataFrame, lengths: tuple, fan: int, digests: bool) -> DataFr
         )
         most //= fan
 
-    def finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aligner = Aligner(*lengths)
-        for batch in batches:
-            rows = []
-            for row, *values in batch[["row", *Fragment._fields]].itertuples(index=False):
-                f = aligner.whole(Fragment(*(np.asarray(v) if isinstance(v, (list, np.ndarray)) else v for v in values)))
-                rows.append((row, f.n_groups, f.n_links, _digest(f.groups) if digests else f.groups, f.pairs, f.times))
-            yield pd.DataFrame(rows, columns=["row", *Fragment._fields[5:]])
-
-    return level.mapInPandas(finished, f"row long, {_FRAGMENT}")
+    # Start and end of a text are cuts: nothing is open any more.
+    groups = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256)) if digests else F.col("groups")
+    return level.select("row", "n_groups", "n_links", groups.alias("groups"), "pairs", "times")
 
 
 def aligned(
