@@ -12,8 +12,8 @@ however long it is. Where a merge of rank r can make a pair of lower rank (known
 the vocabulary), a pre-token's entries are taken up to the first that does, and the rest
 wait until that lower pair is done.
 
-Pre-tokens repeat, so their ids are remembered per worker, up to ``max_remembered`` of
-them; beyond that the memory starts anew (a matter of speed only).
+Pre-tokens repeat, so their ids are remembered per worker, up to ``max_bytes``; beyond
+that the memory starts anew (a matter of speed only).
 
 Defined cases: a null text counts as empty and has no tokens. Special tokens are never
 recognised, their strings are ordinary text. Other columns are left alone.
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagebundle.llm.common import short_batches
+from pagebundle.llm.common import fresh, short_batches
 
 _NONE = -1
 
@@ -226,10 +226,10 @@ class _Numbers(dict):
 class Tokenizer:
     """Encodes and decodes whole texts; holds what one worker remembers between batches."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_remembered: int = 400_000, chunk_chars: int = 8_000_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_bytes: int = 64_000_000, chunk_chars: int = 2_000_000) -> None:
         self.merges = Merges(ranks)
         self.split = regex.compile(pattern).findall
-        self.max_remembered, self.chunk_chars = max_remembered, chunk_chars
+        self.max_bytes, self.chunk_chars = max_bytes, chunk_chars
         self._forget()
 
     def _forget(self) -> None:
@@ -237,6 +237,7 @@ class Tokenizer:
         self.ids: list[str] = []
         self.counts: list[int] = []
         self.decoded: list[bytes] = []
+        self.held = 0
 
     def _learn(self) -> None:
         new = list(self.number)[len(self.ids) :] if len(self.number) > len(self.ids) else []
@@ -244,12 +245,14 @@ class Tokenizer:
             self.ids.append(",".join(map(str, ids)))
             self.counts.append(len(ids))
             self.decoded.append(b"".join([self.merges.bytes_of[i] for i in ids]))
+            # Objects of about 350 bytes, and what the texts and ids take beyond a few characters.
+            self.held += 350 + 2 * len(self.decoded[-1]) + len(self.ids[-1])
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, bytes]]:
         """Text by text: number of tokens, decimal ids joined by commas, bytes decoded from the ids."""
         done = 0
         while done < len(texts):
-            if len(self.number) > self.max_remembered:
+            if self.held > self.max_bytes:
                 self._forget()
             chunk, chars = [], 0
             while done < len(texts) and (not chunk or chars < self.chunk_chars):
@@ -343,4 +346,5 @@ def bpe_digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def with_token_ids(docs: DataFrame, ranks_path: str, pattern: str, text: Column | str = "text", to: str = "token_ids") -> DataFrame:
-    return docs.withColumn(to, encoder(docs.sparkSession, ranks_path, pattern)(text))
+    """``docs`` with the ids in ``to`` (with a leading underscore where a column has that name)."""
+    return docs.withColumn(fresh(docs, to), encoder(docs.sparkSession, ranks_path, pattern)(text))

@@ -306,8 +306,10 @@ def _stratum(column: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit("null"))
 
 
-def judge(docs: DataFrame, stats: str, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """``docs`` with ``base_failed`` and ``kept``; ``stats`` names the TEXT_STATS column."""
+def judge(
+    docs: DataFrame, stats: str, cutoffs: DataFrame, stratum: str = "lang", base: str = "base_failed", verdict: str = "kept"
+) -> DataFrame:
+    """``docs`` with the columns ``base`` and ``verdict``; ``stats`` names the TEXT_STATS column."""
     key, found = fresh(docs, "_stratum"), fresh(docs, "_cutoffs")
     rules = stage(cutoffs.select(F.col("stratum").alias(key), F.col("cutoffs").alias(found)), "quality-cutoffs")
     rejected = F.exists(
@@ -318,8 +320,8 @@ def judge(docs: DataFrame, stats: str, cutoffs: DataFrame, stratum: str = "lang"
     return (
         docs.withColumn(key, _stratum(stratum))
         .join(rules, key, "left")
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & ~F.coalesce(rejected, F.lit(False)))
+        .withColumn(base, failed)
+        .withColumn(verdict, ~failed & ~F.coalesce(rejected, F.lit(False)))
         .drop(key, found)
     )
 
@@ -345,5 +347,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, config: QualityConfig = Qualit
     """
     stats = fresh(docs, "_stats")
     cutoffs = learn_cutoffs(labelled_metrics(_counted(docs), "s", labels), config)
-    judged = judge(docs.withColumn(stats, text_stats("text")), stats, cutoffs)
-    return judged.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    base, verdict = fresh(docs, "base_failed"), fresh(docs, "kept")
+    judged = judge(docs.withColumn(stats, text_stats("text")), stats, cutoffs, base=base, verdict=verdict)
+    return judged.where(F.col(verdict)).select(*[F.col(f"`{c}`") for c in docs.columns])

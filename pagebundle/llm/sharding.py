@@ -78,7 +78,11 @@ def with_shard(
     df: DataFrame, key: Column | str, shards: dict[str, int] | list[str], size: int,
     slot: str = "slot", shard: str = "shard",
 ) -> DataFrame:
-    """``df`` with the slot and the shard of each row."""
+    """``df`` with the slot and the shard of each row.
+
+    Other columns stay; where one has either name, the added one gets a leading underscore.
+    """
+    slot, shard = fresh(df, slot), fresh(df, shard)
     key = F.col(key) if isinstance(key, str) else key
     at = fresh(df, "_slot_")
     table = lookup_table(df.sparkSession, shards, size).select(F.col("slot").alias(at), F.col("shard").alias(shard))

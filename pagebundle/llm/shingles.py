@@ -1,10 +1,15 @@
-"""Near-duplicates by shared word shingles: candidates from MinHash bands, verified exactly.
+"""Near-duplicates by shared word shingles: SimHash variants and MinHash bands, verified exactly.
 
 Two texts are linked if the Jaccard similarity of their sets of 5-word shingles (XXH64,
-seed 42) is 0.8 or more. Candidates agree in one of 20 bands of 4 MinHash values: a pair
-of similarity 0.8 is missed with probability (1 - 0.8^4)^20 = 0.00003, closer ones more
-rarely. Every candidate is verified on its whole sets in integers, so no link is wrong
-(short of a collision of 64-bit hashes).
+seed 42) is 0.8 or more. Two indexes give candidates. One-wildcard variants of the
+segments of SimHash fingerprints (``simhash.py``, here of 5-word shingles) find texts
+whose fingerprints differ in at most two bits, which are the closest copies. A
+similarity of 0.8 is about ten of 64 bits, too far for variants, so texts that agree in
+one of 20 bands of 4 MinHash values are candidates too: a pair of similarity 0.8 is
+missed by these with probability (1 - 0.8^4)^20 = 0.00003, closer ones more rarely.
+Every candidate is verified on its whole sets in integers, so no link is wrong (short of
+a collision of 64-bit hashes). Sets travel in pieces of about ``piece_values`` hashes, so
+no row grows with the length of a text.
 
 Equal texts are one entry. A bucket of up to ``max_bucket`` texts is compared pairwise.
 In a larger one all members first meet three pivots, which links a group of copies in
@@ -20,16 +25,17 @@ component is named by its smallest non-null doc_id (null if there is none).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagebundle.llm.common import short_batches, size_checked_broadcast, stage
 from pagebundle.llm.components import connected_components
-from pagebundle.llm.simhash import SEED, name_components, shingle_hashes
+from pagebundle.llm.simhash import SEED, link_fingerprints, majority_bits, name_components, shingle_hashes, text_hash
 
 _EMPTY = np.array([xxhash.xxh64_intdigest(b"", SEED)], dtype=np.uint64)
 
@@ -54,44 +60,87 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
     return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
 
 
-def _bands_of(shingle: int, bands: int, rows: int):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def keys(texts: pd.Series) -> pd.Series:
-        return pd.Series([band_keys(shingle_set(t, shingle), bands, rows) for t in texts], dtype="object")
+def _prints_of(shingle: int, bands: int, rows: int):
+    @F.pandas_udf("fp long, bands array<long>")
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        table = []
+        for text in texts:
+            hashes = shingle_hashes(text, shingle)
+            keys = band_keys(np.unique(hashes) if len(hashes) else _EMPTY, bands, rows)
+            table.append((np.uint64(majority_bits(hashes)).view(np.int64), keys))
+        return pd.DataFrame(table, columns=["fp", "bands"])
+
+    return prints
 
-    return keys
 
+def _pieces_of(shingle: int, piece_values: int):
+    """Rows (node, n, level, piece, shingles): whole sets in 1 << level pieces by the hashes' first bits."""
 
-def _sets_of(shingle: int):
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts], dtype="object")
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for node, text in zip(batch["node"], batch["text"]):
+                values = shingle_set(text, shingle)
+                level = max(0, (len(values) - 1) // piece_values).bit_length()
+                cuts = np.searchsorted(values, np.arange(1, 1 << level, dtype=np.uint64) << np.uint64(64 - level)) if level else []
+                for k, part in enumerate(np.split(values.view(np.int64), cuts)):
+                    rows.append((node, len(values), level, k, part))
+                if len(rows) > 500:
+                    yield pd.DataFrame(rows, columns=["node", "n", "level", "piece", "shingles"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["node", "n", "level", "piece", "shingles"])
 
-    return sets
+    return pieces
 
 
 def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of ``percent`` or more."""
-    one, two = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"_{n}")) for n in ("a", "b"))
-    n, m = F.size("_a"), F.size("_b")
-    common = F.size(F.array_intersect("_a", "_b"))
-    # The sizes alone rule many pairs out before the sets are met.
-    possible = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    similar = F.when(possible, common * (100 + percent) >= (n + m) * percent).otherwise(False)
-    return pairs.join(two, "b").join(one, "a").where(similar).select("a", "b")
+def _verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of ``percent`` or more.
+
+    The sizes alone rule many pairs out. The others meet piece by piece, as finely as the
+    finer of both sets is cut: the hashes' first bits name the piece of the coarser one. A
+    joined row holds two pieces, never whole sets of long texts.
+    """
+    one, two = (sizes.select(F.col("node").alias(n), F.col("n").alias(f"n{n}"), F.col("level").alias(f"level{n}")) for n in ("a", "b"))
+    level = F.greatest("levela", "levelb")
+    met = (
+        pairs.join(one, "a").join(two, "b")
+        .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+        .withColumn("level", level)
+        .withColumn("k", F.explode(F.expr("sequence(0, shiftleft(1, level) - 1)")))
+        .select("a", "b", "na", "nb", *[F.expr(f"shiftright(k, level - level{n})").alias(f"piece{n}") for n in ("a", "b")])
+    )
+    for n in ("a", "b"):
+        met = met.join(sets.select(F.col("node").alias(n), F.col("piece").alias(f"piece{n}"), F.col("shingles").alias(f"set{n}")), [n, f"piece{n}"])
+    common = met.groupBy("a", "b", "na", "nb").agg(F.sum(F.size(F.array_intersect("seta", "setb"))).alias("common"))
+    return common.where((F.col("common") * (100 + percent)) >= (F.col("na") + F.col("nb")) * percent).select("a", "b")
+
+
+def variant_pairs(distinct: DataFrame, max_bucket: int) -> DataFrame:
+    """Candidates (a, b) from one-wildcard variants of SimHash fingerprints, at most two bits apart.
+
+    ``distinct``: node, fp. Texts of one fingerprint meet its smallest node, and these nodes
+    meet where their fingerprints are linked.
+    """
+    prints = stage(distinct.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "shingle-fingerprints")
+    same = distinct.join(prints.where("n > 1"), "fp").where("node <> first").select(*_pair("node", "first"))
+    edges = link_fingerprints(prints.select("fp"), max_bucket)
+    one, two = (prints.select(F.col("fp").alias(n), F.col("first").alias(f"first{n}")) for n in ("a", "b"))
+    return same.union(edges.join(one, "a").join(two, "b").select(*_pair("firsta", "firstb")))
 
 
 def similar_pairs(
-    texts: DataFrame, entries: DataFrame, shingle: int, percent: int, max_bucket: int, max_broadcast: int
+    texts: DataFrame, distinct: DataFrame, entries: DataFrame, variants: DataFrame, shingle: int, percent: int, max_bucket: int,
+    max_broadcast: int, piece_values: int,
 ) -> DataFrame:
     """A table of edges (a, b) whose components are those of all verified candidates.
 
-    ``texts``: node, text, read again for candidates only. ``entries``: key, node for
-    every band of every node; a table.
+    ``texts``: doc_id, node, text, read again for candidates only. ``distinct``: node,
+    first_id; ``entries``: key, node for every band of every node; tables. ``variants``:
+    further candidates (a, b).
     """
     node = F.col("node")
     buckets = stage(
@@ -115,17 +164,23 @@ def similar_pairs(
     many = members.where(F.col("n") > max_bucket)
     star = many.select("node", F.explode(F.array("a", "b", "c")).alias("pivot")).where("node <> pivot")
     pairs = buckets.where("n = 2").select("a", "b").union(small).union(star.select(*_pair("node", "pivot")))
-    pairs = stage(pairs.distinct(), "shingle-pairs")
+    pairs = stage(pairs.union(variants).distinct(), "shingle-pairs")
     candidates = stage(
-        pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "shingle-candidates"
+        pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        .join(distinct.select("node", "first_id"), "node").select(F.col("node").alias("_node"), F.col("first_id").alias("_id")),
+        "shingle-candidates",
     )
+    # Of copies only the row with the smallest id is read, and of rows that repeat that id too, one.
+    first = (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     sets = stage(
-        texts.join(size_checked_broadcast(candidates, max_broadcast), "node", "left_semi")
-        .select("node", _sets_of(shingle)("text").alias("shingles"))
-        .dropDuplicates(["node"]),
+        texts.join(size_checked_broadcast(candidates, max_broadcast), first, "left_semi")
+        .select("node", "text")
+        .mapInPandas(_pieces_of(shingle, piece_values), "node long, n int, level int, piece int, shingles array<long>")
+        .dropDuplicates(["node", "piece"]),
         "shingle-sets",
     )
-    linked = stage(_verified(pairs, sets, percent), "shingle-linked")
+    sizes = stage(sets.where("piece = 0").select("node", "n", "level"), "shingle-sizes")
+    linked = stage(_verified(pairs, sets, sizes, percent), "shingle-linked")
     if many.isEmpty():
         return linked
     roots = connected_components(linked, "a", "b")
@@ -148,22 +203,25 @@ def similar_pairs(
         .select(*_pair("node", "x"))
         .distinct()
     )
-    return stage(linked.union(_verified(rest, sets, percent)), "shingle-edges")
+    return stage(linked.union(_verified(rest, sets, sizes, percent)), "shingle-edges")
 
 
 def shingle_components(
     docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 20, rows: int = 4,
-    max_bucket: int = 32, max_broadcast: int = 1_000_000,
+    max_bucket: int = 32, max_broadcast: int = 1_000_000, piece_values: int = 2_000,
 ) -> DataFrame:
-    """doc_id, node (hash of the text), component_id for every row of ``docs`` (doc_id, text)."""
+    """doc_id, text_hash, node (the same), root, component_id for every row of ``docs`` (doc_id, text)."""
     short_batches(docs.sparkSession)
-    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
+    texts = docs.select("doc_id", text_hash().alias("node"), "text")
     prints = stage(
-        texts.select("doc_id", "node", _bands_of(shingle, bands, rows)("text").alias("bands")), "shingle-prints"
+        texts.select("doc_id", "node", _prints_of(shingle, bands, rows)("text").alias("p")).select("doc_id", "node", "p.*"), "shingle-prints"
     )
     distinct = stage(
-        prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "shingle-distinct"
+        prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")),
+        "shingle-distinct",
     )
     entries = stage(distinct.select(F.explode("bands").alias("key"), "node"), "shingle-entries")
-    edges = similar_pairs(texts.select("node", "text"), entries, shingle, percent, max_bucket, max_broadcast)
-    return name_components(prints.select("doc_id", "node"), distinct.select("node", "first_id"), edges, "node")
+    variants = variant_pairs(distinct.select("node", "fp"), max_bucket)
+    edges = similar_pairs(texts, distinct, entries, variants, shingle, percent, max_bucket, max_broadcast, piece_values)
+    named = name_components(prints.select("doc_id", "node"), distinct.select("node", "first_id"), edges, "node")
+    return named.withColumn("text_hash", F.col("node"))

@@ -146,28 +146,32 @@ def link_fingerprints(fps: DataFrame, max_bucket: int = 32, max_broadcast_keys:
     return pairs.union(small).union(star).distinct()
 
 
+def text_hash(text: Column | str = "text") -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def simhash_components(docs: DataFrame, max_bucket: int = 32) -> DataFrame:
-    """doc_id, fp (long), component_id for every row of ``docs`` (doc_id, text)."""
+    """doc_id, text_hash, fp (long), component_id and root for every row of ``docs`` (doc_id, text)."""
     short_batches(docs.sparkSession)
-    prints = stage(docs.select("doc_id", fingerprints("text").alias("fp")), "simhash-prints")
+    prints = stage(docs.select("doc_id", text_hash().alias("text_hash"), fingerprints("text").alias("fp")), "simhash-prints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     edges = stage(link_fingerprints(distinct.select("fp"), max_bucket), "simhash-edges")
     return name_components(prints, distinct, edges, "fp")
 
 
 def name_components(prints: DataFrame, distinct: DataFrame, edges: DataFrame, node: str) -> DataFrame:
-    """``prints`` (doc_id, node) with component_id, the smallest doc_id that ``edges`` (a, b) reach.
-
-    ``distinct``: each node once, with first_id, its smallest doc_id.
+    """``prints`` (with node) with root, the smallest node that ``edges`` (a, b) reach, and
+    component_id, the smallest doc_id there. ``distinct``: each node once, with first_id, its
+    smallest doc_id.
     """
     roots = connected_components(edges, "a", "b")
     named = distinct.join(roots.withColumnRenamed("node", node), node, "left").withColumn(
         "root", F.coalesce("root", node)
     )
-    named = stage(named, "simhash-roots")
+    named = stage(named.select(node, "root", "first_id"), "simhash-roots")
     component = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = named.select(node, "root").join(component, "root").select(node, "component_id")
-    return prints.join(classes, node).select("doc_id", node, "component_id")
+    classes = named.select(node, "root").join(component, "root").select(node, "root", "component_id")
+    return prints.join(classes, node)
 
 
 def simhash_digest(docs: DataFrame) -> DataFrame:
@@ -179,27 +183,29 @@ def simhash_digest(docs: DataFrame) -> DataFrame:
 def keep_one_per_component(
     docs: DataFrame, max_broadcast_ids: int = 1_000_000, components: Callable[[DataFrame], DataFrame] = simhash_components
 ) -> DataFrame:
-    """One row of ``docs`` for each component, the one whose doc_id names it.
+    """One row of ``docs`` for each component, one with the doc_id that names it.
 
-    ``components`` gives doc_id and component_id for every row of (doc_id, text).
-    Of rows that repeat an id one stays. Rows without id cannot be named and stay.
+    ``components`` gives doc_id, text_hash, root and component_id for every row of (doc_id,
+    text). An id may occur with several texts: it stands for a component only with a text of
+    that component (the one of the smallest hash, if several have the id). Of rows that
+    repeat an id and a text one stays. Rows without id cannot be named and stay.
     """
-    found = stage(components(docs.select("doc_id", "text")), "simhash-found")
-    key = fresh(docs, "_id")
-    ids = found.where("doc_id is not null")
-    # Ids only: up to max_broadcast_ids they travel to the texts, beyond that both shuffle.
-    losers = stage(
-        ids.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "simhash-losers"
-    )
-    kept = docs.join(
-        size_checked_broadcast(losers, max_broadcast_ids), docs["doc_id"] == F.col(key), "left_anti"
-    )
+    found = stage(components(docs.select("doc_id", "text")), "simhash-found").where("doc_id is not null")
+    names = found.where("doc_id = component_id").groupBy("root").agg(F.min("text_hash").alias("kept"), F.count("*").alias("n"))
+    several = stage(names.where("n > 1"), "simhash-several")
+    key, text = fresh(docs, "_id"), fresh(docs, "_text_hash")
+    # Ids and hashes only: up to max_broadcast_ids they travel to the texts, beyond that both shuffle.
+    losers = found.where("doc_id <> component_id").select("doc_id", "text_hash")
+    second = found.where("doc_id = component_id").join(several, "root").where("text_hash <> kept").select("doc_id", "text_hash")
+    losers = stage(losers.union(second).distinct().toDF(key, text), "simhash-losers")
+    same = (docs["doc_id"] == F.col(key)) & (text_hash(docs["text"]) == F.col(text))
+    kept = docs.join(size_checked_broadcast(losers, max_broadcast_ids), same, "left_anti")
+    if several.isEmpty():
+        return kept
     repeated = stage(
-        ids.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(key),
+        found.where("doc_id = component_id").join(several.select("root"), "root")
+        .groupBy("doc_id", "text_hash").count().where("count > 1").select("doc_id", "text_hash").toDF(key, text),
         "simhash-repeated",
     )
-    if repeated.isEmpty():
-        return kept
-    same = docs["doc_id"] == F.col(key)
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
+    once = kept.join(repeated, same, "left_semi").withColumn(text, text_hash("text")).dropDuplicates(["doc_id", text]).drop(text)
     return kept.join(repeated, same, "left_anti").unionByName(once)

@@ -26,7 +26,7 @@ def test_equals_the_library_and_round_trips(ranks, reference):
     texts = ["", None, "<|endoftext|>", "a\x1c\x1d b\x85c  \n\n d", "日本語の文" * 90, "😀" * 200, "I'm we'll  DON'T"]
     texts += ["".join(rng.choice(alphabet) for _ in range(n)) for alphabet, n in
               [("ab", 9000), ("a", 7001), ("theaionr", 20_000), ("0123 ", 3000), ("é ñß.", 2000), ("=-", 2001)]]
-    tokenizer = Tokenizer(ranks, public_tokenizers.PATTERN, max_remembered=5, chunk_chars=50)
+    tokenizer = Tokenizer(ranks, public_tokenizers.PATTERN, max_bytes=2_000, chunk_chars=50)
     for text, (n, ids, decoded) in zip(texts, tokenizer.encode(texts), strict=True):
         want = reference.encode_ordinary(text or "")
         assert (n, ids) == (len(want), ",".join(map(str, want)))

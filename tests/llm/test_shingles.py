@@ -4,7 +4,8 @@ import re
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from pagebundle.llm.shingles import shingle_components
+from pagebundle.llm.shingles import shingle_components, variant_pairs
+from pagebundle.llm.simhash import fingerprint, keep_one_per_component, simhash_components
 
 
 def slow_set(text):
@@ -74,3 +75,30 @@ def test_blank_short_and_nameless_rows(spark):
     want = [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (None, 7), (7, 7), (7, 7)]
     assert sorted(found, key=str) == sorted(want, key=str)
     assert shingle_components(docs.limit(0)).count() == 0
+
+
+def test_pieces_of_sets_and_variants_alone(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(9999)}" for _ in range(400)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, " ".join(words[:350])), (4, " ".join(words[:300])), (5, " ".join(words[100:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = slow_components(rows)
+    for values in (3, 64, 170):
+        assert got(docs, piece_values=values) == want, values
+    distinct = shingle_components(docs).select("doc_id", "text_hash").orderBy("doc_id").collect()
+    prints = [fingerprint(t, 5) for _, t in rows]
+    table = spark.createDataFrame([(d["text_hash"], p - 2**64 if p >= 2**63 else p) for d, p in zip(distinct, prints)], "node long, fp long")
+    near = {tuple(sorted((distinct[i]["text_hash"], distinct[j]["text_hash"]))) for i in range(5) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2}
+    assert {(r["a"], r["b"]) for r in variant_pairs(table, 32).collect()} == near
+
+
+def test_no_text_is_lost_where_ids_repeat(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, 7), (5, a, 7), (5, b, 7), (9, b, 7), (3, c, 7), (3, c, 8), (3, c.upper(), 9), (None, a, 1), (None, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash int")
+    for components in (shingle_components, simhash_components):
+        kept = keep_one_per_component(docs, components=components)
+        assert kept.columns == docs.columns
+        got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        assert (1, a) in got and (5, b) in got and (5, a) not in got and (9, b) not in got
+        assert sum(1 for i, t in got if i == 3) == 1 and (None, a) in got and (None, None) in got and len(got) == 5
