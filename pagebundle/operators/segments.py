@@ -18,6 +18,7 @@ from pagebundle.config import SplitConfig
 from pagebundle.operators import reads as rd
 from pagebundle.operators import rules
 from pagebundle.operators.scan import page_block, prefix_scan, spread_over_blocks, with_block
+from pagebundle.operators.tenants import keyed, unkeyed
 
 FACT_COLUMNS = [
     "bundle_id", "page_number", "is_first", "document_type", "confidence", "signals",
@@ -129,8 +130,10 @@ def page_context(pages: DataFrame, cfg: SplitConfig, previous: int, following: i
     """pages + the start of the neighbouring pages' texts ('' at the bundle's ends).
 
     Neighbours inside a block come from a window over (bundle, block); a block's outer
-    neighbours are one row per block, joined on the same partitioning.
+    neighbours are one row per block, joined on the same partitioning. Tenants that share
+    bundle ids (``dict_id``) are not each other's neighbours.
     """
+    names, pages = pages.columns, keyed(pages)
     size = cfg.block_pages
     block = page_block("page_number", size)
     ordered = Window.partitionBy("bundle_id", "_block").orderBy("page_number")
@@ -158,7 +161,7 @@ def page_context(pages: DataFrame, cfg: SplitConfig, previous: int, following: i
         far = F.when(F.col(beyond)["at"] == page, F.col(beyond)["text"])
         return F.coalesce(near, far, F.lit(""))
 
-    return (
+    found = (
         pages.withColumn("_block", block)
         .join(outer, ["bundle_id", "_block"], "left")
         .select(
@@ -167,6 +170,7 @@ def page_context(pages: DataFrame, cfg: SplitConfig, previous: int, following: i
             neighbour(1, following, "_after").alias("next_text"),
         )
     )
+    return unkeyed(found).select(*names, "previous_text", "next_text")
 
 
 def decision_detail(states: DataFrame) -> Column:

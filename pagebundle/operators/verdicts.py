@@ -56,8 +56,9 @@ def _around(pages: DataFrame, cfg: SplitConfig) -> DataFrame:
 
 def _context(around: DataFrame, current_type: Column, patterns: DataFrame) -> DataFrame:
     current = F.coalesce(current_type, F.lit(""))
+    tenant = ["dict_id"] if "dict_id" in around.columns else []
     return dic.with_known_types(around, patterns).select(
-        "bundle_id", "page_number",
+        *tenant, "bundle_id", "page_number",
         tx.json_string_array(F.col("known_types")).alias("znane_typy"),
         F.when(current == "", fixed.NO_CURRENT_TYPE).otherwise(current)
         .alias("typ_biezacego_dokumentu"),
@@ -88,9 +89,11 @@ def pending_prompts(
     Only texts cut to a prompt's length take part in the joins.
     """
     asked = pending_verdicts(states).withColumnRenamed("current_type", "_asked_type")
-    around = _around(pages, cfg).join(asked, ["bundle_id", "page_number"])
+    # states of a split by tenants name the dictionary too
+    page = [c for c in ("dict_id", "bundle_id", "page_number") if c in asked.columns and c in pages.columns]
+    around = _around(pages, cfg).join(asked, page)
     return _context(around, F.col("_asked_type"), patterns).select(
-        "bundle_id", "page_number",
+        *page,
         F.when(F.col("typ_biezacego_dokumentu") == fixed.NO_CURRENT_TYPE, "")
         .otherwise(F.col("typ_biezacego_dokumentu")).alias("current_type"),
         render_prompt(system_template, DEFAULT_SYSTEM_TEMPLATE).alias("system_prompt"),
@@ -439,6 +442,7 @@ def verdict_states(
 
 def pending_verdicts(states: DataFrame) -> DataFrame:
     """Pages whose decision would ask the model, for which no reply is stored yet."""
+    tenant = ["dict_id"] if "dict_id" in states.columns else []
     return states.where("kind = 'unmatched' AND NOT is_empty AND hint IS NULL").select(
-        "bundle_id", "page_number", F.coalesce("current_type", F.lit("")).alias("current_type")
+        *tenant, "bundle_id", "page_number", F.coalesce("current_type", F.lit("")).alias("current_type")
     )

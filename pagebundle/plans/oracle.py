@@ -519,6 +519,15 @@ ORACLE["split_conversations"] = (
     _with(_TURNS, _DICTIONARY, _rules("pg"), _PLAIN_FACTS, _STATES, _DOCS)
     + f"SELECT {_DOC_COLUMNS} FROM docs"
 )
+ORACLE["split_tenants"] = _with(
+    _LINES,
+    """tp AS (SELECT bundle_id * 2 + i AS bundle_id, page_number, text, dict_id, first_idx
+              FROM pg, (VALUES (0, 'en', 0), (1, 'fr', 1)) o(i, dict_id, first_idx))""",
+    _DICTIONARY, _rules("tp", tenant=True), _PLAIN_FACTS, _STATES, _DOCS,
+) + (
+    "SELECT CASE WHEN bundle_id % 2 = 0 THEN 'en' ELSE 'fr' END AS dict_id, * REPLACE (bundle_id // 2 AS bundle_id)"
+    f" FROM (SELECT {_DOC_COLUMNS} FROM docs)"
+)
 ORACLE["split_scans"] = _SCAN["remove"] + f"SELECT {_DOC_COLUMNS} FROM docs"
 ORACLE["page_context"] = _with(_LINES) + """
 SELECT bundle_id, page_number,

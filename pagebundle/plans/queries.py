@@ -385,6 +385,18 @@ def tenant_classification_chunked(spark, sf):
     )
 
 
+@query
+def split_tenants(spark, sf):
+    """Two tenants share every bundle id; each has a dictionary of its own."""
+    owner = F.explode(F.array(F.lit("en"), F.lit("fr"))).alias("dict_id")
+    shared = ad.trial_dictionary(spark)
+    own = shared.withColumn("dict_id", F.lit("en")).unionByName(
+        shared.where("pattern_idx >= 1").withColumn("dict_id", F.lit("fr"))
+    )
+    split = split_bundles(_pages(spark, sf).select("*", owner), own, KEEP).staged()
+    return split.documents.drop("known")
+
+
 @query
 def phrase_affinities(spark, sf):
     pages = rules.classify_pages(_pages(spark, sf), ad.trial_dictionary(spark), KEEP)

@@ -8,6 +8,7 @@ from pagebundle.operators import verdicts as vd
 from pagebundle.plans.split import split_bundles
 from pagebundle.sources import dictionary as dic
 from pagebundle.operators import documents as dc
+from pagebundle.operators import segments as sg
 from pagebundle.operators.tree import SECTION, concatenated
 from pagebundle.sources.sinks import write_children
 
@@ -186,3 +187,35 @@ def test_tree_keeps_the_order_of_sections_and_blocks(spark):
     for k in range(2):
         assert got[k]["items"] == [i for r in sorted(rows) if r[0] == k for i in r[2]]
         assert got[k]["n"] == sum(r[3] for r in rows if r[0] == k)
+
+
+def test_tenants_may_share_bundle_ids(spark):
+    cfg = SplitConfig(block_pages=2)
+    texts = {
+        "a": [[HEAD0, PHRASE, FOREIGN, FOREIGN, HEAD1], [FOREIGN, PHRASE, HEAD1, FOREIGN]],
+        "b": [[FOREIGN, HEAD1, PHRASE, HEAD0, PHRASE], [HEAD0, FOREIGN, FOREIGN, ""]],
+    }
+    rows = [(d, b, p, f"{t} of {d}{b}{p}") for d, bundles in texts.items() for b, pages in enumerate(bundles) for p, t in enumerate(pages, 1)]
+    pages = spark.createDataFrame(rows, "dict_id string, bundle_id long, page_number int, text string")
+    pattern = lambda d, i, head: (d, i, f"T{i}{d}", head, [PHRASE], [], 1.0, True)
+    schema = (
+        "dict_id string, pattern_idx int, document_type string, header string, phrases array<string>,"
+        " excluded_phrases array<string>, weight double, active boolean"
+    )
+    patterns = spark.createDataFrame([pattern("a", 0, HEAD0), pattern("a", 1, HEAD1), pattern("b", 0, HEAD1)], schema)
+    reply = '{"isFirstPage": true, "documentType": "T%s", "isKnownType": true, "confidence": 0.9, "reasonCodes": ["x"], "suggestedNewPatterns": []}'
+    replies = spark.createDataFrame([("a", 0, 3, "T0a", reply % "1a"), ("b", 1, 2, "", reply % "0b")], "dict_id string, bundle_id long, page_number int, current_type string, content string")
+
+    def seen(tenants):
+        own = lambda df: df.where(F.col("dict_id").isin(*tenants))
+        split = split_bundles(own(pages), own(patterns), cfg, responses=own(replies)).staged()
+        prompts = vd.pending_prompts(own(pages), split.states, own(patterns), cfg)
+        tables = (split.documents, split.reasons, split.warnings, split.summary, split.records, split.results, prompts)
+        return [{str(sorted(r.asDict(True).items())) for r in t.collect()} for t in tables]
+
+    both, a, b = seen("ab"), seen("a"), seen("b")
+    assert both == [x | y for x, y in zip(a, b)] and all(x and y for x, y in zip(both[:2], both[3:]))
+    around = sg.page_context(pages, cfg, 99, 99).collect()
+    for r in around:
+        assert r.previous_text in ("", *(t for d, b_, p, t in rows if (d, b_, p) == (r.dict_id, r.bundle_id, r.page_number - 1)))
+        assert (r.previous_text == "") == (r.page_number == 1)
