@@ -12,7 +12,7 @@ however long it is. Where a merge of rank r can make a pair of lower rank (known
 the vocabulary), a pre-token's entries are taken up to the first that does, and the rest
 wait until that lower pair is done.
 
-Pre-tokens repeat, so their ids are remembered per worker, up to ``max_bytes``; beyond
+Pre-tokens repeat, so their ids are remembered during a task, up to ``max_bytes``; beyond
 that the memory starts anew (a matter of speed only).
 
 Defined cases: a null text counts as empty and has no tokens. Special tokens are never
@@ -230,9 +230,9 @@ class Tokenizer:
         self.merges = Merges(ranks)
         self.split = regex.compile(pattern).findall
         self.max_bytes, self.chunk_chars = max_bytes, chunk_chars
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.number = _Numbers()
         self.ids: list[str] = []
         self.counts: list[int] = []
@@ -253,7 +253,7 @@ class Tokenizer:
         done = 0
         while done < len(texts):
             if self.held > self.max_bytes:
-                self._forget()
+                self.forget()
             chunk, chars = [], 0
             while done < len(texts) and (not chunk or chars < self.chunk_chars):
                 text = texts[done] or ""
@@ -279,7 +279,7 @@ _CODED = T.StructType(
 
 
 def _tokenizer_in_worker(shared, pattern: str):
-    """One tokenizer per worker and vocabulary, kept between tasks."""
+    """One vocabulary per worker, kept between tasks; what a task remembers goes with it."""
     import builtins
 
     kept = builtins.__dict__.setdefault("_pagebundle_tokenizers", {})
@@ -301,10 +301,13 @@ def encoder(spark, ranks_path: str, pattern: str):
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = _tokenizer_in_worker(shared, pattern)
-        for texts in batches:
-            yield pd.Series(
-                [np.array(ids.split(","), dtype=np.int32) if n else np.array([], dtype=np.int32) for n, ids, _ in tokenizer.encode(list(texts))]
-            )
+        try:
+            for texts in batches:
+                yield pd.Series(
+                    [np.array(ids.split(","), dtype=np.int32) if n else np.array([], dtype=np.int32) for n, ids, _ in tokenizer.encode(list(texts))]
+                )
+        finally:
+            tokenizer.forget()
 
     return encoded
 
@@ -330,12 +333,15 @@ def digester(spark, ranks_path: str, pattern: str):
     @F.pandas_udf(_CODED)
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokenizer = _tokenizer_in_worker(shared, pattern)
-        for texts in batches:
-            rows = [
-                (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                for n, ids, decoded in tokenizer.encode(list(texts))
-            ]
-            yield pd.DataFrame(rows, columns=_CODED.names)
+        try:
+            for texts in batches:
+                rows = [
+                    (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                    for n, ids, decoded in tokenizer.encode(list(texts))
+                ]
+                yield pd.DataFrame(rows, columns=_CODED.names)
+        finally:
+            tokenizer.forget()
 
     return digests
 

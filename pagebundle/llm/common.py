@@ -59,7 +59,7 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1).select(F.inline(parsed))
 
 
-def short_batches(spark: SparkSession, rows: int = 2_000) -> None:
+def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Lets at most ``rows`` texts at a time travel to a Python worker, which bounds its memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
