@@ -17,6 +17,7 @@ from pagebundle.operators.scan import page_block
 from pagebundle.plans.split import split_bundles
 from pagebundle.sources import sinks
 from pagebundle.streaming import processors as pr
+from pagebundle.staging import staging_scope
 
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -98,11 +99,14 @@ def split_stream(
                 "status", F.lit(fixed.STATUS_FAILED)
             ).write.mode("overwrite").parquet(f"{root}/failed/batch_id={batch_id}")
             ready = _complete_bundles(batch, batch_id, root, cfg.block_pages)
-            split = split_bundles(ready, patterns, cfg).staged()
-            split.documents.write.mode("overwrite").parquet(
-                f"{root}/documents/batch_id={batch_id}"
-            )
-            split.summary.write.mode("overwrite").parquet(f"{root}/summaries/batch_id={batch_id}")
+            with staging_scope(batch.sparkSession):  # a stream must not fill the shared folder
+                split = split_bundles(ready, patterns, cfg).staged()
+                split.documents.write.mode("overwrite").parquet(
+                    f"{root}/documents/batch_id={batch_id}"
+                )
+                split.summary.write.mode("overwrite").parquet(
+                    f"{root}/summaries/batch_id={batch_id}"
+                )
         finally:
             batch.unpersist()
 
