@@ -5,8 +5,10 @@ Usual case: one dictionary of ordinary size is compiled into column expressions
 bits). Dictionaries per tenant, or with more terms, travel as data (a constant, or
 broadcast by dict_id after a size check) and are scored by array functions. In both
 cases scoring is row-local and nothing shuffles. Dictionaries beyond the size check
-are cut into bounded chunks; pages meet every chunk of their dictionary over a
-salted key and the per-chunk results are reduced per page.
+are indexed (``term_index``): a page meets only the patterns it may match, which are then
+scored exactly. Where a page that matches nothing may still get a type (an unknown
+threshold of zero), no pattern can be left out: the dictionary is cut into bounded chunks,
+pages meet every chunk over a salted key and the results are reduced per page.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pagebundle import fixed
 from pagebundle.config import SplitConfig
 from pagebundle.functions import text
 from pagebundle.functions.bind import bind
+from pagebundle.operators import term_index
 from pagebundle.sources import dictionary as dic
 
 _WORD_BITS = 62
@@ -254,6 +257,30 @@ def _score_by_chunks(pages: DataFrame, patterns: DataFrame, cfg: SplitConfig) ->
     return joined.drop("dict_id") if single else joined
 
 
+def _score_by_index(pages: DataFrame, patterns: DataFrame, cfg: SplitConfig) -> DataFrame:
+    """best + affinities per page, from the patterns that the index finds for it.
+
+    Right for thresholds above zero: a pattern without header and phrases scores zero.
+    Texts are shuffled once at most, to meet their candidates.
+    """
+    single = "dict_id" not in pages.columns
+    if single:
+        pages = pages.withColumn("dict_id", F.lit("default"))
+        patterns = patterns.withColumn("dict_id", F.lit("default"))
+    candidates = term_index.candidate_patterns(pages, patterns, cfg)
+    joined = pages.join(candidates, list(term_index.PAGE_KEY), "left")
+    few = F.coalesce("patterns", F.array().cast(f"array<{dic._PREPARED_STRUCT}>"))
+    scored = joined.withColumn(
+        "scored", score_patterns(text.normalize_text(F.col("text")), few, cfg)
+    )
+    ranked = (
+        scored.withColumn("best", best_pattern(F.col("scored")))
+        .withColumn("affinities", phrase_affinities(F.col("scored")))
+        .drop("scored", "patterns")
+    )
+    return ranked.drop("dict_id") if single else ranked
+
+
 def _rank_embedded(pages: DataFrame, patterns: DataFrame, cfg: SplitConfig) -> DataFrame:
     if "dict_id" in pages.columns:
         scored = score_pages(pages, patterns, cfg)
@@ -271,6 +298,8 @@ def classify_pages(pages: DataFrame, patterns: DataFrame, cfg: SplitConfig) -> D
     """pages + is_first, document_type, confidence, signals, affinities."""
     if dic.within_embedding_bounds(patterns, cfg.max_embedded_patterns, cfg.max_embedded_chars):
         ranked = _rank_embedded(pages, patterns, cfg)
+    elif cfg.unknown_threshold > 0:
+        ranked = _score_by_index(pages, patterns, cfg)
     else:
         ranked = _score_by_chunks(pages, patterns, cfg)
     none = F.array().cast("array<struct<document_type:string,phrase:string>>")

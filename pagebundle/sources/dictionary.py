@@ -175,12 +175,15 @@ def normalized_patterns(patterns: DataFrame) -> DataFrame:
     )
 
 
-def _in_order() -> Column:
-    item = F.struct(
+def prepared_item() -> Column:
+    return F.struct(
         "pattern_idx", "document_type", "header", "header_fold", "phrases",
         "excluded", "weight",
     )
-    return F.array_sort(F.collect_list(item)).alias("patterns")
+
+
+def _in_order() -> Column:
+    return F.array_sort(F.collect_list(prepared_item())).alias("patterns")
 
 
 def whole_dictionary(patterns: DataFrame) -> DataFrame:
