@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
-from string import Formatter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagebundle import fixed
 from pagebundle.config import SplitConfig
+from pagebundle.functions import formats
 from pagebundle.functions import json as js
 from pagebundle.functions import text as tx
 from pagebundle.functions.bind import bind
@@ -108,23 +108,26 @@ CONTEXT_FIELDS = (
 
 
 def render_prompt(template: str | None, default: str = DEFAULT_USER_TEMPLATE) -> Column:
-    """{name} placeholders over the context columns; a faulty template yields the default."""
-
-    def compiled(source: str) -> Column:
-        parts: list[Column] = []
-        for literal, field, spec, conversion in Formatter().parse(source):
-            if literal:
-                parts.append(F.lit(literal))
-            if field is not None:
-                if field not in CONTEXT_FIELDS or spec or conversion:
-                    raise ValueError(f"unknown placeholder {field!r}")
-                parts.append(F.col(field))
-        return F.concat(*parts) if parts else F.lit("")
+    """{name} placeholders over the context columns, with the formats of ``functions.formats``.
 
+    A faulty template yields the default, as does one that indexes a character that a
+    row's text does not have.
+    """
+    usual = formats.compile_template(default, CONTEXT_FIELDS)[0]
     try:
-        return compiled(default if template is None else template)
+        text, fits = formats.compile_template(default if template is None else template, CONTEXT_FIELDS)
     except ValueError:
-        return compiled(default)
+        return usual
+    return F.when(fits, text).otherwise(usual)
+
+
+def template_warnings(spark: SparkSession, templates: dict[str, str | None]) -> DataFrame:
+    """(template, fault) of the named templates for which the default is used."""
+    faults = [
+        (name, formats.template_fault(template, CONTEXT_FIELDS))
+        for name, template in templates.items() if template is not None
+    ]
+    return spark.createDataFrame([f for f in faults if f[1]], "template string, fault string")
 
 
 # --- after the call ---------------------------------------------------------------------

@@ -952,6 +952,18 @@ SELECT bundle_id, page_number,
   AS prompt
 FROM pg WINDOW o AS (PARTITION BY bundle_id ORDER BY page_number)"""
 
+ORACLE["prompt_formats"] = _with(_LINES, """
+cx AS (SELECT bundle_id, page_number, substring(text, 1, 20) AS shown,
+         CASE WHEN page_number % 2 = 0 THEN 'Alpha' ELSE 'BRAK' END AS cur,
+         substring(coalesce(lag(text) OVER o, ''), 1, 3) AS before,
+         substring(coalesce(lead(text) OVER o, ''), 2, 1) AS letter
+       FROM pg WINDOW o AS (PARTITION BY bundle_id ORDER BY page_number))""") + """
+SELECT bundle_id, page_number, CASE WHEN letter = '' THEN 'brak ' || cur ELSE
+  CASE cur WHEN 'Alpha' THEN '**Alpha**' ELSE '**BRAK***' END
+  || '|' || repeat(' ', 30 - length(shown)) || shown || '|' || before
+  || repeat('0', 5 - length(before)) || '|' || letter || '|' || chr(39) || cur || chr(39) END AS prompt
+FROM cx"""
+
 # --- evaluation -----------------------------------------------------------------------------------------------------------
 
 _EVAL = _with(_LINES, _replies(), f"""

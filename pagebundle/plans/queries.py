@@ -822,6 +822,17 @@ def prompt_render(spark, sf):
     )
 
 
+@query
+def prompt_formats(spark, sf):
+    """Widths, fills, cuts, a character and a quoted text; pages without the character get the default."""
+    template = (
+        "{typ_biezacego_dokumentu:*^9}|{aktualna_strona:>30.20}|{poprzednia_strona:05.3}|"
+        "{nastepna_strona[1]}|{typ_biezacego_dokumentu!r}"
+    )
+    shown = vd.render_prompt(template, "brak {typ_biezacego_dokumentu}")
+    return _verdict_context(spark, sf).select("bundle_id", "page_number", shown.alias("prompt"))
+
+
 @query
 def verdict_extract(spark, sf):
     return _replies(spark, sf).select(
