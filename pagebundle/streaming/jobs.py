@@ -119,22 +119,35 @@ def split_stream(
     )
 
 
-def dedup_stream(events: DataFrame) -> DataFrame:
+def _timed(events: DataFrame, delay: str) -> DataFrame:
+    """element_id, seq, kind, ts with its watermark, and at: milliseconds, rounded up."""
+    at = F.ceil(F.unix_micros("ts") / 1000).cast("long")
+    return events.select("element_id", "seq", "kind", "ts", at.alias("at")).withWatermark("ts", delay)
+
+
+def dedup_stream(events: DataFrame, delay: str | None = None) -> DataFrame:
     """Submissions with their duplicates; events as in operators.jobs.
 
     Only kinds that open or close a job reach the state. Submissions without element are
-    never duplicates and need none.
+    never duplicates and need none. Without ``delay`` an element's events must arrive in
+    order and are answered at once. With it they may arrive in any order within that delay
+    (ts is a timestamp, not null); each is answered once the watermark has passed it.
     """
     anonymous = events.where((F.col("kind") == "submit") & F.col("element_id").isNull()).select(
         "seq", "element_id", F.lit(False).alias("duplicate"), F.col("seq").alias("job_id")
     )
     relevant = events.where(
         F.col("kind").isin("submit", "done", "failed", "delete") & F.col("element_id").isNotNull()
-    ).select("element_id", "seq", "kind")
-    named = relevant.groupBy("element_id").transformWithStateInPandas(
-        pr.SubmissionDedup(), "seq long, element_id long, duplicate boolean, job_id long",
-        "Update", "None",
     )
+    schema = "seq long, element_id long, duplicate boolean, job_id long"
+    if delay is None:
+        named = relevant.select("element_id", "seq", "kind").groupBy("element_id").transformWithStateInPandas(
+            pr.SubmissionDedup(), schema, "Update", "None"
+        )
+    else:
+        named = _timed(relevant, delay).groupBy("element_id").transformWithStateInPandas(
+            pr.OrderedSubmissionDedup(), schema, "Update", "EventTime"
+        )
     return named.unionByName(anonymous)
 
 
@@ -150,13 +163,20 @@ def job_state_stream(events: DataFrame, ttl_seconds: int, delay: str = "0 second
 
 
 def attempts_stream(
-    events: DataFrame, max_attempts: int, limit_seconds: int, delay: str = "0 seconds"
+    events: DataFrame, max_attempts: int, limit_seconds: int, delay: str = "0 seconds",
+    reorder: bool = False,
 ) -> DataFrame:
+    """Outcome of every stay in processing, and ``stalled`` after the limit.
+
+    Events must arrive in order per element, unless ``reorder``: then they may arrive in any
+    order within ``delay``, and count once the watermark has passed them.
+    """
     relevant = events.where(
         F.col("kind").isin("enter", "lost", "failed", "done") & F.col("element_id").isNotNull()
-    ).select("element_id", "seq", "kind", "ts")
-    return relevant.withWatermark("ts", delay).groupBy("element_id").transformWithStateInPandas(
-        pr.AttemptsOutcome(max_attempts, limit_seconds, fixed.OUTCOME_DONE, fixed.OUTCOME_ERROR),
+    )
+    processor = pr.OrderedAttemptsOutcome if reorder else pr.AttemptsOutcome
+    return _timed(relevant, delay).groupBy("element_id").transformWithStateInPandas(
+        processor(max_attempts, limit_seconds, fixed.OUTCOME_DONE, fixed.OUTCOME_ERROR),
         "element_id long, epoch long, outcome string, attempts long", "Update", "EventTime",
     )
 

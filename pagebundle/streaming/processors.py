@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
 import pandas as pd
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -11,6 +11,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 _MS = 1000
 
 
+class Event(NamedTuple):
+    seq: int
+    kind: str
+    at: int
+
+
 def _in_order(rows: Iterator[pd.DataFrame], column: str) -> pd.DataFrame:
     """All rows of one key in one micro-batch (bounded by the source's rate limit)."""
     return pd.concat(list(rows)).sort_values(column, kind="stable")
@@ -87,6 +93,86 @@ class BlockAssembler(StatefulProcessor):
         pass
 
 
+class ReorderBuffer(StatefulProcessor):
+    """Keeps events until the watermark passes them, then follows them by ``seq``.
+
+    Rows carry seq, kind and at (their time in milliseconds, rounded up). No event as old as
+    the watermark can still arrive, so what is released is in its final order, whatever
+    batches brought it. A key holds what arrived within the watermark's delay, and one timer:
+    its oldest waiting event, or what ``follow`` asks for.
+    """
+
+    columns: list[str] = []
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "seq long, kind string, at long")
+
+    def follow(self, key: Any, due: list[Event], now_ms: int) -> tuple[list[tuple], int | None]:
+        """Rows to emit, and when to be called again if nothing arrives."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues):
+        new = [(int(r.seq), r.kind, int(r.at)) for part in rows for r in part.itertuples(index=False)]
+        if new:
+            self.waiting.appendList(new)
+            oldest, timers = min(at for _, _, at in new), list(self.handle.listTimers())
+            if not timers or oldest < min(timers):
+                for timer in timers:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(oldest)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        due, later = [], []
+        for row in self.waiting.get() if self.waiting.exists() else ():
+            event = Event(*row)
+            (due if event.at <= now else later).append(event)
+        if due:
+            self.waiting.put([tuple(e) for e in later]) if later else self.waiting.clear()
+        out, again = self.follow(key, sorted(due), now)
+        wake = [e.at for e in later] + ([] if again is None else [again])
+        if wake:
+            self.handle.registerTimer(min(wake))
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def _submissions(state, element: int, events) -> list[tuple]:
+    """(seq, element_id, duplicate, job_id) of the submissions among ordered events."""
+    active = last = state.get()[0] if state.exists() else None
+    out = []
+    for row in events:
+        if row.kind == "submit":
+            duplicate = active is not None
+            active = active if duplicate else int(row.seq)
+            out.append((int(row.seq), element, duplicate, active))
+        else:
+            active = None
+    if active is None:
+        state.clear()
+    elif active != last:
+        state.update((active,))
+    return out
+
+
+class OrderedSubmissionDedup(ReorderBuffer):
+    """``SubmissionDedup`` on events that may arrive out of order."""
+
+    columns = ["seq", "element_id", "duplicate", "job_id"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.active = handle.getValueState("active", "job_id long")
+
+    def follow(self, key: Any, due: list[Event], now_ms: int) -> tuple[list[tuple], int | None]:
+        return _submissions(self.active, int(key[0]), due), None
+
+
 class SubmissionDedup(StatefulProcessor):
     """Active job per element: a second submission maps to it until it ends."""
 
@@ -94,19 +180,7 @@ class SubmissionDedup(StatefulProcessor):
         self.active = handle.getValueState("active", "job_id long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues):
-        active = self.active.get()[0] if self.active.exists() else None
-        last, out = active, []
-        for row in _in_order(rows, "seq").itertuples(index=False):
-            if row.kind == "submit":
-                duplicate = active is not None
-                active = active if duplicate else int(row.seq)
-                out.append((int(row.seq), int(key[0]), duplicate, active))
-            else:
-                active = None
-        if active is None:
-            self.active.clear()
-        elif active != last:
-            self.active.update((active,))
+        out = _submissions(self.active, int(key[0]), _in_order(rows, "seq").itertuples(index=False))
         if out:
             yield pd.DataFrame(out, columns=["seq", "element_id", "duplicate", "job_id"])
 
@@ -211,3 +285,50 @@ class AttemptsOutcome(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+class OrderedAttemptsOutcome(ReorderBuffer):
+    """``AttemptsOutcome`` on events that may arrive out of order.
+
+    A stay is stalled if it has no outcome by its deadline, also where a later event that
+    is followed in the same batch gives it one (both rows are emitted then).
+    """
+
+    columns = ["element_id", "epoch", "outcome", "attempts"]
+
+    def __init__(self, max_attempts: int, limit_seconds: int, done: str, error: str) -> None:
+        self.max_attempts, self.limit_ms = max_attempts, limit_seconds * _MS
+        self.done, self.error = done, error
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.state = handle.getValueState(
+            "state", "epoch long, attempts long, outcome string, deadline long"
+        )
+
+    def follow(self, key: Any, due: list[Event], now_ms: int) -> tuple[list[tuple], int | None]:
+        epoch, attempts, outcome, deadline = (
+            self.state.get() if self.state.exists() else (0, 0, None, None)
+        )
+        out = []
+        for event in [*due, None]:
+            if deadline is not None and deadline < (now_ms if event is None else event.at):
+                out.append((int(key[0]), epoch, "stalled", attempts))
+                deadline = None
+            if event is None:
+                break
+            if event.kind == "enter":
+                epoch, attempts, outcome, deadline = epoch + 1, 0, None, event.at + self.limit_ms
+                continue
+            if outcome is not None:
+                continue
+            if event.kind in ("lost", "failed"):
+                attempts += 1
+                outcome = self.error if attempts >= self.max_attempts else None
+            elif event.kind == "done":
+                outcome = self.done
+            if outcome is not None:
+                out.append((int(key[0]), epoch, outcome, attempts))
+                deadline = None
+        self.state.update((epoch, attempts, outcome, deadline))
+        return out, deadline

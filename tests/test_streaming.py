@@ -139,6 +139,54 @@ def test_attempts_stream_equals_batch(spark, tmp_path):
     assert stalled.where("outcome = 'stalled'").count() > 0
 
 
+def disordered(spark, events, path):
+    """Events shifted by up to three days against each other over micro-batches, then a far later one."""
+    jitter = F.pmod(F.xxhash64("seq"), F.lit(3 * 86_400))
+    shuffled = events.withColumn("at", F.unix_seconds("ts") + jitter)
+    end = spark.createDataFrame([(10**9, "2100-01-01", -1, "busy")], "seq long, ts string, element_id long, kind string")
+    stream = as_stream(spark, shuffled, path, 6, "at")
+    last = end.select("seq", F.col("ts").cast("timestamp").alias("ts"), "element_id", "kind")
+    late = last.withColumn("kind", F.lit("submit")).unionByName(last.withColumn("kind", F.lit("lost")))
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in shuffled.schema if f.name not in late.columns]
+    late.select("*", *missing).select(shuffled.columns).coalesce(1).write.mode("append").parquet(str(path))
+    return stream
+
+
+def test_dedup_stream_reorders_within_the_delay(spark, tmp_path):
+    events = ad.job_events(spark, SF_DIR).withColumn("ts", F.col("ts").cast("timestamp"))
+    emitted = drain(st.dedup_stream(disordered(spark, events, tmp_path / "in"), "4 days"), tmp_path)
+    got = emitted.where("element_id >= 0").select("seq", "element_id", "duplicate", "job_id")
+    want = jb.dedup_submissions(jb.job_log(events.where("element_id IS NOT NULL"))).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert emitted.select("batch_id").distinct().count() > 3  # not only at the end
+
+
+def test_attempts_stream_reorders_within_the_delay(spark, tmp_path):
+    events = ad.job_events(spark, SF_DIR, signup="enter").withColumn("ts", F.col("ts").cast("timestamp"))
+    limit = 2 * 86_400
+    stream = disordered(spark, events, tmp_path / "in")
+    emitted = drain(st.attempts_stream(stream, 3, limit, "4 days", reorder=True), tmp_path)
+    got = sorted(tuple(r) for r in emitted.where("element_id >= 0").drop("batch_id").collect())
+    state, want = {}, []
+    rows = events.where("element_id IS NOT NULL").orderBy("seq")
+    for element, kind, t in rows.select("element_id", "kind", F.unix_micros("ts") / 1e6).collect():
+        epoch, tries, outcome, deadline = state.get(element, (0, 0, None, None))
+        if kind in ("enter", "lost", "failed", "done") and deadline is not None and deadline < t:
+            want.append((element, epoch, "stalled", tries))
+            deadline = None
+        if kind == "enter":
+            epoch, tries, outcome, deadline = epoch + 1, 0, None, t + limit
+        elif outcome is None and kind in ("lost", "failed", "done"):
+            tries += kind != "done"
+            outcome = "GOTOWE" if kind == "done" else "BLAD" if tries >= 3 else None
+            if outcome:
+                want.append((element, epoch, outcome, tries))
+                deadline = None
+        state[element] = (epoch, tries, outcome, deadline)
+    want += [(e, epoch, "stalled", tries) for e, (epoch, tries, _, deadline) in state.items() if deadline is not None]
+    assert got == sorted(want) and any(r[2] == "stalled" for r in got)
+
+
 def test_metrics_stream_equals_batch(spark, tmp_path):
     metrics = ad.table(spark, SF_DIR, "documents").select(
         *[F.col("n_chars").alias(c) for c in mt.COUNTERS],
