@@ -11,8 +11,12 @@ and the beginning of a path). Urls that no rule fits are judged by their host:
 Both walks run in one table of weighted host edges (pages that link, counted per pair of
 hosts before any shuffle; links inside a host say nothing about other hosts and are left
 out). A step is one equality join and one sum per host, written to the shared checkpoint
-folder; mass that meets no link returns to the seeds. A host is blocked if its distrust
-exceeds its trust and is at least ``threshold`` times the average over all hosts.
+folder; mass that meets no link returns to the seeds. Steps go on until all that may still
+move is ``TOLERANCE`` of the mass that decides (``threshold`` / number of hosts), so no host
+is too far from a seed to be judged. A step moves at most ``damping`` times what the one before
+moved: their number is bounded beforehand, and a walk that exceeds it ends as an error. A host
+is blocked if its distrust exceeds its trust and is at least ``threshold`` times the average
+over all hosts.
 
 Defined cases: a null url, or one without "://", has empty host and path; no rule and no
 score applies, so it is allowed. Null html has no links. Without trusted or without
@@ -22,6 +26,9 @@ stay, save those named like an added one.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +47,9 @@ RULES = (
     ("block", "net/fr/"),
 )
 MAX_RULES = 1_000
-DAMPING, STEPS, THRESHOLD, SEED_SHARE = 0.85, 20, 0.5, 0.5
+DAMPING, THRESHOLD, SEED_SHARE = 0.85, 0.5, 0.5
+#: What may still move at the end of a walk, as a share of the mass that blocks a host.
+TOLERANCE = 0.01
 
 
 def host_of(url: Column) -> Column:
@@ -76,40 +85,54 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+def most_steps(damping: float, tolerance: float) -> int:
+    """By this step all later ones together move at most ``tolerance`` of a walk's mass."""
+    return max(1, math.ceil(math.log(tolerance * (1 - damping)) / math.log(damping)))
+
+
+def spread(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float, fold: int = 8) -> DataFrame:
     """(kind, host, mass) after the walk; edges (kind, src, dst, share), seeds (kind, host, seed).
 
-    Shares of a (kind, src) and seeds of a kind sum to one. Both are read in every step:
-    pass tables. The walk ends early once nothing moves any more.
+    Shares of a (kind, src) and seeds of a kind sum to one; pass edges as a table. A walk whose
+    mass returns to the seeds where it meets no link is the sum of what its steps carry from
+    the seeds, scaled to one. The steps' tables are added up every ``fold`` steps. The walk
+    ends once the later steps together can move at most ``tolerance``.
     """
-    ranks = stage(seeds.select("kind", "host", F.col("seed").alias("mass")), "url-ranks-0")
-    spark = seeds.sparkSession
-    for i in range(1, steps + 1):
-        moved = stage(
-            ranks.join(edges, (ranks["kind"] == edges["kind"]) & (ranks["host"] == edges["src"]))
-            .groupBy(edges["kind"], F.col("dst").alias("host"))
-            .agg((F.sum(F.col("mass") * F.col("share")) * damping).alias("moved")),
-            f"url-moved-{i}",
-        )
-        # One number per walk: what did not travel returns to the seeds.
-        sums = {r["kind"]: r["s"] for r in moved.groupBy("kind").agg(F.sum("moved").alias("s")).collect()}
-        left = small_table(spark, [(k, 1.0 - sums.get(k, 0.0)) for k in ("trust", "distrust")], "kind string, rest double")
-        home = seeds.join(F.broadcast(left), "kind").select("kind", "host", (F.col("seed") * F.col("rest")).alias("mass"))
-        before = ranks
-        ranks = stage(
-            home.unionByName(moved.select("kind", "host", F.col("moved").alias("mass")))
-            .groupBy("kind", "host").agg(F.sum("mass").alias("mass")),
-            f"url-ranks-{i}",
+    carried = stage(seeds.select("kind", "host", F.col("seed").alias("mass")), "url-step-0")
+    summed = [carried]
+
+    def added_up() -> DataFrame:
+        return reduce(DataFrame.union, summed).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+
+    for i in range(1, most_steps(damping, tolerance) + 1):
+        on = (carried["kind"] == edges["kind"]) & (carried["host"] == edges["src"])
+        carried = stage(
+            carried.join(edges, on).groupBy(edges["kind"], F.col("dst").alias("host"))
+            .agg((F.sum(F.col("mass") * F.col("share")) * damping).alias("mass")),
+            f"url-step-{i}",
         )
-        signed = ranks.unionByName(before.select("kind", "host", (-F.col("mass")).alias("mass")))
-        change = signed.groupBy("kind", "host").agg(F.sum("mass").alias("d")).agg(F.sum(F.abs("d"))).first()[0]
-        if not change or change < 1e-12:
+        # One number for each of the two walks.
+        moved = max((r["moved"] for r in carried.groupBy("kind").agg(F.sum("mass").alias("moved")).collect()), default=0.0)
+        summed.append(carried)
+        if moved * damping / (1 - damping) <= tolerance:
             break
-    return ranks
+        if len(summed) > fold:
+            summed = [stage(added_up(), f"url-sum-{i}")]
+    else:
+        if moved > 1.001 * damping**i:
+            raise RuntimeError(f"step {i} still moves {moved}: shares of links do not sum to one")
+    ranks = stage(added_up(), "url-ranks")
+    totals = ranks.groupBy("kind").agg(F.sum("mass").alias("total"))  # two rows
+    return ranks.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("mass") / F.col("total")).alias("mass"))
+
 
+def host_scores(
+    pages: DataFrame, threshold: float = THRESHOLD, seed_share: float = SEED_SHARE, damping: float = DAMPING, tolerance: float = TOLERANCE
+) -> DataFrame:
+    """(host, trust, distrust, hosts): pages has host, html and judged (allow, block or null).
 
-def host_scores(pages: DataFrame, seed_share: float = SEED_SHARE, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """(host, trust, distrust, hosts): pages has host, html and judged (allow, block or null)."""
+    Masses are exact to ``tolerance`` * ``threshold`` / hosts.
+    """
     shares = pages.where("host <> ''").groupBy("host").agg(
         F.avg(F.when(F.col("judged") == "allow", 1.0).otherwise(0.0)).alias("trust"),
         F.avg(F.when(F.col("judged") == "block", 1.0).otherwise(0.0)).alias("distrust"),
@@ -129,9 +152,8 @@ def host_scores(pages: DataFrame, seed_share: float = SEED_SHARE, damping: float
     counts = {r["kind"]: r["count"] for r in seeds.groupBy("kind").count().collect()}
     size = F.when(F.col("kind") == "trust", F.lit(counts.get("trust", 1))).otherwise(F.lit(counts.get("distrust", 1)))
     seeds = stage(seeds.select("kind", "host", (F.lit(1.0) / size).alias("seed")), "url-seeds")
-    ranks = spread(edges, seeds, damping, steps)
-    known = shares.select("host").union(links.select("dst")).distinct()
-    total = known.count()
+    total = shares.select("host").union(links.select("dst")).distinct().count()
+    ranks = spread(edges, seeds, damping, tolerance * min(threshold / max(total, 1), 1.0))
     value = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0.0)).alias(kind)
     return ranks.groupBy("host").agg(value("trust"), value("distrust")).withColumn("hosts", F.lit(total))
 
@@ -149,7 +171,7 @@ def with_url_verdict(
         .withColumn("path", path_of(F.col("url")))
         .withColumn(found, best_rule(F.col("host"), F.col("path"), rules))
     )
-    scores = host_scores(judged.select("host", "html", F.col(f"{found}.verdict").alias("judged")))
+    scores = host_scores(judged.select("host", "html", F.col(f"{found}.verdict").alias("judged")), threshold)
     blocked = stage(
         scores.where((F.col("distrust") > F.col("trust")) & (F.col("distrust") * F.col("hosts") >= threshold)).select(
             F.col("host").alias(bad)
@@ -170,8 +192,12 @@ def url_digest(pages: DataFrame) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-def url_sql(rules=RULES, steps: int = STEPS) -> str:
-    """The same in DuckDB, the walk written out step by step."""
+def url_sql(rules=RULES, steps: int = 20) -> str:
+    """The same in DuckDB, with ``steps`` steps of the walk written out.
+
+    Where links between hosts lead further, ``damping ** steps`` of the mass still moves then;
+    ``most_steps`` tells how many steps equal the operator's.
+    """
     values = ", ".join(
         f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', {len(r)})" for v, r in rules
     )

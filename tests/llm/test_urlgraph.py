@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from pagebundle.llm.urlgraph import best_rule, host_of, path_of, url_digest, with_url_verdict
+from pagebundle.llm.urlgraph import best_rule, host_of, path_of, spread, url_digest, with_url_verdict
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -63,6 +64,25 @@ def test_trust_and_distrust_travel_over_links(spark):
     assert got[1]["verdict"] == "allow" and got[4]["verdict"] == "block" and got[10]["host"] == "" and got[1]["_found"] == 7
 
 
+def test_hosts_far_from_every_seed_are_judged(spark):
+    chain = ["bad.net"] + [f"h{k}.org" for k in range(1, 29)]
+    pages = [(0, "http://bad.net/es/", None)]
+    pages += [(k, f"http://{chain[k]}/", link(chain[k - 1])) for k in range(1, len(chain))]
+    pages += [(1000 + k, f"http://lone{k}.org/", None) for k in range(270)]
+    got = {r["page_id"]: r["verdict"] for r in with_url_verdict(spark.createDataFrame(pages, SCHEMA)).collect()}
+    distrust = walk({"bad.net": 1.0}, [(chain[k - 1], chain[k], 1) for k in range(1, len(chain))])
+    blocked = {k for k, h in enumerate(chain) if distrust[h] * (len(chain) + 270) >= 0.5}
+    assert 20 < max(blocked) < len(chain) - 1  # further than 20 links, and not all
+    assert {k for k, v in got.items() if v == "block"} == blocked
+
+
+def test_walks_that_gain_mass_end_as_an_error(spark):
+    edges = spark.createDataFrame([("trust", "a", "b", 3.0), ("trust", "b", "a", 3.0)], "kind string, src string, dst string, share double")
+    seeds = spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, seed double")
+    with pytest.raises(RuntimeError):
+        spread(edges, seeds, 0.5, 0.4)
+
+
 def test_empty_and_without_seeds(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert url_digest(none).count() == 0
