@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagebundle import fixed
 from pagebundle.functions import json as js
 from pagebundle.functions import text
+from pagebundle.functions.bind import bind
 from pagebundle.staging import stage
 
 PATTERN_SCHEMA = (
@@ -66,14 +67,18 @@ def dictionary_join(types: DataFrame, rows: DataFrame, type_form: str) -> DataFr
 
 def _payload_item(item: Column) -> Column:
     """The fields of one item; null where a field is missing or of the wrong kind."""
-    weight = js.field(item, "weight")
-    return F.struct(
-        js.as_text(js.field(item, "documentType")).alias("documentType"),
-        js.as_text(js.field(item, "header")).alias("header"),
-        js.as_texts(js.field(item, "phrases")).alias("phrases"),
-        js.as_texts(js.field(item, "excludedPhrases")).alias("excludedPhrases"),
-        F.when(weight.isNull(), F.lit(1.0)).otherwise(js.as_number(weight)).alias("weight"),
-    )
+
+    def read(r: Column) -> Column:
+        weight = r["weight"]
+        return F.struct(
+            js.as_text(r["documentType"]).alias("documentType"),
+            js.as_text(r["header"]).alias("header"),
+            js.as_texts(r["phrases"]).alias("phrases"),
+            js.as_texts(r["excludedPhrases"]).alias("excludedPhrases"),
+            F.when(weight["value"].isNull(), F.lit(1.0)).otherwise(js.as_number(weight)).alias("weight"),
+        )
+
+    return bind(js.fields(item, _PAYLOAD_FIELDS), read)
 
 
 def parse_patterns(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,13 +87,15 @@ def parse_patterns(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     A payload is one unit: anything but one JSON array, or one item with a field missing
     or of the wrong kind, rejects all of it.
     """
-    whole = js.parse_one(F.col("payload"))
-    parsed = payloads.withColumn(
-        "items",
-        F.transform(
-            F.when(js.kind(whole).startswith("ARRAY"), F.try_variant_get(whole, "$", "array<variant>")), _payload_item
-        ),
-    )
+
+    def read(whole: Column) -> Column:
+        listed = whole["kind"].startswith("ARRAY")
+        items = F.when(listed, F.try_variant_get(whole["value"], "$", "array<variant>"))
+        return F.transform(items, _payload_item)
+
+    items = bind(js.parse_one(F.col("payload")), lambda whole: bind(js.inspected(whole), read))
+    # Generated, not projected: no condition on the items makes Spark parse a payload again.
+    parsed = payloads.select("*", F.explode(F.array(items)).alias("items"))
 
     def acceptable(item: Column) -> Column:
         return F.forall(
