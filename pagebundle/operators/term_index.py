@@ -10,6 +10,8 @@ its length and on what it nearly matches, not on the size of the dictionary.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def numbered_patterns(patterns: DataFrame) -> DataFrame:
 
 
 def rarest_grams(numbered: DataFrame) -> DataFrame:
-    """(sig, place, width, pattern_no): where each header and phrase is filed."""
+    """(dict_id, place, gram, sig, width, pattern_no): where each header and phrase is filed."""
 
     def entry(place: str, term: Column) -> Column:
         return F.struct(F.lit(place).alias("place"), term.alias("term"))
@@ -65,16 +67,18 @@ def rarest_grams(numbered: DataFrame) -> DataFrame:
             *term, width.alias("width"),
             F.explode(F.sequence(F.lit(1), F.length("term") - width + 1)).alias("at"),
         )
-        .select(*term, "width", _signature(F.substring("term", F.col("at"), F.col("width"))).alias("sig"))
+        .select(*term, "width", F.substring("term", F.col("at"), F.col("width")).alias("gram"))
+        .withColumn("sig", _signature(F.col("gram")))
     )
     holders = grams.groupBy("sig").agg(F.count(F.lit(1)).alias("holders"))
     filed = (
         grams.join(holders, "sig").groupBy(*term)
-        .agg(F.min(F.struct("holders", "sig", "width")).alias("g"))
-        .select(*term, "g.sig", "g.width")
+        .agg(F.min(F.struct("holders", "sig", "width", "gram")).alias("g"))
+        .select(*term, "g.sig", "g.width", "g.gram")
     )
     return stage(
-        uses.join(filed, term).select("sig", "place", "width", "pattern_no").distinct(), "term_index"
+        uses.join(filed, term).select("dict_id", "place", "gram", "sig", "width", "pattern_no").distinct(),
+        "term_index",
     )
 
 
@@ -120,6 +124,94 @@ def page_grams(pages: DataFrame, widths: dict[str, list[int]], cfg: SplitConfig)
     )
 
 
+def np_table(grams: list[str], patterns: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct grams, sorted, as integers; where the patterns of each start; the patterns.
+
+    Texts and grams are ASCII (``normalize_text``): up to GRAM characters fit one integer.
+    """
+    packed = np.array([int.from_bytes(g.encode("ascii"), "little") for g in grams], dtype=np.uint64)
+    order = np.argsort(packed, kind="stable")
+    distinct, starts = np.unique(packed[order], return_index=True)
+    return distinct, np.append(starts, len(order)), np.asarray(patterns, dtype=np.int64)[order]
+
+
+def _packed_index(index: DataFrame) -> dict:
+    """(dict_id, place) -> width -> table of grams; only for an index of checked size."""
+    rows = index.select("dict_id", "place", "width", "gram", "pattern_no").toPandas()
+    tables: dict = {}
+    for (dict_id, place, width), group in rows.groupby(["dict_id", "place", "width"]):
+        tables.setdefault((dict_id, place), {})[int(width)] = np_table(group["gram"], group["pattern_no"])
+    return tables
+
+
+def _looked_up(shared, positions: int = 1 << 20):
+    """A function of dict_id, body and zone of a page: the numbers of the patterns filed under its grams."""
+    places = (_BODY, _ZONE)
+
+    @F.pandas_udf("array<long>")
+    def numbers(dict_ids: pd.Series, bodies: pd.Series, zones: pd.Series) -> pd.Series:
+        pages, found = [], []
+
+        def add(rows, starts, stops, patterns):
+            counts = stops - starts
+            within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            pages.append(np.repeat(rows, counts))
+            found.append(patterns[np.repeat(starts, counts) + within])
+
+        for place, texts in zip(places, (bodies, zones)):
+            texts = texts.dropna()
+            for dict_id, labels in texts.groupby(dict_ids[texts.index]).groups.items():
+                widths = shared.value.get((dict_id, place), {})
+                rows, own = labels.to_numpy(), texts[labels]
+                if 0 in widths:
+                    _, starts, patterns = widths[0]
+                    add(rows, np.full(len(rows), starts[0]), np.full(len(rows), starts[1]), patterns)
+                ends = np.cumsum(own.str.len().to_numpy(dtype=np.int64))
+                data = np.frombuffer("".join(own).encode("ascii"), dtype=np.uint8)
+                for at in range(0, len(data), positions):
+                    piece = data[at : at + positions + max(widths, default=1) - 1].astype(np.uint64)
+                    packed = np.zeros(len(piece), dtype=np.uint64)
+                    for width in range(1, max(widths, default=0) + 1):
+                        packed = packed[: len(piece) - width + 1]
+                        packed = packed | piece[width - 1 :] << np.uint64(8 * (width - 1))
+                        if width not in widths:
+                            continue
+                        grams, starts, patterns = widths[width]
+                        # a small table of hashes rules out nearly all places
+                        mix, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - 16)
+                        maybe = np.zeros(1 << 16, dtype=bool)
+                        maybe[(grams * mix) >> shift] = True
+                        near = np.flatnonzero(maybe[(packed[:positions] * mix) >> shift])
+                        nth = np.minimum(np.searchsorted(grams, packed[near]), len(grams) - 1)
+                        sure = grams[nth] == packed[near]
+                        near, nth = near[sure] + at, nth[sure]
+                        row = np.searchsorted(ends, near, side="right")
+                        whole = near + width <= ends[row]
+                        both = np.unique(row[whole] * len(grams) + nth[whole])
+                        row, nth = both // len(grams), both % len(grams)
+                        add(rows[row], starts[nth], starts[nth + 1], patterns)
+        result = [[] for _ in range(len(dict_ids))]
+        if pages:
+            pairs = pd.DataFrame({"page": np.concatenate(pages), "no": np.concatenate(found)}).drop_duplicates()
+            for page, group in pairs.groupby("page")["no"]:
+                result[page] = group.to_numpy()
+        return pd.Series(result)
+
+    return numbers
+
+
+def _found_in_pages(pages: DataFrame, index: DataFrame, cfg: SplitConfig) -> DataFrame:
+    """PAGE_KEY and pattern_no, by looking every gram of a page up in its task."""
+    tables = _packed_index(index)
+    shared = pages.sparkSession.sparkContext.broadcast(tables)
+    owned = F.col("dict_id").isin(*sorted({d for d, _ in tables})) if len(tables) <= 100 else F.lit(True)
+    normed = pages.where(owned).select(*PAGE_KEY, text.normalize_text(F.col("text")).alias("_norm"))
+    zone = text.header_zone(F.col("_norm"), cfg.header_zone_chars)
+    return normed.select(
+        *PAGE_KEY, F.explode(_looked_up(shared)("dict_id", "_norm", zone)).alias("pattern_no")
+    )
+
+
 def _meet(rows: DataFrame, table: DataFrame, on: list[str], small: bool) -> DataFrame:
     """Rows of pages with the rows of a table, whose keys may be hot on the pages' side."""
     if small:
@@ -136,15 +228,17 @@ def candidate_patterns(pages: DataFrame, patterns: DataFrame, cfg: SplitConfig)
     """
     numbered = numbered_patterns(patterns)
     index = rarest_grams(numbered)
-    widths: dict[str, list[int]] = {}
-    for place, width in index.select("place", "width").distinct().collect():
-        widths.setdefault(place, []).append(width)  # at most GRAM + 1 a place
     small_index = index.count() <= BROADCAST_ROWS
     small_dictionary = dic.within_embedding_bounds(patterns, BROADCAST_ROWS, BROADCAST_CHARS)
 
-    found = _meet(
-        page_grams(pages, widths, cfg), index.select("sig", "pattern_no"), ["sig"], small_index
-    )
+    if small_index:
+        found = _found_in_pages(pages, index, cfg)
+    else:
+        widths: dict[str, list[int]] = {}
+        for place, width in index.select("place", "width").distinct().collect():
+            widths.setdefault(place, []).append(width)  # at most GRAM + 1 a place
+        grams = page_grams(pages, widths, cfg)
+        found = _meet(grams, index.select("sig", "pattern_no"), ["sig"], small=False)
     numbers = found.groupBy(*PAGE_KEY).agg(F.collect_set("pattern_no").alias("numbers"))
     # the dictionary is part of the key: grams of two dictionaries may share a hash
     items = numbered.select("dict_id", "pattern_no", dic.prepared_item().alias("item"))
