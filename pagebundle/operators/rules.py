@@ -31,6 +31,10 @@ _BEST = (
     "struct<confidence:double,order_key:int,document_type:string,header:string,"
     "header_match:boolean,hits:int>"
 )
+_SCORED = (
+    "struct<confidence:double,order_key:int,pattern_idx:int,document_type:string,header:string,"
+    "header_match:boolean,matched:array<string>>"
+)
 _CHUNK_ROWS = 500
 # pages of one dictionary that meet a copy of it
 _PAGES_PER_SALT = 20_000
@@ -147,8 +151,26 @@ def _constant(items: list[dict]) -> Column:
     )
 
 
-def _rank_compiled(pages: DataFrame, items: list[dict], cfg: SplitConfig) -> DataFrame:
-    """pages + best and affinities, from one substring test per distinct term."""
+def _compilable(items: list[dict], cfg: SplitConfig) -> bool:
+    """Few enough terms, and none of the values that array functions treat as unknown."""
+    if any(
+        i[c] is None for i in items
+        for c in ("document_type", "header", "header_fold", "phrases", "excluded", "weight")
+    ):
+        return False
+    if not items:
+        return False
+    terms = [t for i in items for t in [*[p["norm"] for p in i["phrases"]], *i["excluded"]]]
+    return None not in terms and len(terms) + len(items) <= cfg.max_compiled_terms
+
+
+def _tested(
+    pages: DataFrame, items: list[dict], cfg: SplitConfig, generated: bool = False
+) -> tuple[DataFrame, list[dict]]:
+    """pages + one bit per distinct term, and per pattern the columns that read these bits.
+
+    Bits that are generated, not projected, are not found again by a condition on what follows.
+    """
     terms = sorted({t for i in items for t in [p["norm"] for p in i["phrases"]] + i["excluded"]})
     headers = sorted({i["header_fold"] for i in items})
     word = {t: divmod(n, _WORD_BITS) for n, t in enumerate(terms)}
@@ -172,31 +194,65 @@ def _rank_compiled(pages: DataFrame, items: list[dict], cfg: SplitConfig) -> Dat
     normed = pages.withColumn("_norm", text.normalize_text(F.col("text"))).withColumn(
         "_zone", text.header_zone(F.col("_norm"), cfg.header_zone_chars)
     )
-    tested = normed.select(
-        *pages.columns, *words(terms, "_norm", "_w"), *words(headers, "_zone", "_h")
-    )
-    ranked, pairs = [F.lit(None).cast(_BEST)] * 2, []
+    bits = [*words(terms, "_norm", "_w"), *words(headers, "_zone", "_h")]
+    tested = normed.select(*pages.columns, *([F.inline(F.array(F.struct(*bits)))] if generated else bits))
+    tests = []
     for item in items:
         phrases = [(p["text"], test("_w", word[p["norm"]])) for p in item["phrases"]]
         hits = reduce(lambda n, p: n + p[1].cast("int"), phrases, F.lit(0))
         header = test("_h", head[item["header_fold"]])
         live = reduce(lambda ok, e: ok & ~test("_w", word[e]), item["excluded"], F.lit(True))
         score = pattern_score(header, hits, F.lit(item["weight"]), cfg)
+        tests.append({"live": live, "header": header, "phrases": phrases, "hits": hits, "score": score})
+    return tested, tests
+
+
+def _score_compiled(pages: DataFrame, items: list[dict], cfg: SplitConfig) -> DataFrame:
+    """pages + ``scored`` as ``score_patterns`` gives it, from one substring test per distinct term."""
+    tested, tests = _tested(pages, items, cfg, generated=True)
+    readable = F.col("text").isNotNull()  # whether a missing text has an exclusion is unknown
+    scored = [
+        F.when(
+            (t["live"] & readable) if item["excluded"] else t["live"],
+            F.struct(
+                t["score"].alias("confidence"), F.lit(-item["pattern_idx"]).alias("order_key"),
+                F.lit(item["pattern_idx"]).alias("pattern_idx"),
+                F.lit(item["document_type"]).alias("document_type"),
+                F.lit(item["header"]).alias("header"),
+                F.when(readable, t["header"]).alias("header_match"),
+                F.array_compact(
+                    F.array(*[F.when(hit, F.lit(phrase)) for phrase, hit in t["phrases"]])
+                    .cast("array<string>")
+                ).alias("matched"),
+            ).cast(_SCORED),
+        )
+        for item, t in zip(items, tests)
+    ]
+    return tested.select(
+        *pages.columns, F.array_compact(F.array(*scored).cast(f"array<{_SCORED}>")).alias("scored")
+    )
+
+
+def _rank_compiled(pages: DataFrame, items: list[dict], cfg: SplitConfig) -> DataFrame:
+    """pages + best and affinities, from one substring test per distinct term."""
+    tested, tests = _tested(pages, items, cfg)
+    ranked, pairs = [F.lit(None).cast(_BEST)] * 2, []
+    for item, t in zip(items, tests):
         ranked.append(
             F.when(
-                live,
+                t["live"],
                 F.struct(
-                    score.alias("confidence"), F.lit(-item["pattern_idx"]).alias("order_key"),
+                    t["score"].alias("confidence"), F.lit(-item["pattern_idx"]).alias("order_key"),
                     F.lit(item["document_type"]).alias("document_type"),
                     F.lit(item["header"]).alias("header"),
-                    header.alias("header_match"), hits.alias("hits"),
+                    t["header"].alias("header_match"), t["hits"].alias("hits"),
                 ).cast(_BEST),
             )
         )
         pairs += [
-            F.when(live & hit, F.struct(F.lit(item["document_type"]).alias("document_type"),
-                                        F.lit(phrase).alias("phrase")))
-            for phrase, hit in phrases
+            F.when(t["live"] & hit, F.struct(F.lit(item["document_type"]).alias("document_type"),
+                                             F.lit(phrase).alias("phrase")))
+            for phrase, hit in t["phrases"]
         ]
     none = F.array().cast("array<struct<document_type:string,phrase:string>>")
     affinities = F.array_distinct(F.array_compact(F.array(*pairs))) if pairs else none
@@ -209,7 +265,10 @@ def score_pages(pages: DataFrame, patterns: DataFrame, cfg: SplitConfig) -> Data
     """pages + ``scored``; pages without dict_id use the only dictionary given."""
     norm = text.normalize_text(F.col("text"))
     if "dict_id" not in pages.columns:
-        return pages.withColumn("scored", score_patterns(norm, _constant(_prepared(patterns)), cfg))
+        items = _prepared(patterns)
+        if _compilable(items, cfg):
+            return _score_compiled(pages, items, cfg)
+        return pages.withColumn("scored", score_patterns(norm, _constant(items), cfg))
     return (
         pages.join(F.broadcast(dic.whole_dictionary(patterns)), "dict_id", "left")
         .withColumn("scored", score_patterns(norm, F.coalesce(
