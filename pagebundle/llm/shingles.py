@@ -13,10 +13,14 @@ no row grows with the length of a text.
 
 Equal texts are one entry. A bucket of up to ``max_bucket`` texts is compared pairwise.
 In a larger one all members first meet three pivots, which links a group of copies in
-three comparisons each. What these leave outside the bucket's largest component is then
-compared with every member of another component. So no candidate is left out; the work
-grows with the square of a bucket only where its texts agree in a band and yet most are
-not linked with each other.
+three comparisons each. What these leave outside the bucket's largest component (strays)
+meets the member there whose shingles most texts of such buckets hold, a template where
+there is one. The strays that remain are joined with all members of other components on the
+shingles that can be the first a linked pair has in common, where the order is one for
+all sets and rare shingles come first; a pair for which too few can follow is none. That
+is exact: no pair that may be linked is left out. A rare shingle has fewer than
+``max_bucket`` holders, so the work grows with the square of a bucket only where very many
+of its texts consist of shingles common there almost wholly, and are not linked.
 
 Defined cases: texts are lower-cased in A-Z only; fewer than five words form one shingle;
 null, empty and blank texts are linked with each other. A null doc_id takes part, but a
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagebundle.llm.common import short_batches, size_checked_broadcast, stage
@@ -183,27 +187,130 @@ def similar_pairs(
     linked = stage(_verified(pairs, sets, sizes, percent), "shingle-linked")
     if many.isEmpty():
         return linked
-    roots = connected_components(linked, "a", "b")
-    placed = stage(
-        many.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")),
-        "shingle-placed",
-    )
+    many = many.select("key", "node")
+    apart = _apart(linked, many)
+    if apart.isEmpty():
+        return linked
+    # Members left outside meet the member of the largest component that has most in common with all.
+    own = sets.join(size_checked_broadcast(stage(apart.select("node").distinct(), "shingle-own"), max_broadcast), "node", "left_semi")
+    hot = _hot_shingles(own, max_bucket, max_broadcast)
+    ranks = stage(_ranked_pieces(own, hot), "shingle-ranked")
+    heat = ranks.groupBy("node").agg((F.sum("heat") / F.first("n")).alias("heat"))
+    central = apart.where("root = main").join(heat, "node").groupBy("key").agg(F.max_by("node", F.struct("heat", "node")).alias("pivot"))
+    pairs = apart.where("root <> main").join(central, "key").select(*_pair("node", "pivot")).distinct()
+    linked = stage(linked.union(_verified(stage(pairs, "shingle-central"), sets, sizes, percent)), "shingle-centred")
+    apart = _apart(linked, many)
+    if apart.isEmpty():
+        return linked
+    rest = stage(_prefix_pairs(apart, own, ranks, hot, percent), "shingle-rest")
+    return stage(linked.union(_verified(rest, sets, sizes, percent)), "shingle-edges")
+
+
+def _apart(edges: DataFrame, many: DataFrame) -> DataFrame:
+    """A table key, node, root, main (the bucket's largest component) of buckets with several components."""
+    roots = connected_components(edges, "a", "b")
+    placed = stage(many.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "shingle-placed")
     largest = (
         placed.groupBy("key", "root").agg(F.count("*").alias("n"))
         .groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
-        .where("roots > 1")
+        .where("roots > 1").drop("roots")
+    )
+    return stage(placed.join(largest, "key"), "shingle-apart")
+
+
+def _hot_shingles(sets: DataFrame, least: int, max_rows: int):
+    """A broadcast (shingles, counts) of those held by ``least`` or more sets, in order of the signed hashes.
+
+    ``least`` is doubled until at most ``max_rows`` travel: they only order the shingles of a set.
+    """
+    counts = sets.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    counts = stage(counts.where(F.col("n") >= least), "shingle-hot")
+    while counts.where(F.col("n") >= least).count() > max_rows:
+        least *= 2
+    rows = counts.where(F.col("n") >= least).toArrow().sort_by("shingle")
+    return counts.sparkSession.sparkContext.broadcast((rows["shingle"].to_numpy(), rows["n"].to_numpy()))
+
+
+def _counts_of(shingles: np.ndarray, hot) -> np.ndarray:
+    """How many sets hold each of ``shingles``, 0 for those that are not hot."""
+    known, counts = hot.value
+    if not len(known):
+        return np.zeros(len(shingles), dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+    return np.where(known[at] == shingles, counts[at], 0)
+
+
+def _ranked_pieces(sets: DataFrame, hot) -> DataFrame:
+    """node, n, piece, heat (sum of counts of hot shingles), before and cold: shingles that are
+    not hot in the pieces before and in the whole set."""
+
+    @F.pandas_udf("cold long, heat long")
+    def facts(pieces: pd.Series) -> pd.DataFrame:
+        counts = [_counts_of(np.asarray(p, dtype=np.int64), hot) for p in pieces]
+        return pd.DataFrame([(int((c == 0).sum()), int(c.sum())) for c in counts], columns=["cold", "heat"])
+
+    whole = Window.partitionBy("node")
+    return sets.select("node", "n", "piece", facts("shingles").alias("f")).select(
+        "node", "n", "piece", "f.heat", F.sum("f.cold").over(whole).alias("cold"),
+        (F.sum("f.cold").over(whole.orderBy("piece")) - F.col("f.cold")).alias("before"),
     )
-    strays = stage(
-        placed.join(largest, "key").where("root <> main").select("key", node.alias("x"), F.col("root").alias("other")),
-        "shingle-strays",
+
+
+def _prefixes_of(percent: int, hot):
+    """Rows (node, root, stray, n, place, hot, shingle): the shingles of each set that can be the first it shares."""
+    names = ["node", "root", "stray", "n", "place", "hot", "shingle"]
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                shingles = np.asarray(r.shingles, dtype=np.int64)
+                counts = _counts_of(shingles, hot)
+                order = np.lexsort((shingles.view(np.uint64), counts))
+                rare = int((counts == 0).sum())
+                # Of hot ones in other pieces it is open which come first: the place is the least it can be.
+                place = np.concatenate((r.before + np.arange(rare), r.cold + np.arange(len(order) - rare)))
+                least = -(-r.n * percent // 100)  # the smallest set that can be linked with this one
+                fits = (r.n - place) * (100 + percent) >= (r.n + least) * percent
+                order, place = order[fits], place[fits]
+                yield pd.DataFrame(
+                    {"node": r.node, "root": r.root, "stray": r.stray, "n": r.n, "place": place, "hot": counts[order] > 0, "shingle": shingles[order]},
+                    columns=names,
+                )
+
+    return prefixes
+
+
+def _prefix_pairs(apart: DataFrame, sets: DataFrame, ranks: DataFrame, hot, percent: int) -> DataFrame:
+    """All pairs (a, b) of a stray and a node of another component that can be linked.
+
+    All sets have their shingles in one order, rare ones first. A pair shares no more than
+    what follows its first common shingle in either set, so this lies near both starts. Rare
+    shingles have few holders; with hot ones only sets of fitting sizes meet.
+    """
+    who = stage(apart.groupBy("node").agg(F.first("root").alias("root"), F.max(F.expr("root <> main")).alias("stray")), "shingle-who")
+    rows = stage(
+        sets.select("node", "piece", "shingles").join(ranks, ["node", "piece"]).join(who, "node")
+        .mapInPandas(_prefixes_of(percent, hot), "node long, root long, stray boolean, n int, place long, hot boolean, shingle long"),
+        "shingle-prefixes",
     )
-    rest = (
-        placed.join(size_checked_broadcast(strays, max_broadcast), "key")
-        .where("root <> other")
-        .select(*_pair("node", "x"))
+
+    def size(n: str) -> Column:  # steps of about 5 %
+        return F.expr(f"cast(floor(20 * ln({n})) as int)")
+
+    one, other = (rows.select(*[F.col(c).alias(f"{c}{n}") for c in ("node", "root", "n", "place")], "stray", "hot", "shingle") for n in "xy")
+    sizes = F.when(
+        F.col("hot"),
+        F.sequence(size(f"(nx * {percent} + 99) div 100"), size(f"(nx - placex) * {100 + percent} div {percent} - nx")),
+    ).otherwise(F.array(F.lit(-1)))
+    one = one.where("stray").withColumn("size", F.explode(sizes)).drop("stray", "hot")
+    other = other.withColumn("size", F.when(F.col("hot"), size("ny")).otherwise(F.lit(-1))).drop("stray", "hot")
+    shared = F.least(F.col("nx") - F.col("placex"), F.col("ny") - F.col("placey"))
+    return (
+        one.join(other, ["shingle", "size"])
+        .where((F.col("rootx") != F.col("rooty")) & (shared * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent))
+        .select(*_pair("nodex", "nodey"))
         .distinct()
     )
-    return stage(linked.union(_verified(rest, sets, sizes, percent)), "shingle-edges")
 
 
 def shingle_components(

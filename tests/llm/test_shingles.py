@@ -4,6 +4,7 @@ import re
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from pagebundle.llm import shingles
 from pagebundle.llm.shingles import shingle_components, variant_pairs
 from pagebundle.llm.simhash import fingerprint, keep_one_per_component, simhash_components
 
@@ -102,3 +103,36 @@ def test_no_text_is_lost_where_ids_repeat(spark):
         got = [(r["doc_id"], r["text"]) for r in kept.collect()]
         assert (1, a) in got and (5, b) in got and (5, a) not in got and (9, b) not in got
         assert sum(1 for i, t in got if i == 3) == 1 and (None, a) in got and (None, None) in got and len(got) == 5
+
+
+def crowd():
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(360):  # copies of a template, copies at the edge of 0.8, texts that only hold much of it
+        words = list(base)
+        for at in rng.sample(range(100), (rng.choice([0, 1, 1, 2]), rng.choice([2, 3, 4]), rng.choice([5, 7, 9]))[i % 3]):
+            words[at] = f"x{rng.randrange(9999)}"
+        rows.append((i, " ".join(words[: rng.choice([80, 90, 100])] + [f"y{rng.randrange(9999)}" for _ in range(rng.choice([0, 0, 5]))])))
+    return rows
+
+
+def test_strays_of_a_crowded_bucket_are_not_compared_with_all(spark, monkeypatch):
+    rows = crowd()
+    want = slow_components(rows)
+    assert 100 < len(set(want.values())) < 250
+    verified, met = shingles._verified, []
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(shingles, "_verified", counted)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), max_bucket=8) == want
+    assert sum(met[1:]) < 20 * len(rows), met
+
+
+def test_strays_met_by_pieces_and_with_few_hot_shingles(spark):
+    rows = crowd()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(docs, max_bucket=8, piece_values=60, max_broadcast=30) == slow_components(rows)
